@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, secrets, simhash
+from . import bpe, gam, mixing, quality_rules, secrets, separators, simhash, substrings, topk, warc
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,10 +31,31 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(_table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(_table(spark, sf_dir, "documents"), vocabulary_path(RANKS), vocabulary_path())
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return gam.score(docs, gam.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -42,8 +65,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op4_simhash, op9_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_substrings, op4_simhash, op5_token_counts, op6_quality_classifier, op7_topk, op8_warc, op9_bpe, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op7_topk": topk.oracle()}
