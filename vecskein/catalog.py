@@ -180,8 +180,8 @@ def bit_functions(spark, d):
     return rows.select("vec_id", V.bit_dot(a, b).alias("dot"), V.bit_hamming(a, b).alias("hamming"), _r(V.bit_jaccard(a, b), "jaccard"))
 
 
-_BIT_SQL = f"""WITH {_E}, s AS (SELECT vec_id, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 AND qv[i] > 0)) AS both, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 OR qv[i] > 0)) AS either FROM e, q)
- SELECT vec_id, both::BIGINT AS dot, (either - both)::BIGINT AS hamming, round(1 - both / either, 6) AS jaccard FROM s"""
+_BIT_SQL = f"""WITH {_E}, s AS (SELECT vec_id, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 AND qv[i] > 0)) AS shared, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 OR qv[i] > 0)) AS either FROM e, q)
+ SELECT vec_id, shared::BIGINT AS dot, (either - shared)::BIGINT AS hamming, round(1 - shared / either, 6) AS jaccard FROM s"""
 
 
 def ivf_full_probe_topk(spark, d):
