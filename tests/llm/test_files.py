@@ -74,6 +74,12 @@ def test_common_prefixes_of_merged_transforms():
         while a[k : k + 1] == b[k : k + 1] != b"\1" and k < 12:
             k += 1
         assert common[r] == k // 4 * 4
+    # without the rows that are alone: the same intervals, and the least of the prefixes between those left
+    block = bwt.merge(shards, 12)[1]
+    kept = np.flatnonzero(np.bincount(block)[block] > 1)
+    few, _, shared = bwt.merge(shards, 12, whole=False)
+    assert few.tolist() == source[kept].tolist()
+    assert shared.tolist()[1:] == [int(common[a + 1 : b + 1].min()) for a, b in zip(kept, kept[1:])]
 
 
 @pytest.mark.parametrize("hot", [1000, 2])

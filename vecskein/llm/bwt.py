@@ -41,7 +41,7 @@ class Shard:
         top = int(key.max()) + 1
         width = 1
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys get equal ranks, so their order is free
             ranked = key[order]
             fresh = np.concatenate(([0], (ranked[1:] != ranked[:-1]).cumsum()))
             rank = np.empty(n, np.int64)
@@ -61,12 +61,13 @@ class Shard:
             key, width = rank * top + ahead, width * 2
 
 
-def merge(shards: list[Shard], depth: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(source, block, common) of the merged rows, ordered by ``depth`` symbols.
 
     source: the row in the concatenated shards; block: its repeated interval; common: symbols, to the grain of
     ``step``, that a row shares with the one before it (depth where they are in one block). ``depth`` is
-    a multiple of ``step``.
+    a multiple of ``step``. Unless ``whole``, only the rows of repeated intervals are given: a row is dropped as soon as
+    it is alone in its block, since what precedes it is then alone in the next round.
     """
     sizes = np.array([s.n for s in shards])
     shift = np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
@@ -96,7 +97,16 @@ def merge(shards: list[Shard], depth: int, step: int = STEP) -> tuple[np.ndarray
         block = part.cumsum()
         # blocks are refined in place: where neighbours part for the first time, their common prefix is known
         common[part & (common == depth)] = done
-        if block[-1] == len(block):
+        if not whole:
+            alone = part & np.append(part[1:], True)
+            if alone.any():
+                rest = np.flatnonzero(~alone)
+                if not len(rest):
+                    return source[:0], block[:0], common[:0]
+                # what two neighbours share is the least of what all rows between them did
+                common = np.minimum.reduceat(common[: rest[-1] + 1], np.append(0, rest[:-1] + 1))
+                source, block = source[rest], block[rest]
+        elif block[-1] == len(block):
             break
     return source, block, common
 
@@ -113,10 +123,7 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = 1 << 15) -> tu
     depth = -(-length // STEP) * STEP
     if depth != length:
         raise ValueError(f"length must be a multiple of {STEP}")
-    source, block, _ = merge(shards, depth)
-    size = np.bincount(block)
-    many = size[block] > 1
-    source, block = source[many], block[many]
+    source, block, _ = merge(shards, depth, whole=False)
     places = np.concatenate([s.suffixes + o for s, o in zip(shards, np.concatenate(([0], np.cumsum([s.n for s in shards])[:-1])), strict=True)])
     starts = np.concatenate(([0], np.cumsum(np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings)))))
     place = places[source]
