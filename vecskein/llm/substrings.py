@@ -36,6 +36,8 @@ from .common import id_or_last, materialize, release, remove, scratch_path, smal
 LENGTH, GRAM, RANGE = 100, 24, 20
 #: Rows of a group that one task merges, and bytes of groups that it takes together.
 HOT, TOGETHER = 1000, 1 << 17
+#: Rows that go back to Spark in one batch, about.
+SENT = 1 << 16
 #: Bytes of one text that anchors are sought in at once.
 PIECE = 1 << 22
 
@@ -133,19 +135,27 @@ def find(units: DataFrame, lists, length: int = LENGTH, hot: int = HOT) -> list[
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column(0).to_pylist():
-                h, n = np.unique(anchors(text, length)[0], return_counts=True)
-                if len(h):  # twice tells as much as more
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, np.minimum(n, 2)).view(np.int64))], ["h"])
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(anchors(t, length)[0] for t in b.column(0).to_pylist())]), return_counts=True)
+            # twice tells as much as more
+            yield pa.RecordBatch.from_arrays([_signed(np.repeat(h, np.minimum(n, 2)))], ["h"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, names, kinds = xxhash.xxh3_64_intdigest, ["h", "d", "uid", "a", "n", "o"], (np.int64, np.int64, np.int64, np.int32, np.int16, np.int16)
+        held: list[tuple] = []
+        size = 0
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(k) if k is np.int64 else np.concatenate(c).astype(k)) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
         for b in batches:
             for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h, a, n, o = anchors(text, length)
                 view = memoryview(text)
-                d = [xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)]
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([_signed(h), _signed(d), pa.array(np.full(len(h), uid)), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(o.astype(np.int16))], ["h", "d", "uid", "a", "n", "o"])
+                d = np.fromiter((digest(view[x:y]) for x, y in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)), np.uint64, len(a))
+                held.append((h, d, np.full(len(h), uid), a, n, o))
+                size += len(h)
+                if size >= SENT:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
 
     twice = materialize(units.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     _free(spark)
@@ -159,11 +169,20 @@ def find(units: DataFrame, lists, length: int = LENGTH, hot: int = HOT) -> list[
     open_ = found.join(open_, ["h", "d", "uid", "a"], "left_semi").select("uid", F.struct("a", "n", "o").alias("s"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def send():
+            c, d, u, s, k, t = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([_signed(c), _signed(d), pa.array(u, pa.int64()), pa.array(s, pa.int32()), pa.array(k, pa.int16()), pa.array(t, pa.binary())], ["c", "d", "uid", "a", "n", "bytes"])
+
         for b in batches:
             for uid, text, segs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = [(c, d, s, k, text[s : s + k + length - 1]) for x in segs for c, d, s, k in split(text, x["a"], x["n"], x["o"], length)]
-                c, d, s, k, t = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([_signed(c), _signed(d), pa.array([uid] * len(c)), pa.array(s, pa.int32()), pa.array(k, pa.int16()), pa.array(t, pa.binary())], ["c", "d", "uid", "a", "n", "bytes"])
+                held += [(c, d, uid, s, k, text[s : s + k + length - 1]) for x in segs for c, d, s, k in split(text, x["a"], x["n"], x["o"], length)]
+                if len(held) >= SENT // 4:
+                    yield send()
+                    held = []
+        if held:
+            yield send()
 
     with_text = lists(open_.groupBy("uid").agg(F.collect_list("s").alias("segs"))).select("uid", "text", "segs")
     pieces = materialize(with_text.mapInArrow(parts, "c long, d long, uid long, a int, n short, bytes binary"), "pieces")
