@@ -111,7 +111,7 @@ def lateral_topk(spark, d):
 
 def range_join(spark, d):
     e = _embeddings(spark, d)
-    return search.range_join(e, e, 0.75, left_id="vec_id", right_id="vec_id", distinct=True).select("left_id", "right_id", _r(F.col("distance")))
+    return search.range_join(e, e, 1.1, left_id="vec_id", right_id="vec_id", distinct=True).select("left_id", "right_id", _r(F.col("distance")))
 
 
 def _documents(e: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def vector_functions(spark, d):
 
 
 _FUNCTIONS_SQL = f"""WITH {_E} SELECT vec_id, len(v)::INTEGER AS dims, round(sqrt(list_inner_product(v, v)), 6) AS norm,
- round(list_sum(list_transform(range(1, len(v) + 1), i -> v[i] + qv[i])), 6) AS added, round(list_sum(list_transform(range(1, len(v) + 1), i -> v[i] - qv[i])), 6) AS subtracted,
+ round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] + qv[i])), 6) AS added, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] - qv[i])), 6) AS subtracted,
  round(list_inner_product(v, qv), 6) AS multiplied, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first,
  CASE WHEN v < qv THEN -1 WHEN v > qv THEN 1 ELSE 0 END::INTEGER AS compared, round(pow(list_distance(v, qv), 2), 6) AS squared FROM e, q"""
 
@@ -161,9 +161,9 @@ def sparse_functions(spark, d):
     return rows.select("vec_id", F.size("a.indexes").alias("n"), _r(V.sparse_dot(a, b), "dot"), _r(V.sparse_l2(a, b), "l2"), _r(V.sparse_norm(V.sparse_add(a, b)), "sum_norm"), _r(V.sparse_norm(V.sparse_subtract(a, b)), "difference_norm"), _r(V.sparse_norm(V.sparse_multiply(a, b)), "product_norm"))
 
 
-_SPARSE_SQL = f"""WITH {_E}, s AS (SELECT vec_id, list_transform(v, x -> CASE WHEN abs(x) > 0.125 THEN x ELSE 0 END) AS a, list_transform(qv, x -> CASE WHEN abs(x) > 0.125 THEN x ELSE 0 END) AS b FROM e, q),
- z AS (SELECT *, list_transform(range(1, len(a) + 1), i -> a[i] + b[i]) AS p, list_transform(range(1, len(a) + 1), i -> a[i] * b[i]) AS m FROM s)
- SELECT vec_id, len(list_filter(a, x -> x <> 0))::INTEGER AS n, round(list_inner_product(a, b), 6) AS dot, round(list_distance(a, b), 6) AS l2, round(sqrt(list_inner_product(p, p)), 6) AS sum_norm,
+_SPARSE_SQL = f"""WITH {_E}, s AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN abs(x) > 0.125 THEN x ELSE 0 END) AS a, list_transform(qv, lambda x: CASE WHEN abs(x) > 0.125 THEN x ELSE 0 END) AS b FROM e, q),
+ z AS (SELECT *, list_transform(range(1, len(a) + 1), lambda i: a[i] + b[i]) AS p, list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]) AS m FROM s)
+ SELECT vec_id, len(list_filter(a, lambda x: x <> 0))::INTEGER AS n, round(list_inner_product(a, b), 6) AS dot, round(list_distance(a, b), 6) AS l2, round(sqrt(list_inner_product(p, p)), 6) AS sum_norm,
  round(list_distance(a, b), 6) AS difference_norm, round(sqrt(list_inner_product(m, m)), 6) AS product_norm FROM z"""
 
 
@@ -180,7 +180,7 @@ def bit_functions(spark, d):
     return rows.select("vec_id", V.bit_dot(a, b).alias("dot"), V.bit_hamming(a, b).alias("hamming"), _r(V.bit_jaccard(a, b), "jaccard"))
 
 
-_BIT_SQL = f"""WITH {_E}, s AS (SELECT vec_id, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 AND qv[i] > 0)) AS shared, len(list_filter(range(1, len(v) + 1), i -> v[i] > 0 OR qv[i] > 0)) AS either FROM e, q)
+_BIT_SQL = f"""WITH {_E}, s AS (SELECT vec_id, len(list_filter(range(1, len(v) + 1), lambda i: v[i] > 0 AND qv[i] > 0)) AS shared, len(list_filter(range(1, len(v) + 1), lambda i: v[i] > 0 OR qv[i] > 0)) AS either FROM e, q)
  SELECT vec_id, shared::BIGINT AS dot, (either - shared)::BIGINT AS hamming, round(1 - shared / either, 6) AS jaccard FROM s"""
 
 
@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
     found["partitioned_topk"] = f"WITH {_E}, r AS (SELECT label, vec_id, {_d('l2')} AS d, row_number() OVER (PARTITION BY label ORDER BY {_d('l2')}, vec_id) AS rank FROM e, q) SELECT label, rank::INTEGER AS rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 3"
     found["ordered_scan"] = f"WITH {_E} SELECT vec_id, round({_d('l2')}, 6) AS distance FROM e, q"
     found["lateral_topk"] = _knn_sql("l2", "a.label <> b.label")
-    found["range_join"] = f"WITH {_E} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_d('l2', 'a.v', 'b.v')}, 6) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_d('l2', 'a.v', 'b.v')} < 0.75"
+    found["range_join"] = f"WITH {_E} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_d('l2', 'a.v', 'b.v')}, 6) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {_d('l2', 'a.v', 'b.v')} < 1.1"
     found |= {"maxsim_topk": _MAXSIM_SQL, "vector_functions": _FUNCTIONS_SQL, "sparse_functions": _SPARSE_SQL, "bit_functions": _BIT_SQL, "recall_intersect": _RECALL_SQL}
     found["ivf_full_probe_topk"] = _topk_sql("l2").replace("round(d, 6)", "round(d, 4)")
     found["ivf_filtered_range"] = f"WITH {_E} SELECT vec_id FROM e, q WHERE {_d('cosine')} < 0.75 AND label < 5"

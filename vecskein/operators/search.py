@@ -204,11 +204,12 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "
     keep = F.col("left_id") < F.col("right_id") if distinct else F.lit(True)
     if metric == "l2" and radius > 0:
         pivots = [list(p) for p in grid] if grid is not None else [r[0] for r in b.orderBy("right_id").limit(2).select("_b").collect()]
-        cell = lambda v, p: F.floor(V.l2(v, V.vector(p)) / F.lit(float(radius)))
+        # a hair wider than the radius, so that rounding moves no partner two cells away
+        cell = lambda v, p: F.floor(V.l2(v, V.vector(p)) / F.lit(float(radius) * (1 + 1e-9)))
         keys = [f"_c{k}" for k in range(len(pivots))]
         for key, p in zip(keys, pivots, strict=True):
             a = a.withColumn(key, cell(F.col("_a"), p))
-            b = b.withColumn(key, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d, p=p: cell(F.col("_b"), p) + d)))
+            b = b.withColumn(key, cell(F.col("_b"), p)).withColumn(key, F.explode(F.array(*[F.col(key) + d for d in (-1, 0, 1)])))
         pairs = a.join(b, keys) if keys else a.limit(0).crossJoin(b.limit(0))
     else:
         groups = 1 if _bounded(b, BLOCK_QUERIES) else max(1, -(-b.count() // BLOCK_QUERIES))

@@ -173,7 +173,7 @@ class GraphIndex:
         shards = max(1, -(-n // shard_rows))
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(shards)))
 
-        def run(key, table: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             ids = table["row_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             x = np.array(table["vector"].to_pylist(), np.float64)[order]
