@@ -133,7 +133,7 @@ def from_text(text: str, bits: int) -> dict:
     if not m:
         raise ValueError("incorrect vector")
     try:
-        head = [float(x) for x in m[1].replace(" ", "").split(",")]
+        head = [float(np.float32(x)) for x in m[1].replace(" ", "").split(",")]
         code = [int(x) for x in m[2].replace(" ", "").split(",")] if m[2].strip() else []
     except ValueError:
         raise ValueError("incorrect vector") from None
