@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(), "op7_topk": topk.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op7_topk": topk.oracle(), "op8_warc": warc.oracle()}
