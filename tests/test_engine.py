@@ -14,6 +14,7 @@ from vecskein.functions import vectors as V
 from vecskein.operators import kmeans, search
 from vecskein.plans.graph import GraphIndex
 from vecskein.plans.ivf import IvfIndex, external_tree
+from vecskein.plans.partitioned import PartitionedIndex
 from vecskein.plans.options import GraphOptions, IvfOptions, scan_options
 from vecskein.sources import sampling, store
 from vecskein.sources.query_log import QueryLog
@@ -226,6 +227,52 @@ def test_stream(spark, t, tmp_path):
     assert ids(index.search(Q8, 10, probes=[2])) == exact(t, Q8, 10, where=F.expr("id >= 20"))
 
 
+def test_partitions(t, tmp_path):
+    parts = {"zero": "category = 0", "others": "category in (1, 2)"}
+    index = PartitionedIndex.build(t.where("id < 300"), str(tmp_path / "p"), parts, "l2", None, {"others": {"internal": {"lists": [1]}}}, vector_col="val", scan_defaults=None)
+    index.insert(t.where("id >= 300"))
+    probes = {"zero": [], "others": [1]}
+    for names in (["zero"], ["others"]):
+        assert ids(index.search(Q8, 7, partitions=names, probes=probes[names[0]])) == exact(t, Q8, 7, where=F.expr(parts[names[0]]))
+    same = PartitionedIndex.build(t, str(tmp_path / "q"), parts, "cosine", vector_col="val")
+    assert ids(same.search(Q8, 7)) == exact(t, Q8, 7, "cosine")
+    assert ids(same.search(Q8, 7, t, "id % 2 = 0", prefilter=True)) == exact(t, Q8, 7, "cosine", F.expr("id % 2 = 0"))
+    same.delete(t.where("id % 3 = 1").select(F.col("id").alias("row_id")))
+    same.vacuum()
+    assert ids(same.search(Q8, 7)) == exact(t, Q8, 7, "cosine", F.expr("id % 3 <> 1"))
+    with pytest.raises(ValueError):
+        same.search(Q8, 7, partitions=[])
+    same.drop()
+    assert not store.exists(t.sparkSession, same.path)
+
+
+def test_phases(spark, t, tmp_path):
+    told = []
+    IvfIndex.build(t, str(tmp_path / "i"), "l2", None, "val", on_phase=told.append)
+    assert told == ["checking rows", "finding lists", "writing lists", "writing rows"]
+    GraphIndex.build(t, str(tmp_path / "g"), "l2", None, "val", on_phase=told.append)
+    assert told[4:] == ["checking rows", "building graphs"]
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
+
+
+def test_searches_are_sampled(spark, t, tmp_path):
+    log = QueryLog(spark, str(tmp_path / "log"))
+    index = IvfIndex.build(t, str(tmp_path / "i"), "ip", None, "val").sampled_by(log, "idx", "t")
+    index.search(Q8, 3)
+    assert log.sampled_queries().count() == 0  # off unless switched on
+    for name, value in (("enable", "on"), ("max_records", 10), ("rate", 1.0)):
+        session.set_option(spark, f"log.{name}", value)
+    try:
+        index.search(Q8, 3)
+    finally:
+        for name in ("enable", "max_records", "rate"):
+            session.unset_option(spark, f"log.{name}")
+    row = log.sampled_queries("idx").first()
+    assert (row["operator"], row["column_name"], row["value"]) == ("<#>", "val", "[0.3,-0.2,0.5,0.1,0,-0.7,0.2,0.4]")
+    index.drop()
+    assert log.sampled_queries().count() == 0
+
+
 def test_sql_names(spark, t):
     made = sql.register(spark)
     assert {"l2_distance", "cosine_distance", "maxsim", "quantize_to_rabitq8", "dequantize_rabitq4_to_halfvec"} <= set(made)

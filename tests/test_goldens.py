@@ -59,6 +59,15 @@ def test_inverted_lists(t, tmp_path, metric, options):
     assert ids(index.search(Q64, 10, probes=[ALL] if options else []), "row_id") == NEAR
 
 
+@pytest.mark.parametrize("bits, want", [(8, NEAR), (4, NEAR_4_BITS)])
+def test_index_of_quantised_vectors(spark, t, tmp_path, bits, want):
+    """The distance of two codes is that of the vectors they stand for, so those are what is indexed."""
+    coded = t.select("id", Q.quantize(F.col("val"), bits).alias("code"))
+    index = IvfIndex.build(coded.select("id", Q.dequantize(F.col("code"), bits).alias("val")), str(tmp_path / "i"), "l2", None, "val")
+    query = Q.decode(Q.encode(np.array(Q64), bits)[0], bits).tolist()
+    assert ids(index.search(query, 10), "row_id") == want
+
+
 def test_rerank_in_table(t, tmp_path):
     index = IvfIndex.build(t, str(tmp_path / "i"), "l2", {"rerank_in_table": True}, "val")
     assert ids(index.search(Q64, 10, t), "row_id") == NEAR

@@ -16,6 +16,7 @@ from vecskein.functions import vectors as V
 from vecskein.operators import kmeans, search
 from vecskein.plans.graph import GraphIndex
 from vecskein.plans.ivf import ALL, IvfIndex
+from vecskein.plans.partitioned import PartitionedIndex
 from vecskein.sources import sampling
 
 K = 10
@@ -211,6 +212,14 @@ def ivf_partial_probe(spark, d):
     return index.search(_query(spark, d), K, probes=[2, 8]).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
 
 
+def partitioned_index_topk(spark, d):
+    """An index for each of two partitions; of the second one's rows only even ids."""
+    e = _embeddings(spark, d)
+    index = PartitionedIndex.build(e, _scratch(spark, "parts"), {"low": "label < 5", "high": "label >= 5"}, "cosine", id_col="vec_id")
+    found = index.search(_query(spark, d), K, e, "label < 5 OR vec_id % 2 = 0", prefilter=True)
+    return found.orderBy("distance", "row_id").select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
+
+
 def ivf_after_maintenance(spark, d):
     """Half the rows built, half inserted, a seventh deleted, then vacuumed."""
     e = _embeddings(spark, d)
@@ -295,7 +304,7 @@ def queries() -> dict:
     found |= {f"sphere_{m}": _sphere(m) for m in ("l2", "ip", "cosine")}
     found |= {f"knn_join_{m}": _knn(m) for m in ("l2", "ip", "cosine")}
     found |= {f"rabitq{b}_topk": _quantized(b) for b in (8, 4)}
-    for f in (sphere_ordered, filtered_topk, partitioned_topk, ordered_scan, lateral_topk, range_join, maxsim_topk, vector_functions, sparse_functions, bit_functions, ivf_full_probe_topk, ivf_filtered_range, ivf_join, ivf_partial_probe, ivf_after_maintenance, ivf_maxsim, graph_topk, quantize_round_trip, half_precision, kmeans_lists, recall_intersect, block_sample, text_round_trip):
+    for f in (sphere_ordered, filtered_topk, partitioned_topk, ordered_scan, lateral_topk, range_join, maxsim_topk, vector_functions, sparse_functions, bit_functions, ivf_full_probe_topk, ivf_filtered_range, ivf_join, ivf_partial_probe, partitioned_index_topk, ivf_after_maintenance, ivf_maxsim, graph_topk, quantize_round_trip, half_precision, kmeans_lists, recall_intersect, block_sample, text_round_trip):
         found[f.__name__] = f
     return found
 
@@ -315,5 +324,6 @@ def oracle_sql() -> dict[str, str]:
     found["ivf_filtered_range"] = f"WITH {_E} SELECT vec_id FROM e, q WHERE {_d('cosine')} < 0.75 AND label < 5"
     found["ivf_join"] = _knn_sql("ip").replace("round(d, 6)", "round(d, 4)")
     found["ivf_after_maintenance"] = _topk_sql("l2", "vec_id % 7 <> 3").replace("round(d, 6)", "round(d, 4)")
+    found["partitioned_index_topk"] = _topk_sql("cosine", "label < 5 OR vec_id % 2 = 0").replace("round(d, 6)", "round(d, 4)")
     found["text_round_trip"] = f"WITH {_E} SELECT vec_id, TRUE AS same FROM e"
     return found

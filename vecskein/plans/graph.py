@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -141,7 +141,13 @@ class GraphIndex:
         return "l2" if self.meta["metric"] == "l2" else "ip"
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, metric: str = "l2", options: str | dict | None = None, vector_col: str = "embedding", id_col: str = "id", where: str | None = None, shard_rows: int = SHARD_ROWS, scan_defaults: dict | None = None) -> GraphIndex:
+    def build(cls, df: DataFrame, path: str, metric: str = "l2", options: str | dict | None = None, vector_col: str = "embedding", id_col: str = "id", where: str | None = None, shard_rows: int = SHARD_ROWS, scan_defaults: dict | None = None, on_phase: Callable[[str], None] | None = None) -> GraphIndex:
+        with store.phases(df.sparkSession, on_phase) as phase:
+            return cls._build(df, path, metric, options, vector_col, id_col, where, shard_rows, scan_defaults, phase)
+
+    @classmethod
+    def _build(cls, df, path, metric, options, vector_col, id_col, where, shard_rows, scan_defaults, phase) -> GraphIndex:
+        phase("checking rows")
         spark, opts = df.sparkSession, GraphOptions.parse(options)
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}")
@@ -154,6 +160,7 @@ class GraphIndex:
         version = f"v-{uuid.uuid4().hex}"
         root = f"{path.rstrip('/')}/{version}"
         store.write_json(spark, f"{root}/meta.json", {"metric": metric, "dim": dim or 1, "options": opts.as_dict(), "vector_col": vector_col, "id_col": id_col, "where": where, "shard_rows": shard_rows, "scan": scan_defaults or {}})
+        phase("building graphs")
         cls._write(rows, n, metric, opts, shard_rows, f"{root}/shards/{uuid.uuid4().hex}")
         pointer = f"{path.rstrip('/')}/current.json"
         old = store.read_json(spark, pointer)["version"] if store.exists(spark, pointer) else None

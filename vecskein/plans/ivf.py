@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +113,8 @@ def internal_tree(rows: DataFrame, options: InternalBuild, dim: int) -> list[tup
     levels = [leaves]
     for n in reversed(options.lists[:-1]):
         levels.append(fit(levels[-1], n, options.kmeans_iterations, options.spherical_centroids))
-    if len(levels[-1]) > 1:
-        levels.append(levels[-1].mean(axis=0, keepdims=True))
+    # one root above all, so that a scan takes as many probes as there are levels of lists
+    levels.append(levels[-1].mean(axis=0, keepdims=True))
     return link(levels)
 
 
@@ -171,6 +171,7 @@ class IvfIndex:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._log: tuple | None = None
         self.version = store.read_json(spark, f"{self.path}/current.json")["version"]
         self.meta = store.read_json(spark, f"{self.root}/meta.json")
         self.options = IvfOptions.parse({k: v for k, v in self.meta["options"].items() if v is not None})
@@ -195,11 +196,18 @@ class IvfIndex:
     # Building.
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, metric: str = "l2", options: str | dict | None = None, vector_col: str = "embedding", id_col: str = "id", multivector: bool = False, where: str | None = None, scan_defaults: dict | None = None) -> IvfIndex:
+    def build(cls, df: DataFrame, path: str, metric: str = "l2", options: str | dict | None = None, vector_col: str = "embedding", id_col: str = "id", multivector: bool = False, where: str | None = None, scan_defaults: dict | None = None, on_phase: Callable[[str], None] | None = None) -> IvfIndex:
         """Build over a column or expression; null vectors are left out, ``where`` makes a partial index.
 
-        With ``multivector`` the column holds arrays of vectors, ranked by late interaction.
+        With ``multivector`` the column holds arrays of vectors, ranked by late interaction. ``on_phase`` is told each
+        phase as it begins; Spark's jobs carry it as their description.
         """
+        with store.phases(df.sparkSession, on_phase) as phase:
+            return cls._build(df, path, metric, options, vector_col, id_col, multivector, where, scan_defaults, phase)
+
+    @classmethod
+    def _build(cls, df, path, metric, options, vector_col, id_col, multivector, where, scan_defaults, phase) -> IvfIndex:
+        phase("checking rows")
         spark = df.sparkSession
         opts = IvfOptions.parse(options)
         if metric not in METRICS:
@@ -215,15 +223,18 @@ class IvfIndex:
         meta = {"metric": metric, "dim": dim, "options": opts.as_dict(), "vector_col": vector_col, "id_col": id_col, "multivector": multivector, "where": where, "scan": scan_defaults or {}}
         if metric == "cosine":
             rows = rows.withColumn("vector", _normal(F.col("vector")))
+        phase("finding lists")
         if opts.external is not None:
             levels = external_tree(spark.table(opts.external.table), dim)
         else:
             levels = internal_tree(rows, opts.internal or InternalBuild(), dim)
         levels = [(rotate(c), kids) for c, kids in levels]
         root = f"{path.rstrip('/')}/{version}"
+        phase("writing lists")
         flat = [(k, i, c.tolist(), kids[i]) for k, (cs, kids) in enumerate(levels) for i, c in enumerate(cs)]
         spark.createDataFrame(flat, "level int, id int, centroid array<double>, children array<int>").coalesce(1).write.parquet(f"{root}/centroids")
         store.write_json(spark, f"{root}/meta.json", meta)
+        phase("writing rows")
         cls._encode(rows, Tree(levels), metric, opts, f"{root}/postings/{uuid.uuid4().hex}")
         old = store.read_json(spark, f"{path.rstrip('/')}/current.json")["version"] if store.exists(spark, f"{path.rstrip('/')}/current.json") else None
         store.write_json(spark, f"{path.rstrip('/')}/current.json", {"version": version})
@@ -329,6 +340,9 @@ class IvfIndex:
             raise ValueError("a multivector index is searched with maxsim")
         if query is None:
             return empty
+        if self._log is not None:
+            log, name, table_name = self._log
+            log.record(name, table_name, self.meta["vector_col"], self.metric, query)
         if not opts["enable_scan"]:
             return self._sequential(query, k, table, where, radius)
         q = self._prepared(query)
@@ -469,8 +483,15 @@ class IvfIndex:
         m = self.meta
         return IvfIndex.build(df, self.path, m["metric"], {k: v for k, v in m["options"].items() if v is not None}, m["vector_col"], m["id_col"], m["multivector"], m["where"], m["scan"])
 
+    def sampled_by(self, log, name: str, table_name: str = "") -> IvfIndex:
+        """Offer the query of every search to ``log``, under the session's sampling options, and forget them with the index."""
+        self._log = (log, name, table_name)
+        return self
+
     def drop(self) -> None:
         store.remove(self.spark, self.path)
+        if self._log is not None:
+            self._log[0].drop(self._log[1])
 
     def list_counts(self) -> DataFrame:
         return self.postings().groupBy("list_id").agg(F.count("*").alias("rows"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,21 @@ def read_parts(spark: SparkSession, path: str, schema) -> DataFrame:
     """All Parquet parts below ``path``; none is an empty table."""
     names = children(spark, path)
     return spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
+@contextmanager
+def phases(spark: SparkSession, told: Callable[[str], None] | None = None) -> Iterator[Callable[[str], None]]:
+    """A function that announces the phases of a build: to the log, to ``told``, and as description of Spark's jobs."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty("spark.job.description")
+
+    def phase(name: str) -> None:
+        sc.setLocalProperty("spark.job.description", f"vecskein: {name}")
+        logging.getLogger("vecskein").info("build: %s", name)
+        if told is not None:
+            told(name)
+
+    try:
+        yield phase
+    finally:
+        sc.setLocalProperty("spark.job.description", before)
