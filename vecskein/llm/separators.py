@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import materialize, scratch_path, small_batches, spread
+from .common import materialize, remove, scratch_path, small_batches, spread
 
 #: Tokens in one scanned block, and about how many go to one file.
 BLOCK = 1 << 20
@@ -145,5 +145,8 @@ def token_counts(docs: DataFrame, ranks: str, vocabulary: str, id_col: str = "do
     Repeated rows are written, and counted, as often as they occur; null ids are carried through.
     """
     placed = write_tokens(docs, ranks, vocabulary, id_col, text_col, eod, file_tokens)
+    first = placed.select("file").first()
     counted = count(placed.select("file", "n_bytes", "width").distinct(), eod, block)
+    if first is not None:  # the separators are written by now: nothing reads the token files again
+        remove(docs.sparkSession, first[0].rpartition("/")[0])
     return placed.select("file", "ordinal", "doc_id").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

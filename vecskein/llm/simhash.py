@@ -228,7 +228,10 @@ def groups(marked: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     # the root of a group is its smallest fingerprint; its class is its smallest id
     named = materialize(firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
     least = materialize(named.groupBy("root").agg(F.min("first").alias("component")), "least")
-    return materialize(named.join(least, "root").select("fp", "component"), "groups")
+    out = materialize(named.join(least, "root").select("fp", "component"), "groups")
+    for old in (firsts, tree, named, least):
+        release(old)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
