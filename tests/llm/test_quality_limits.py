@@ -24,6 +24,16 @@ def noise(n, alphabet, seed=1):
     return s[:n].encode()
 
 
+@pytest.fixture(scope="module")
+def prose():
+    """Long texts labelled good that are kept whole."""
+    good = {r["doc_id"] for r in pq.read_table(f"{D}/labels.parquet").to_pylist() if r["quality"] == 1}
+    rows = pq.read_table(f"{D}/documents.parquet").to_pylist()
+    found = [t for r in rows if r["doc_id"] in good and r["lang"] == "en" and len(t := r["text"].encode()) >= 20_480 and kept(t)]
+    assert found
+    return found[0]
+
+
 # base64 in short words overlaps with prose below 160 bytes
 @pytest.mark.parametrize("n, name", [(n, name) for n in LENGTHS for name in ALPHABETS if n >= 160 or name == "printable"])
 def test_noise_is_dropped(n, name):
@@ -46,3 +56,26 @@ def test_labelled_good_stays():
     good = {r["doc_id"] for r in pq.read_table(f"{D}/labels.parquet").to_pylist() if r["quality"] == 1}
     texts = [r["text"].encode() for r in pq.read_table(f"{D}/documents.parquet").to_pylist() if r["doc_id"] in good]
     assert all(v[-1] for v in quality_rules.judge(texts) if not v[5])
+
+
+@pytest.mark.parametrize("junk", ["noise", "repetition"])
+@pytest.mark.parametrize("at", [0, 1024, 2048, 3072, 4096, 6144, 9000, None])
+def test_stretch_shows_wherever_it_lies(prose, junk, at):
+    body = prose[:16_384]
+    stretch = noise(4096, ALPHABETS["printable"]) if junk == "noise" else (b"click here to buy now " * 187)[:4096]
+    at = len(body) if at is None else at
+    text = body[:at] + b" " + stretch + b" " + body[at:]
+    low, high = quality_rules.judge([text])[0][7:9]
+    assert low < quality_rules.CHUNK_BAND[0] or high > quality_rules.CHUNK_BAND[1]
+    assert quality_rules.within(len(body), 2.4, *quality_rules.judge([body])[0][7:9])
+
+
+@pytest.mark.parametrize("n", [4096, 5000, 8191])
+def test_chunks_from_one_chunk_on(prose, n):
+    assert quality_rules.judge([prose[:n]])[0][7] is not None
+    assert quality_rules.judge([prose[:4095]])[0][7] is None
+
+
+def test_tail_is_judged(prose):
+    text = prose[:12_288] + (b"click here to buy now " * 200)[:4000]
+    assert quality_rules.judge([text])[0][8] > quality_rules.CHUNK_BAND[1]

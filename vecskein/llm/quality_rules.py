@@ -2,8 +2,9 @@
 
 A text that zstandard shrinks far more than prose of its length repeats itself; one that it hardly
 shrinks is noise. The limits depend on the length, since short texts carry frame overhead and long
-ones give the compressor more history. Whole texts and fixed chunks are both held against them: a
-repetitive stretch inside a long document shows in its chunks alone.
+ones give the compressor more history. Whole texts and chunks are both held against them: a repetitive
+stretch inside a long document shows in its chunks alone. Chunks overlap by half and the last one ends
+with the text, so that no part goes unjudged.
 
 One pass over the rows, no shuffle; memory is one Arrow batch and one document at a time.
 """
@@ -44,7 +45,7 @@ BANDS = (
     (None, 1.70, 3.2),
 )
 CHUNK = 4096
-#: Limits of one whole chunk.
+#: Limits of one chunk.
 CHUNK_BAND = (1.60, 3.0)
 LEVEL = 3
 
@@ -114,13 +115,14 @@ def band_of(n_bytes: int, bands=BANDS) -> tuple[float | None, float | None]:
 
 
 def compression(text: bytes, squeeze, chunk: int = CHUNK) -> tuple[float | None, float | None, float | None]:
-    """Ratio of the whole text, and the least and greatest of its whole chunks (None: too short for one)."""
+    """Ratio of the whole text, and the least and greatest of its chunks, half a chunk apart and one at the end (None: too short for one)."""
     if not text:
         return None, None, None
     whole = len(text) / len(squeeze(text))
-    if len(text) < 2 * chunk:
+    if len(text) < chunk:
         return whole, None, None
-    parts = [chunk / len(squeeze(text[i : i + chunk])) for i in range(0, len(text) - chunk + 1, chunk)]
+    starts = {*range(0, len(text) - chunk + 1, max(1, chunk // 2)), len(text) - chunk}
+    parts = [chunk / len(squeeze(text[i : i + chunk])) for i in starts]
     return whole, min(parts), max(parts)
 
 
