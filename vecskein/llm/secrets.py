@@ -6,7 +6,8 @@ is linear in its text (times the square root of its matches, for their offsets).
 The models are first-order character chains. Labelled samples, random strings and ordinary identifiers, are
 tables; their transition counts are aggregated by Spark, smoothed, and the difference of log-likelihoods of
 every pair of characters becomes one constant array. A candidate string is flagged when its mean
-log-likelihood ratio per transition passes a threshold.
+log-likelihood ratio per transition passes a threshold. Where the whole stays below it, its windows above it
+are judged by themselves, so that words glued to secrets don't hide them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio (nats a transition) from which a candidate is random.
 THRESHOLD = 0.35
+#: Least characters of a window: ends of a random string may score low and fall off.
+WINDOW = 14
+#: A window ends where the sum over the threshold has fallen this far below its peak (nats).
+DROP = 12.0
 KINDS = ("assign", "access", "hex", "markov")
 
 _WORDS = (
@@ -63,8 +68,8 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0, hint: str | None = None) -> Column:
-    """Array of (start, rank, end) of the matches that ``keep`` (of the match and its group) lets stay.
+def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0, hint: str | None = None, parts=None) -> Column:
+    """Array of (start, rank, end) of the matches that ``keep`` (of the match and its group) lets stay, or of their ``parts``.
 
     Matches are leftmost and do not overlap; a match that fails still uses up its characters.
     """
@@ -75,6 +80,9 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0, hint: st
     ends = _prefix_sums(F.zip_with(before, lengths, lambda g, m: g + m))
     rows = F.arrays_zip(ends.alias("e"), lengths.alias("n"), found.alias("m"), (_matches(text, pattern, group) if group else found).alias("g"))
     spans = F.transform(F.filter(rows, lambda r: keep(r["m"], r["g"])), lambda r: F.struct((r["e"] - r["n"]).alias("start"), F.lit(kind).alias("rank"), r["e"].alias("end")))
+    if parts is not None:
+        inner = lambda r: F.transform(parts(r["m"]), lambda p: F.struct((r["e"] - r["n"] + p["start"]).alias("start"), F.lit(kind).alias("rank"), (r["e"] - r["n"] + p["end"]).alias("end")))
+        spans = F.flatten(F.transform(rows, inner))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     return F.when(text.rlike(hint or pattern), spans).otherwise(none)
 
@@ -122,21 +130,54 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
-def _ratio(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio per transition of one candidate."""
+def _steps(token: Column, table: Column) -> Column:
+    """Log-likelihood ratio of every transition of one candidate."""
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     index = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     size = F.size(index)
-    steps = F.zip_with(F.slice(index, 1, size - 1), F.slice(index, 2, size - 1), lambda a, b: F.get(table, a * len(ALPHABET) + b))
-    return F.reduce(steps, F.lit(0.0), lambda acc, x: acc + x) / (size - 1)
+    return F.zip_with(F.slice(index, 1, size - 1), F.slice(index, 2, size - 1), lambda a, b: F.get(table, a * len(ALPHABET) + b))
 
 
-def _table(weights: list[float]) -> Column:
-    return F.split(F.lit(",".join(f"{w:.5f}" for w in weights)), ",").cast("array<double>")
+def _ratio(token: Column, table: Column) -> Column:
+    """Mean log-likelihood ratio per transition of one candidate."""
+    return F.reduce(_steps(token, table), F.lit(0.0), lambda acc, x: acc + x) / (F.length(token) - 1)
+
+
+def _windows(token: Column, table: Column, threshold: float) -> Column:
+    """(start, end) of the stretches in which the sum of ratios over ``threshold`` rises to a peak, in characters."""
+    zero, none = F.lit(0.0), F.lit(0)
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    first = F.struct(none.alias("i"), zero.alias("sum"), zero.alias("best"), none.alias("start"), none.alias("end"), empty.alias("done"))
+
+    def long(acc: Column) -> Column:
+        return F.when(acc["end"] - acc["start"] >= WINDOW, F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["done"])
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x - F.lit(threshold)
+        over = (total <= 0) | (total <= acc["best"] - DROP)
+        more = total > acc["best"]
+        after = acc["i"] + 1
+        return F.when(over, F.struct(after.alias("i"), zero.alias("sum"), zero.alias("best"), after.alias("start"), after.alias("end"), long(acc).alias("done"))).otherwise(
+            F.struct(after.alias("i"), total.alias("sum"), F.when(more, total).otherwise(acc["best"]).alias("best"), acc["start"].alias("start"), F.when(more, after + 1).otherwise(acc["end"]).alias("end"), acc["done"].alias("done"))
+        )
 
+    return F.reduce(_steps(token, table), first, step, long)
 
-def _random(token: Column, table: Column, threshold: float) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (_ratio(token, table) >= threshold)
+
+def _mixed(token: Column) -> Column:
+    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+
+
+def _parts(token: Column, table: Column, threshold: float) -> Column:
+    """(start, end) of what is random in a candidate: all of it, or else windows of it."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
+    some = F.filter(_windows(token, table, threshold), lambda w: _mixed(F.substring(token, w["start"] + 1, w["end"] - w["start"])))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(~_mixed(token), none).when(_ratio(token, table) >= threshold, whole).otherwise(some)
+
+
+def _table(weights: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{w:.5f}" for w in weights)), ",").cast("array<double>")
 
 
 def all_spans(text: Column, weights: list[float], threshold: float = THRESHOLD) -> list[Column]:
@@ -147,7 +188,7 @@ def all_spans(text: Column, weights: list[float], threshold: float = THRESHOLD)
         _spans(text, ASSIGN, 0, lambda m, g: F.length(g) >= 8, 2, ASSIGN_HINT),
         _spans(text, ACCESS, 1, yes),
         _spans(text, HEX, 2, yes),
-        _spans(text, CANDIDATE, 3, lambda m, g: _random(m, table, threshold)),
+        _spans(text, CANDIDATE, 3, yes, parts=lambda m: _parts(m, table, threshold)),
     ]
 
 
@@ -175,11 +216,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     )
 
 
-def _masked(text: Column, pattern: str, keep, mask: str, group: int = 0, hint: str | None = None) -> Column:
-    """The text with every match that ``keep`` holds for replaced by ``mask``; linear in the text."""
+def _cut(token: Column, parts: Column, mask: str) -> Column:
+    """The candidate with its parts, in order and apart, replaced by ``mask``."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], F.substring(token, acc["at"] + 1, p["start"] - acc["at"]), F.lit(mask)).alias("out"))
+    return F.reduce(parts, first, step, lambda acc: F.concat(acc["out"], F.substring(token, acc["at"] + 1, F.length(token))))
+
+
+def _masked(text: Column, pattern: str, keep, mask: str, group: int = 0, hint: str | None = None, parts=None) -> Column:
+    """The text with every match that ``keep`` holds for, or its ``parts``, replaced by ``mask``; linear in the text."""
     found, gaps = _matches(text, pattern), F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("m"), (_matches(text, pattern, group) if group else found).alias("g"))
     filled = F.transform(rows, lambda r: F.when(keep(r["m"], r["g"]), F.lit(mask)).otherwise(r["m"]))
+    if parts is not None:
+        filled = F.transform(rows, lambda r: _cut(r["m"], parts(r["m"]), mask))
     joined = F.array_join(F.zip_with(gaps, filled, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     return F.when(text.rlike(hint or pattern), joined).otherwise(text)
 
@@ -195,10 +245,10 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         (ASSIGN, lambda m, g: F.length(g) >= 8, 2, ASSIGN_HINT),
         (ACCESS, yes, 0, None),
         (HEX, yes, 0, None),
-        (CANDIDATE, lambda m, g: _random(m, table, threshold), 0, None),
+        (CANDIDATE, yes, 0, None, lambda m: _parts(m, table, threshold)),
     )
     # one column a step: nested, each would be evaluated many times over
-    out = reduce(lambda df, s: df.withColumn(text_col, _masked(F.col(text_col), s[0], s[1], mask, s[2], s[3])), steps, spread(docs))
+    out = reduce(lambda df, s: df.withColumn(text_col, _masked(F.col(text_col), s[0], s[1], mask, *s[2:])), steps, spread(docs))
     if length_col and length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(kind), F.col(length_col)))
