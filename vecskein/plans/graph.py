@@ -26,6 +26,8 @@ from vecskein.plans.options import MAX_DIM, METRICS, GraphOptions, scan_options
 from vecskein.sources import store
 
 SHARD_ROWS = 8192
+#: An ef that no shard reaches.
+ALL_NODES = 1 << 62
 SHARD = "shard long, n long, ids binary, vectors binary, codes binary, measures binary, start long, heads binary, edges binary"
 
 
@@ -207,7 +209,11 @@ class GraphIndex:
         return self.spark.read.parquet(*[f"{self.root}/tombstones/{n}" for n in names]).distinct() if names else None
 
     def search(self, query, k: int | None = 10, table: DataFrame | None = None, where: Column | str | None = None, radius: float | None = None, **scan) -> DataFrame:
-        """(row_id, distance): the k nearest that the shards' walks find. A null query has no rows."""
+        """(row_id, distance): the k nearest that the shards' walks find. A null query has no rows.
+
+        Walks count only rows that pass ``where``, so they go on past ef until enough do or nothing waits; a radius or no
+        ``k`` lifts the bound of ef. ``max_scan_tuples`` counts rows before the filter.
+        """
         opts = scan_options(self.spark, "graph", scan, self.meta["scan"])
         if query is None:
             return self.spark.createDataFrame([], "row_id long, distance double")
@@ -218,14 +224,16 @@ class GraphIndex:
             found = search.scored(rows, list(map(float, query)), self.meta["metric"], "vector").where("distance IS NOT NULL").select("row_id", "distance").orderBy("distance", "row_id")
             return found if k is None else found.limit(k)
         asked = self.spark.createDataFrame([(0, [float(v) for v in query])], "query_id long, query array<double>")
-        ef = max(opts["ef_search"], k or 0)
-        found = self._walked(asked, ef, opts["beam_search"]).select("row_id", "distance")
+        most = opts["max_scan_tuples"]
+        ef = ALL_NODES if radius is not None or k is None else max(opts["ef_search"], k, most)
+        passing = None if where is None else table.where(where).select(F.col(self.meta["id_col"]).cast("long").alias("row_id"))
+        found = self._walked(asked, ef, opts["beam_search"], passing=passing if most < 0 else None).select("row_id", "distance")
         if radius is not None:
             found = found.where(F.col("distance") < float(radius))
-        if opts["max_scan_tuples"] >= 0:
-            found = found.orderBy("distance", "row_id").limit(opts["max_scan_tuples"])
-        if where is not None:
-            found = found.join(table.where(where).select(F.col(self.meta["id_col"]).cast("long").alias("row_id")), "row_id", "left_semi")
+        if most >= 0:
+            found = found.orderBy("distance", "row_id").limit(most)
+            if passing is not None:
+                found = found.join(passing, "row_id", "left_semi")
         found = found.orderBy("distance", "row_id")
         return found if k is None else found.limit(k)
 
@@ -236,8 +244,9 @@ class GraphIndex:
         order = W.partitionBy("query_id").orderBy("distance", "row_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "distance")
 
-    def _walked(self, queries: DataFrame, ef: int, beam: int, block: int = 256) -> DataFrame:
+    def _walked(self, queries: DataFrame, ef: int, beam: int, block: int = 256, passing: DataFrame | None = None) -> DataFrame:
         inner, metric, dim, bits = self.inner, self.meta["metric"], self.meta["dim"], self.options.bits
+        filtered = passing is not None
         asked = queries.where("query IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
         groups = max(1, -(-asked.count() // block))
         blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
@@ -248,6 +257,9 @@ class GraphIndex:
         else:  # tombstones go to the shards that may hold their rows; each shard checks its own
             held = shards.select("shard", F.explode(_longs(F.col("ids"))).alias("row_id")).join(dead, "row_id", "left_semi").groupBy("shard").agg(F.collect_set("row_id").alias("gone"))
             shards = shards.join(held, "shard", "left")
+        if passing is not None:  # so do the rows that a filter lets pass
+            held = shards.select("shard", F.explode(_longs(F.col("ids"))).alias("row_id")).join(passing, "row_id", "left_semi").groupBy("shard").agg(F.collect_set("row_id").alias("passing"))
+            shards = shards.join(held, "shard")
         pairs = shards.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(blocks, "g")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +272,8 @@ class GraphIndex:
                     measures = np.frombuffer(r["measures"], np.float64).reshape(n, 2)
                     heads, flat = np.frombuffer(r["heads"], np.int64), np.frombuffer(r["edges"], np.int32)
                     alive = ~np.isin(ids, np.array(r["gone"] or [], np.int64))
+                    if filtered:
+                        alive &= np.isin(ids, np.array(r["passing"], np.int64))
                     edges = lambda u: flat[heads[u] : heads[u + 1]]  # noqa: B023, E731
                     out = []
                     for a in r["asked"]:
