@@ -208,8 +208,11 @@ def ivf_join(spark, d):
 
 
 def ivf_partial_probe(spark, d):
-    index = IvfIndex.build(_embeddings(spark, d), _scratch(spark, "ivf"), "l2", {"residual_quantization": True, "internal": {"lists": [4, 32], "kmeans_algorithm": "hierarchical"}}, id_col="vec_id")
-    return index.search(_query(spark, d), K, probes=[2, 8]).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
+    """Part of the lists for every query; on sf0.1 a recall of 0.95 (0.60 at probes of 2 and 8)."""
+    e = _embeddings(spark, d)
+    index = IvfIndex.build(e, _scratch(spark, "ivf"), "l2", {"residual_quantization": True, "internal": {"lists": [4, 32], "kmeans_algorithm": "hierarchical"}}, id_col="vec_id")
+    found = index.search_many(_asked(e), K, probes=[4, 24])
+    return found.select("query_id", "rank", F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
 
 
 def partitioned_index_topk(spark, d):
@@ -278,7 +281,7 @@ def kmeans_lists(spark, d):
 
 
 def recall_intersect(spark, d):
-    """Ids that codes of 8 bits and full precision both put among the first hundred."""
+    """Ids that l2 and inner product, both exact, put among the first hundred."""
     e, q = _embeddings(spark, d), _query(spark, d)
     a = search.topk(e, q, 100, "l2", id_col="vec_id").select("vec_id")
     b = search.topk(e, q, 100, "ip", id_col="vec_id").select("vec_id")
