@@ -27,7 +27,7 @@ _SYMBOLS = b"#*$%&|<>"
 #: (bytes below which the row holds, least ratio, greatest ratio); None: no limit on that side.
 #: Low limits lie between base64 noise (0.98 at 127 bytes, 1.27 at 767, 1.36 from 4 KB) and the least of prose labelled good
 #: (1.14, 1.47, 1.95). Below 160 bytes base64 noise in short words (to 1.04) nears the least of prose (1.05), so that some
-#: of it stays. High limits lie over the greatest of prose in all languages that passes the base rules.
+#: of it stays. High limits lie over the greatest of prose labelled good (1.28, 2.02, 2.54).
 BANDS = (
     (128, 1.0, 1.8),
     (160, 1.03, 1.9),
