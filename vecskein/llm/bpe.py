@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, spread
+from .common import materialize, spread
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points that Unicode made letters or numbers after version 16, which the tokenizer's pattern follows.
@@ -183,9 +183,7 @@ def _codec(broadcast) -> Codec:
 
 
 def _per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, fields, work) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark, 500)
-    shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     picked = spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, t) for n, t, _ in fields)])
 
@@ -196,7 +194,7 @@ def _per_text(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, fiel
             cols = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(cols, fields, strict=True))], ["doc_id", *(n for n, _, _ in fields)])
 
-    return picked.mapInArrow(run, schema)
+    return materialize(picked.mapInArrow(run, schema), "codes")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +224,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
             texts = pa.array([codec.decode(np.array(x or [], np.int64)) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(b.columns)], [f.name for f in fields])
 
-    return encoded.mapInArrow(run, T.StructType(fields))
+    return materialize(encoded.mapInArrow(run, T.StructType(fields)), "decoded")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

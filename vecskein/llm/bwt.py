@@ -5,8 +5,9 @@ in one block, and each round deals them by the symbols before their suffixes, st
 many more symbols. Rows part into blocks as their prefixes differ, and the round in which two neighbours part
 gives their common prefix. After ``depth`` symbols the blocks that are left are the repeated intervals.
 
-A round takes ``STEP`` symbols at once, so the common prefixes are known to that grain. Each string ends in a
-terminator of its own, so no repeat reaches across strings.
+A round takes ``step`` symbols at once, so the common prefixes are known to that grain; one symbol gives them exactly.
+Each string ends in a terminator of its own, so no repeat reaches across strings. Equal strings are one string with a
+weight, as in a run-length encoded transform: each of its rows stands for as many suffixes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 4
+#: Symbols that a round takes where only whole repeats are asked for, at most.
+WIDEST = 10
 
 
 class Shard:
@@ -61,71 +64,99 @@ class Shard:
             key, width = rank * top + ahead, width * 2
 
 
-def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _names(symbols: np.ndarray, back: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, row, open) of every row: its last ``step`` symbols, nearest least, named in their order; the row they lead to;
+    and whether a terminator is among them. Long codes are pairs of short ones.
+    """
+    if step > 5:
+        near, row, open_ = _names(symbols, back, step // 2)
+        far, end, beyond = _names(symbols, back, step - step // 2)
+        code = far[row] * (int(near.max(initial=0)) + 1) + near
+        row, open_ = end[row], open_ | beyond[row]
+    else:
+        code, row, open_ = np.zeros(len(symbols), np.int64), np.arange(len(symbols)), np.zeros(len(symbols), bool)
+        for k in range(step):
+            at = symbols[row]
+            code += at << (9 * k)
+            open_ |= at == 0
+            row = back[row]
+    return np.unique(code, return_inverse=True)[1], row, open_
+
+
+def _stable(code: np.ndarray) -> np.ndarray:
+    """The order of small codes, equal ones as they come."""
+    bits = max(1, len(code).bit_length())
+    return np.sort((code << bits) | np.arange(len(code))) & ((1 << bits) - 1)
+
+
+def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True, weight: np.ndarray | None = None, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(source, block, common) of the merged rows, ordered by ``depth`` symbols.
 
     source: the row in the concatenated shards; block: its repeated interval; common: symbols, to the grain of
-    ``step``, that a row shares with the one before it (depth where they are in one block). ``depth`` is
-    a multiple of ``step``. Unless ``whole``, only the rows of repeated intervals are given: a row is dropped as soon as
-    it is alone in its block, since what precedes it is then alone in the next round.
+    ``step``, that a row shares with the one before it (depth where they are in one block; zeros without ``prefixes``).
+    ``depth`` is a multiple of ``step``. ``weight`` says how many equal suffixes a row of the concatenated shards stands for (one each
+    unless given): the run length of its place in the transform. Unless ``whole``, only the rows of repeated intervals are
+    given, those of two suffixes or more: a row is dropped as soon as its block holds one suffix, since what precedes
+    it is then alone in the next round, and as soon as its prefix holds a terminator.
     """
     sizes = np.array([s.n for s in shards])
     shift = np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     symbols = np.concatenate([s.symbols for s in shards])
     back = np.concatenate([s.step_back for s in shards]) + shift
-    # the last ``step`` symbols before each suffix, nearest last, as one code, and the row they lead to
-    code, row, open_ = np.zeros(len(symbols), np.int64), np.arange(len(symbols)), np.zeros(len(symbols), bool)
-    for k in range(step):
-        at = symbols[row]
-        code += at << (9 * k)
-        open_ |= at == 0
-        row = back[row]
-    names, code = np.unique(code, return_inverse=True)
-    code = code.astype(np.uint16) if len(names) <= 1 << 16 else code
+    code, row, open_ = _names(symbols, back, step)
     source = np.arange(len(symbols))
     block = np.zeros(len(symbols), np.int64)
-    common = np.full(len(symbols), depth, np.int64)
+    common = np.zeros(len(symbols), np.int64)
     for done in range(0, depth, step):
         c = code[source]
-        order = np.argsort(c, kind="stable")
+        order = _stable(c)
         old, c, block = source[order], c[order], block[order]
-        source = row[old]
+        source, ends = row[old], open_[old]
         part = np.empty(len(c), bool)
         part[0] = True
         part[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        part |= open_[old]
+        part |= ends
         block = part.cumsum()
-        # blocks are refined in place: where neighbours part for the first time, their common prefix is known
-        common[part & (common == depth)] = done
+        if prefixes:  # rows that a step leads on from share that step and what lay between the rows it came from
+            shared = np.zeros(len(c), np.int64)
+            on = np.flatnonzero((c[1:] == c[:-1]) & ~ends[1:]) + 1
+            if len(on):
+                between = np.stack([order[on - 1] + 1, order[on] + 1], 1).ravel()
+                shared[on] = step + np.minimum.reduceat(np.append(common, 0), between)[::2]
+            common = shared
         if not whole:
             alone = part & np.append(part[1:], True)
+            if weight is not None:
+                alone &= (weight[source] < 2) | ends
             if alone.any():
                 rest = np.flatnonzero(~alone)
                 if not len(rest):
                     return source[:0], block[:0], common[:0]
-                # what two neighbours share is the least of what all rows between them did
-                common = np.minimum.reduceat(common[: rest[-1] + 1], np.append(0, rest[:-1] + 1))
+                if prefixes:  # what two neighbours share is the least of what all rows between them did
+                    common = np.minimum.reduceat(common[: rest[-1] + 1], np.append(0, rest[:-1] + 1))
                 source, block = source[rest], block[rest]
-        elif block[-1] == len(block):
-            break
     return source, block, common
 
 
-def repeats(strings: list[bytes], length: int, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, string, offset) of every substring of ``length`` that occurs twice or more in the collection."""
-    shards, at, held, first = [], 0, 0, []
-    for k, s in enumerate(strings):
-        held += len(s) + 1
-        if held >= shard_bytes or k + 1 == len(strings):
-            shards.append(Shard(strings[at : k + 1]))
-            first.append(at)
-            at, held = k + 1, 0
-    depth = -(-length // STEP) * STEP
-    if depth != length:
-        raise ValueError(f"length must be a multiple of {STEP}")
-    source, block, _ = merge(shards, depth, whole=False)
+def repeats(strings: list[bytes], length: int, shard_bytes: int = 1 << 15, weights: np.ndarray | None = None, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, string, offset) of every substring of ``length`` that occurs twice or more in the collection.
+
+    ``weights``: how often each string stands in the collection; it enters the transform once, as a run of that length.
+    Strings are dealt over the shards in turn, so that neighbours, which may be alike, meet in the merge and not
+    in the suffix array of one shard. A group is an interval of the merged transform: the rows that no round has parted share ``length`` symbols.
+    """
+    if not strings:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    n = max(1, -(-sum(len(s) + 1 for s in strings) // shard_bytes))
+    dealt = [k for at in range(n) for k in range(at, len(strings), n)]
+    shards = [Shard(part) for at in range(n) if (part := strings[at::n])]
+    step = step or max(d for d in range(1, WIDEST + 1) if length % d == 0)
+    lens = np.fromiter((len(strings[k]) + 1 for k in dealt), np.int64, len(dealt))
+    starts = np.concatenate(([0], np.cumsum(lens)))
     places = np.concatenate([s.suffixes + o for s, o in zip(shards, np.concatenate(([0], np.cumsum([s.n for s in shards])[:-1])), strict=True)])
-    starts = np.concatenate(([0], np.cumsum(np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings)))))
+    owner = np.repeat(np.arange(len(dealt)), lens)
+    names = np.array(dealt, np.int64)
+    weight = None if weights is None else np.asarray(weights, np.int64)[names][owner][places]
+    source, block, _ = merge(shards, length, step, False, weight, False)
     place = places[source]
-    string = np.searchsorted(starts, place, "right") - 1
-    return block, string, place - starts[string]
+    return block, names[owner[place]], place - starts[owner[place]]

@@ -10,8 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sorts after every real id: rows without an id never count as the earlier copy.
+from vecskein.session import held, spread
+
+__all__ = ["LAST_ID", "id_or_last", "materialize", "release", "remove", "scratch_path", "shared_dir", "spread", "text_bytes"]
+
+#: Sorts after every real id: rows without an id never count as the earlier copy. A real id of this value is taken for none.
 LAST_ID = 2**63 - 1
+#: One Arrow batch of whole texts: rows, and bytes (one longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -42,14 +48,22 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vecskein-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a scratch table in the shared folder and read it back.
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to a scratch table in the shared folder and read it back; a scratch table is given back as it is.
 
-    Lineage ends there, so a lost executor costs a re-read instead of a recomputation.
+    Lineage ends there, so a lost executor costs a re-read instead of a recomputation. While it is written, Arrow batches
+    are bounded by rows and bytes, and its shuffle files go with the end of the write; the session's settings stay.
     """
+    if getattr(df, "_vecskein_path", None):
+        return df
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    with held(spark, {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecskein_path = path
     return out
@@ -68,17 +82,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over the cores when the scan gives fewer tasks than that (one row group, one task)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Each text as UTF-8 bytes; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).to_pylist()]

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread, text_bytes
+from .common import materialize, spread, text_bytes
 
 #: Labelled rows the model is fitted on, at most.
 MAX_ROWS = 20_000
@@ -175,13 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
     Rows without an id or label, and labels without a document, count for nothing.
     """
-    small_batches(docs.sparkSession)
     ident = labels[id_col].cast("long")
     chosen = labels.where(ident.isNotNull() & labels[label].isNotNull() & ~held_out(ident)).select(ident.alias("doc_id"), labels[label].cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # the sample's size is bounded by max_rows, so it may be broadcast and its features gathered
-    rows = _featured(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), ["doc_id", "y"]).toPandas()
+    rows = materialize(_featured(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), ["doc_id", "y"]), "features").toPandas()
     rows = rows.sort_values(["doc_id", "y", *FEATURES], kind="stable")
     return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
@@ -192,7 +191,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null text is empty, and empty texts get a score like any other. Repeated rows each get one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     ident = docs[id_col].cast("long")
     picked = spread(docs.select(ident.alias("doc_id"), held_out(ident).alias("held_out"), docs[text_col].cast("string").alias("text")))
@@ -204,4 +202,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return materialize(picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"), "scores")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, spread, text_bytes
+from .common import materialize, spread, text_bytes
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -149,8 +149,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
     A null or empty text has no words, so it fails the base rules. Repeated rows and ids are judged
     one by one; null ids are carried through. Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     picked = spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")))
     schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, t) for n, t, _ in FIELDS])
 
@@ -159,7 +157,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
             cols = list(zip(*judge(text_bytes(b.column(1)), **limits), strict=True)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, (_, _, t) in zip(cols, FIELDS, strict=True)], ["doc_id", *(n for n, _, _ in FIELDS)])
 
-    return picked.mapInArrow(run, schema)
+    return materialize(picked.mapInArrow(run, schema), "quality")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
@@ -167,7 +165,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
 
     A null or empty text is dropped; repeated rows stay repeated.
     """
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,4 +172,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
             verdicts = judge(text_bytes(b.column(at)), **limits)
             yield b.filter(pa.array([v[-1] for v in verdicts], pa.bool_()))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return materialize(spread(docs).mapInArrow(run, docs.schema), "good")

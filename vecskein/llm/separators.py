@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, files
-from .common import materialize, remove, scratch_path, small_batches, spread
+from .common import materialize, remove, scratch_path, spread
 
 #: Tokens in one scanned block, and about how many go to one file.
 BLOCK = 1 << 20
@@ -65,7 +65,6 @@ def write_tokens(docs: DataFrame, ranks: str, vocabulary: str, id_col: str = "do
     the lost attempt are in no row. A null text is empty and writes its separator alone.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     shared = spark.sparkContext.broadcast({"ranks": load_ranks(ranks), "vocabulary": bpe.load_vocabulary(vocabulary)})
     folder = scratch_path(spark, "tokens")
     files.make_dir(folder)

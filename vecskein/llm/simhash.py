@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, id_or_last, materialize, release, small_batches, spread, text_bytes
+from .common import LAST_ID, id_or_last, materialize, release, spread, text_bytes
 
 RADIUS = 4
 SHINGLE = 4
@@ -55,7 +55,6 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "_fp", **shape) -> DataFrame:
     """All columns of ``docs`` and the fingerprint as a signed long under ``name``."""
-    small_batches(docs.sparkSession)
     docs = spread(docs)
     at = docs.columns.index(text_col)
 

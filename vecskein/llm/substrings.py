@@ -7,22 +7,21 @@ place, so the corpus is cut into collections that no repeat leaves:
 2. Every window of 100 bytes names an anchor, the least hash among its 24-byte strings (so equal windows
    name equal anchors, at equal offsets). A stretch of windows that share an anchor is a segment, about one
    per 39 bytes. Segments whose anchor occurs once hold no repeat and are dropped.
-3. Equal segments are settled by their digests: all but the first go. Where an anchor has unequal
-   segments, their windows are dealt once more, by the bytes that twenty neighbouring windows have in common.
-4. What still differs within such a group is a collection: tasks build the transforms of its shards, merge them by
-   interleave refinement, and read repeats off the blocks that agree in 100 symbols. A group over
-   ``HOT`` rows is dealt by single windows, so no group meets in one task.
-
-Counts are partial sums before a shuffle, joins have a unique side, whole texts are shuffled once and then read
-from a bucketed table, and every stage starts from a written table.
+3. The segments of one anchor are a collection. Equal ones are counted before they meet, and enter the transform
+   once, with their number as its run length.
+4. Tasks build the transforms of a collection's shards and merge them by interleave refinement. Rows that share 100
+   symbols are a repeated interval; what is not the first in its interval goes, and so do the later
+   copies of a segment whose windows all lie in intervals of two or more.
+5. A collection over ``hot`` different segments is dealt anew, by the bytes that twenty, then four neighbouring windows have
+   in common, and at last by single windows, which are equal: each is merged in the same way, so no group meets in one task.
+
+Counts are partial sums before a shuffle, joins have a unique side, and every stage starts from a written table.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import id_or_last, materialize, release, remove, scratch_path, small_batches, spread
+from .common import id_or_last, materialize, release, spread
 
 LENGTH, GRAM, RANGE = 100, 24, 20
-#: Rows of a group that one task merges, and bytes of groups that it takes together.
-HOT, TOGETHER = 1000, 1 << 17
+#: Offsets of the anchor that windows of one collection may have, from one dealing to the next.
+RANGES = (RANGE, 4, 1)
+#: Different segments of a collection that one task merges, and bytes of collections that it takes together.
+HOT, TOGETHER = 1000, 1 << 16
 #: Rows that go back to Spark in one batch, about.
 SENT = 1 << 16
+#: A part on its way to its collection.
+PART = (("h", pa.int64()), ("d", pa.int64()), ("w", pa.int64()), ("big", pa.bool_()), ("uid", pa.int64()), ("a", pa.int32()), ("n", pa.int16()), ("o", pa.int16()), ("bytes", pa.binary()))
 #: Bytes of one text that anchors are sought in at once.
 PIECE = 1 << 22
 
@@ -80,56 +83,52 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def split(text: bytes, a: int, n: int, o: int, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """(core hash, digest, first window, windows) of the parts of a segment by ranges of anchor offsets.
+def split(text: bytes, a: int, n: int, o: int, length: int = LENGTH, width: int = RANGE) -> Iterator[tuple[int, int, int, int]]:
+    """(core hash, digest, first window, windows) of the parts of a segment by ranges of ``width`` anchor offsets.
 
     The core is what all windows of a range have in common, whether or not the segment has them all.
     """
     p, top = a + o, length - GRAM
-    for low in range(0, top + 1, RANGE):
-        high = min(low + RANGE - 1, top)
+    for low in range((o - n + 1) // width * width, o + 1, width):
+        high = min(low + width - 1, top)
         lo, hi = max(low, o - n + 1), min(high, o)
-        if lo <= hi:
-            start, k = p - hi, hi - lo + 1
-            yield xxhash.xxh3_64_intdigest(text[p - low : p - high + length], low + 1), xxhash.xxh3_64_intdigest(text[start : start + k + length - 1], lo + 1), start, k
+        start, k = p - hi, hi - lo + 1
+        yield xxhash.xxh3_64_intdigest(text[p - low : p - high + length], low + 1), xxhash.xxh3_64_intdigest(text[start : start + k + length - 1], lo + 1), start, k
 
 
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _free(spark) -> None:
-    """Let Spark drop the shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _verdicts(first: np.ndarray, windows: np.ndarray, weights: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the merged transform of ``texts`` says: (text, first window, windows) of the runs that also start earlier, and the
+    texts whose windows all lie in intervals of two suffixes or more, so that their later copies go.
 
-
-def _repeated_runs(unit: np.ndarray, start: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit, window) of windows in ``texts`` that also start earlier in them."""
-    group, string, offset = bwt.repeats(texts, length)
-    if not len(group):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, w = unit[string], start[string] + offset
-    order = np.lexsort((w, u, group))
-    g, u, w = group[order], u[order], w[order]
-    same = np.flatnonzero(g[1:] == g[:-1]) + 1
-    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    head = first[np.searchsorted(first, same, "right") - 1]
-    later = same[(u[same] != u[head]) | (w[same] != w[head])]
-    return u[later], w[later]
+    first: (unit, place) of each text's first copy; windows: how many it has; weights: its copies.
+    """
+    group, string, offset = bwt.repeats(texts, length, weights=weights)
+    order = np.lexsort((first[string, 1] + offset, first[string, 0], group))
+    g, s, at = group[order], string[order], offset[order]
+    later = np.append(False, g[1:] == g[:-1])[: len(g)]
+    covered = np.bincount(s, minlength=len(texts)) == windows
+    s, at = s[later], at[later]
+    order = np.lexsort((at, s))
+    s, at = s[order], at[order]
+    new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1))[: len(s)])
+    return s[new], at[new], np.diff(np.append(new, len(s))), np.flatnonzero(covered & (weights > 1))
 
 
-def _later(table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """First rows of each key, and (uid, a, n) of the rows that are not the first, in the order of (uid, a)."""
-    firsts = materialize(table.groupBy(*keys).agg(F.min(F.struct("uid", "a")).alias("first"), F.count("*").alias("copies")).select(*keys, F.col("first.uid").alias("fu"), F.col("first.a").alias("fa"), "copies"), "firsts")
-    rest = table.join(firsts.where("copies > 1"), keys).where("uid <> fu OR a <> fa").select("uid", "a", "n")
-    return firsts, rest
+def _collections(parts: DataFrame, hot: int) -> DataFrame:
+    """``parts`` (h, d, w, ...) with ``big``: whether over ``hot`` different parts share the key h."""
+    sizes = parts.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("h", F.lit(True).alias("big"))
+    return parts.join(sizes, "h", "left").withColumn("big", F.coalesce("big", F.lit(False)))
 
 
-def find(units: DataFrame, lists, length: int = LENGTH, hot: int = HOT) -> list[DataFrame]:
+def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int = LENGTH, hot: int = HOT, told: Callable[[int, DataFrame, DataFrame], None] | None = None) -> list[DataFrame]:
     """Tables (uid, a, n) of runs of windows of ``units`` (uid, text) that also start earlier.
 
-    ``lists`` joins a table of uid and anything onto the texts: it gives (uid, text, and the rest).
+    ``lists`` joins a table of uid and anything onto the texts: it gives (uid, text, and the rest). ``told`` is given
+    each dealing's number, what its merged intervals took from first copies, and what from later ones.
     """
     spark = units.sparkSession
 
@@ -157,76 +156,98 @@ def find(units: DataFrame, lists, length: int = LENGTH, hot: int = HOT) -> list[
         if held:
             yield send()
 
-    twice = materialize(units.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
-    _free(spark)
-    all_segments = units.select("uid", "text").mapInArrow(segments, "h long, d long, uid long, a int, n short, o short")
-    found = materialize(all_segments.join(twice, "h", "left_semi"), "segments")
-    _free(spark)
-    firsts, equal = _later(found, ["h", "d"])
-    out = [materialize(equal, "runs")]
-    mixed = materialize(firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "mixed")
-    open_ = firsts.join(mixed, "h").select("h", "d", F.col("fu").alias("uid"), F.col("fa").alias("a"))
-    open_ = found.join(open_, ["h", "d", "uid", "a"], "left_semi").select("uid", F.struct("a", "n", "o").alias("s"))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ("h", "d", "w", "big", "a", "n", "o")
         held: list[tuple] = []
+        size = 0
 
         def send():
-            c, d, u, s, k, t = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([_signed(c), _signed(d), pa.array(u, pa.int64()), pa.array(s, pa.int32()), pa.array(k, pa.int16()), pa.array(t, pa.binary())], ["c", "d", "uid", "a", "n", "bytes"])
+            cols = list(zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, PART, strict=True)], [x for x, _ in PART])
 
         for b in batches:
             for uid, text, segs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held += [(c, d, uid, s, k, text[s : s + k + length - 1]) for x in segs for c, d, s, k in split(text, x["a"], x["n"], x["o"], length)]
-                if len(held) >= SENT // 4:
-                    yield send()
-                    held = []
+                for x in segs:
+                    h, d, w, big, a, n, o = (x[f] for f in fields)
+                    held.append((h, d, w, big, uid, a, n, o, text[a : a + n + length - 1]))
+                    size += n + length
+                    if size >= SENT * 32:
+                        yield send()
+                        held, size = [], 0
         if held:
             yield send()
 
-    with_text = lists(open_.groupBy("uid").agg(F.collect_list("s").alias("segs"))).select("uid", "text", "segs")
-    pieces = materialize(with_text.mapInArrow(parts, "c long, d long, uid long, a int, n short, bytes binary"), "pieces")
-    for t in (twice, found, mixed, firsts):
-        release(t)
-    _free(spark)
-    firsts, equal = _later(pieces.drop("bytes"), ["c", "d"])
-    out.append(materialize(equal, "runs"))
-    mixed = materialize(firsts.groupBy("c").agg(F.count("*").alias("k")).where("k > 1"), "mixed")
-    kept = firsts.join(mixed, "c").select("c", "d", F.col("fu").alias("uid"), F.col("fa").alias("a"), "k")
-    kept = materialize(pieces.join(kept, ["c", "d", "uid", "a"]).select("c", "k", "uid", "a", "n", "bytes"), "collections")
-
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = []
         size, last = 0, None
 
         def flush():
-            u, s, t = (list(x) for x in zip(*held, strict=True))
-            uids, wins = _repeated_runs(np.array(u, np.int64), np.array(s, np.int64), t, length)
-            return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(wins.astype(np.int32)), pa.array(np.ones(len(uids), np.int16))], ["uid", "a", "n"])
+            h, d, w, uid, a, n, text = ([x for c in col for x in c] if k == 6 else np.concatenate(col) for k, col in enumerate(zip(*held, strict=True)))
+            s, at, run, copied = _verdicts(np.stack([uid, a], 1), n, w, text, length)
+            who = np.concatenate([s, copied])
+            cols = (h[who], d[who], uid[who], np.concatenate([a[s] + at, a[copied]]).astype(np.int32), np.concatenate([run, n[copied]]).astype(np.int16), np.arange(len(who)) >= len(s))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "d", "uid", "a", "n", "copies"])
 
         for b in batches:
-            for c, uid, a, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != last and size >= TOGETHER:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1, 7)]
+            texts = b.column(7).to_pylist()
+            sizes = np.cumsum([len(t) for t in texts])
+            # a collection is never parted: cut where the key changes and enough has come together
+            edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            at = 0
+            for e in edges.tolist():
+                if held and key[at] != last and size >= TOGETHER:
                     yield flush()
                     held, size = [], 0
-                held.append((uid, a, text))
-                size, last = size + len(text), c
+                held.append([*(c[at:e] for c in cols), texts[at:e]])
+                size += int(sizes[e - 1] - (sizes[at - 1] if at else 0))
+                last, at = key[e - 1], e
         if held:
             yield flush()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(*np.frombuffer(xxhash.xxh3_128_digest(t[i : i + length]), np.int64).tolist(), u, a + i) for u, a, t in zip(*(x.to_pylist() for x in b.columns), strict=True) for i in range(len(t) - length + 1)]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.int32()), pa.array([1] * len(cols[3]), pa.int16())], ["w1", "w2", "uid", "a", "n"])
-
-    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual = kept.where(F.col("k") <= hot).select("c", "uid", "a", "bytes").repartition(parts_n, "c").sortWithinPartitions("c")
-    out.append(materialize(usual.mapInArrow(merged, "uid long, a int, n short"), "runs"))
-    single = materialize(kept.where(F.col("k") > hot).select("uid", "a", "bytes").mapInArrow(windows, "w1 long, w2 long, uid long, a int, n short"), "windows")
-    out.append(materialize(_later(single, ["w1", "w2"])[1], "runs"))
-    for t in (pieces, mixed, firsts, kept, single):
-        release(t)
+    def dealt(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for uid, a, n, o, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    rows += [(c, d, uid, a + s, k, o - s, text[s : s + k + length - 1]) for c, d, s, k in split(text, 0, n, o, length, width)]
+                c, d, *rest = list(zip(*rows, strict=True)) or [()] * 7
+                types = (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
+                yield pa.RecordBatch.from_arrays([_signed(c), _signed(d), *(pa.array(x, t) for x, t in zip(rest, types, strict=True))], ["h", "d", "uid", "a", "n", "o", "bytes"])
+
+        return run
+
+    twice = materialize(units.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
+    all_segments = units.select("uid", "text").mapInArrow(segments, "h long, d long, uid long, a int, n short, o short")
+    found = materialize(all_segments.join(twice, "h", "left_semi"), "segments")
+    release(twice)
+    parts = materialize(found.groupBy("h", "d").agg(F.min(F.struct("uid", "a", "n", "o")).alias("f"), F.count("*").alias("w")).select("h", "d", "w", "f.*"), "kinds")
+    asked = _collections(parts, hot).select("uid", F.struct("h", "d", "w", "big", "a", "n", "o").alias("s"))
+    with_text = lists(asked.groupBy("uid").agg(F.collect_list("s").alias("segs"))).select("uid", "text", "segs")
+    strings_ = materialize(with_text.mapInArrow(strings, "h long, d long, w long, big boolean, uid long, a int, n short, o short, bytes binary"), "strings")
+    release(parts)
+    n_parts, out = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    for level, width in enumerate((*RANGES, 0)):
+        # of a collection that is dealt anew, only copies are settled here, each kind by itself
+        key = F.when(F.col("big"), F.xxhash64("h", "d")).otherwise(F.col("h"))
+        here = strings_.where("NOT big OR w > 1").select(key.alias("key"), "h", "d", "w", "uid", "a", "n", "bytes")
+        verdicts = materialize(here.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(merged, "h long, d long, uid long, a int, n short, copies boolean"), "verdicts")
+        firsts = verdicts.where("NOT copies").select("uid", "a", "n")
+        firsts._vecskein_path = verdicts._vecskein_path
+        kinds = verdicts.where("copies").select("h", "d", F.col("uid").alias("fu"), F.col("a").alias("fa"))
+        later = materialize(found.join(kinds, ["h", "d"]).where("uid <> fu OR a <> fa").select("uid", "a", "n"), "runs")
+        release(found)
+        out += [firsts, later]
+        if told is not None:
+            told(level, firsts, later)
+        if not width or strings_.where("big").isEmpty():
+            release(strings_)
+            break
+        found = materialize(strings_.where("big").select("uid", "a", "n", "o", "bytes").mapInArrow(dealt(width), "h long, d long, uid long, a int, n short, o short, bytes binary"), "parts")
+        release(strings_)
+        kinds = found.groupBy("h", "d").agg(F.min(F.struct("uid", "a", "n", "o", "bytes")).alias("f"), F.count("*").alias("w")).select("h", "d", "w", "f.*")
+        strings_ = materialize(_collections(materialize(kinds, "kinds"), hot), "strings")
     return out
 
 
@@ -242,43 +263,39 @@ def cut(text: bytes, runs: list, length: int = LENGTH) -> tuple[int, int, str]:
     return int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, told=None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Earlier means a smaller id, or the same document and an earlier start. Rows without an id come after all others.
     Rows equal in id and text share their result. Unequal texts under one id are ordered by their digests.
     Null texts are empty; texts shorter than ``length`` lose nothing. Other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 500)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = spread(docs.select(docs[id_col].cast("long").alias("doc_id"), id_or_last(id_col).alias("doc"), text.cast("binary").alias("text")))
     rows = materialize(base.select("doc_id", "doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     firsts = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc").alias("doc"))
     firsts = materialize(firsts.orderBy("doc", "sha").withColumn("uid", F.monotonically_increasing_id()), "units")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"vecskein_units_{uuid.uuid4().hex}", scratch_path(spark, "texts")
-    texts = base.where(F.octet_length("text") >= length).select("doc", "text", F.sha2("text", 256).alias("sha")).join(firsts.hint("merge"), ["sha", "doc"])
-    texts.select("sha", "doc", "uid", "text").write.bucketBy(n, "sha", "doc").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    _free(spark)
-    units = spark.table(name)
-    lists = lambda t: units.select("sha", "doc", "text").join(t.join(firsts, "uid"), ["sha", "doc"])
+    long_ = base.where(F.octet_length("text") >= length).select("doc", "text", F.sha2("text", 256).alias("sha"))
+    # a row repeated under its id gives its unit twice; one is enough
+    twins = rows.where(F.col("n_bytes") >= length).groupBy("sha", "doc").count().where("count > 1")
+    texts = long_.join(firsts, ["sha", "doc"]).select("uid", "text")
+    units = materialize(texts if twins.isEmpty() else texts.dropDuplicates(["uid"]), "texts")
+    lists = lambda t: units.join(t, "uid")
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [cut(t, r, length) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             cols = list(zip(*done, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["sha", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["uid", "n_removed", "n_spans", "kept"])
 
-    runs = find(units, lists, length, hot)
+    runs = find(units, lists, length, hot, told)
     flagged = runs[0]
     for r in runs[1:]:
         flagged = flagged.unionByName(r)
-    listed = lists(flagged.groupBy("uid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))).select("sha", "text", "runs")
-    part = materialize(listed.mapInArrow(results, "sha string, n_removed long, n_spans long, kept string").dropDuplicates(["sha"]), "results")
-    known = materialize(firsts.select("sha", F.col("doc").alias("first")).join(part, "sha", "left"), "known")
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
+    listed = lists(flagged.groupBy("uid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))).select("uid", "text", "runs")
+    part = materialize(listed.mapInArrow(results, "uid long, n_removed long, n_spans long, kept string"), "results")
+    release(units)
+    known = materialize(firsts.select("uid", "sha", F.col("doc").alias("first")).join(part, "uid", "left").drop("uid"), "known")
     for r in (*runs, part, firsts):
         release(r)
     joined = rows.join(known, "sha", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, spread
+from .common import materialize, spread
 
 SCALE = 256.0
 ROWS, QUERIES, SLICES = 512, 256, 4
@@ -135,7 +135,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     With fewer than k candidates all are returned; with none, nothing.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 512)
     good = vectors.where(vectors[id_col].isNotNull() & usable(vectors[vector_col]))
     cand = good.select(good[id_col].cast("long").alias("id"), good[vector_col].cast("array<double>").alias("v"))
     asked = good.where(is_query).select(good[id_col].cast("long").alias("id"), good[vector_col].cast("array<double>").alias("v"))
@@ -173,7 +172,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(args[0], size)), pa.array(np.concatenate([*(x for x, _ in found), np.zeros(0, np.int64)])), pa.array(np.concatenate([*(s for _, s in found), np.zeros(0, np.int64)]))], ["query_id", "vec_id", "score"])
 
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    small_batches(spark, 16)
     pairs = dealt.join(keyed, "g").drop("g").repartition(cores)
     heads = pairs.mapInArrow(first, "qb long, at long, score long")
     ranked = heads.withColumn("r", F.row_number().over(W.partitionBy("qb", "at").orderBy(F.desc("score")))).where(F.col("r") <= k)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import id_or_last, materialize, scratch_path, small_batches, spread
+from .common import id_or_last, materialize, scratch_path, spread
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 PACKAGE_BYTES = 64 << 20
@@ -181,7 +181,6 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     null payload is empty. A package belongs to the attempt that reports it.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500)
     folder = scratch_path(spark, "warc")
     files.make_dir(folder)
     payload = F.coalesce(F.encode(pages[payload_col].cast("string"), "UTF-8"), F.lit(b""))
