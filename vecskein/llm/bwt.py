@@ -16,7 +16,7 @@ import numpy as np
 
 STEP = 4
 #: Symbols that a round takes where only whole repeats are asked for, at most.
-WIDEST = 10
+WIDEST = 20
 
 
 class Shard:
@@ -36,32 +36,34 @@ class Shard:
 
     @staticmethod
     def _sort(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Prefix doubling from four symbols; terminators differ by their strings."""
-        n = len(text)
-        key = text.copy()
-        key[ends] = np.arange(len(ends))
-        key[text > 0] += len(ends)
-        top = int(key.max()) + 1
-        width = 1
-        while True:
-            order = np.argsort(key)  # equal keys get equal ranks, so their order is free
-            ranked = key[order]
-            fresh = np.concatenate(([0], (ranked[1:] != ranked[:-1]).cumsum()))
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            top = int(fresh[-1]) + 1
-            if top == n:
+        """Prefix doubling from a few symbols; terminators differ by their strings. Rows alone in their group are settled."""
+        n, bits = len(text), len(ends).bit_length()
+        width = max(1, min(5, (62 - bits) // 9))
+        key, open_, owner = np.zeros(n, np.int64), np.zeros(n, bool), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+        for k in range(width):
+            symbol = np.zeros(n, np.int64)
+            symbol[: max(0, n - k)] = text[k:]
+            symbol[open_] = 0
+            key = (key << 9) | symbol
+            open_ |= symbol == 0
+        key = (key << bits) | np.where(open_, owner, 0)
+        order = np.argsort(key)
+        rank, at = np.empty(n, np.int64), np.arange(n)
+        rows, key = order, key[order]
+        while True:  # the rows at the places ``at`` are in order as far as the keys say: a rank is the place of a group's first row
+            new = np.append(True, key[1:] != key[:-1])
+            start = at[np.flatnonzero(new)][new.cumsum() - 1]
+            rank[rows] = start
+            tied = ~new
+            tied[:-1] |= tied[1:]
+            at, rows = at[tied], rows[tied]
+            if not len(at):
                 return order
-            if width == 1 and top < 1 << 15:  # four symbols in one go
-                four = rank.copy()
-                for _ in range(3):
-                    rank = np.append(rank[1:], 0)
-                    four = four * top + rank
-                key, width = four, 4
-                continue
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - width] = rank[width:]
-            key, width = rank * top + ahead, width * 2
+            key = rank[rows] * n + rank[rows + width]  # a tied row reaches no terminator yet
+            by = np.argsort(key)
+            rows, key = rows[by], key[by]
+            order[at] = rows
+            width *= 2
 
 
 def _names(symbols: np.ndarray, back: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +71,8 @@ def _names(symbols: np.ndarray, back: np.ndarray, step: int) -> tuple[np.ndarray
     and whether a terminator is among them. Long codes are pairs of short ones.
     """
     if step > 5:
-        near, row, open_ = _names(symbols, back, step // 2)
-        far, end, beyond = _names(symbols, back, step - step // 2)
+        near, row, open_ = half = _names(symbols, back, step // 2)
+        far, end, beyond = half if step % 2 == 0 else _names(symbols, back, step - step // 2)
         code = far[row] * (int(near.max(initial=0)) + 1) + near
         row, open_ = end[row], open_ | beyond[row]
     else:
