@@ -2,7 +2,7 @@
 
 For a byte-level BPE every prefix of a text has one last token: the token t ending there whose
 predecessor (the last token of the shorter prefix) is compatible with it, that is, merging the bytes of
-the two yields just these two tokens. An automaton gives all tokens that end at each byte; one
+the two yields just these two tokens. A suffix automaton of the vocabulary gives all tokens that end at each byte; one
 compatibility test a candidate picks the one that holds; back-pointers then emit the ids. No merge queue,
 linear in the text for a fixed vocabulary, and the ids are exactly those of greedy merging by rank.
 
@@ -17,13 +17,13 @@ import json
 from collections.abc import Iterator
 from itertools import islice
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .automaton import SuffixAutomaton
 from .common import materialize, spread
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,12 +74,8 @@ class Codec:
         self.newer = regex.compile(f"[{newer}]").search
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # A token that merging its own bytes doesn't give back can never be emitted.
-        self.automaton = ahocorasick.Automaton()
-        for t, i in self.id_of.items():
-            if len(t) == 1 or self._merged(t) == [t]:
-                self.automaton.add_word(t.decode("latin-1"), (len(t), i))
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.automaton = SuffixAutomaton((t, i) for t, i in self.id_of.items() if len(t) == 1 or self._merged(t) == [t])
+        self.pairs: dict[int, bool] = {}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
         self.pieces: dict[str, bytes] = {}
@@ -100,7 +96,7 @@ class Codec:
         return parts
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= 2 * REMEMBER:
@@ -113,13 +109,20 @@ class Codec:
         """Ids of one piece: the last token of every prefix, then the back-pointers."""
         n = len(piece)
         last, size = [0] * (n + 1), [0] * (n + 1)
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if size[end]:
-                continue
-            start = end - length
-            if start == 0 or (size[start] and self.compatible(last[start], token)):
+        known = self.pairs.get
+        for end, matched, candidates in self.automaton.iter(piece):
+            for length, token in candidates:
+                if length > matched:
+                    continue
+                start = end - length
+                if start:
+                    if not size[start]:
+                        continue
+                    fits = known(last[start] << 32 | token)
+                    if not (self.compatible(last[start], token) if fits is None else fits):
+                        continue
                 last[end], size[end] = token, length
+                break
         out = []
         at = n
         while at:
