@@ -1,19 +1,18 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
 The score of a row is a sum over slices of the dimensions, so a block of rows holds one score list per
-slice. Rows and queries are packed into blocks, and every block of rows meets every block of queries:
-
-1. Each block pair gathers the head of every slice list, adds up the whole scores of those rows and
-   reports the k best of each query. Over all blocks, the k-th best of a query is a safe cutoff: k rows
-   reach it.
-2. The cutoffs go out with the query blocks. A row whose whole score reaches the cutoff exceeds the uniform
-   share of it (cutoff less the slice minima, over the slices) in at least one list; only such entries are
-   collected.
+slice. Rows and queries are packed into blocks:
+
+1. An eighth of the blocks of rows gather, for every query, the heads of every slice list, add up the whole scores of
+   those rows and report the k best. The k-th best of a query is a safe cutoff: k rows reach it.
+2. The cutoffs go out with the query blocks to all blocks of rows. A block whose norms can't reach a query's cutoff
+   is passed over. A row whose whole score reaches the cutoff exceeds the uniform share of it (cutoff less the
+   slice minima, over the slices) in at least one list; only such entries are collected.
 3. Their remaining scores are added up exactly, those under the cutoff fall away, and the k best of each
-   query in the block go to the final ranking.
+   query in the block go to the final ranking: about eight times k rows of a query, however many rows there are.
 
-Scores are integers and exact. No table is broadcast and no group is collected: what one task holds is a
-pair of blocks, and a query's final ranking has at most k entries from each block of rows.
+Scores are integers and exact; one beyond a long among the results is an error. No table is broadcast and no group is
+collected: what one task holds at a time is a pair of blocks.
 """
 
 from __future__ import annotations
@@ -26,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import materialize, release, spread
 
 SCALE = 256.0
-ROWS, QUERIES, SLICES = 512, 256, 4
+ROWS, QUERIES, SLICES = 2048, 1024, 4
+#: One in so many blocks of rows takes part in the first phase.
+PILOT = 8
 _NONE = -(2**63)
+_MOST = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -64,86 +66,106 @@ def _unpack(n: int, dim: int, small: bool, ids: bytes, data: bytes, width: int)
     return np.frombuffer(ids, np.int64), m
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while they are exact, else in whole numbers, held to 64 bits."""
+def _slices(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
+    """Inner products by slices of the dimensions: in doubles while they and their sums are exact, else in Python's integers."""
+    edges = np.linspace(0, q.shape[1], slices + 1).astype(int)
     bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1])
     if bound < 2**53:
-        return (q @ c.T).astype(np.int64)
-    whole = lambda m: np.vectorize(int, otypes=[object])(m) if m.size else m.astype(object)
-    exact = whole(q) @ whole(c).T
-    return np.array([[min(max(v, -(2**62)), 2**62) for v in row] for row in exact], np.int64).reshape(len(q), len(c))
+        product = lambda a, b: (a @ b.T).astype(np.int64)
+    else:
+        whole = lambda m: np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape)
+        product = lambda a, b: whole(a) @ whole(b).T
+    return [product(q[:, a:b], c[:, a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a] or [np.zeros((len(q), len(c)), np.int64)]
 
 
-def _slices(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    edges = np.linspace(0, q.shape[1], slices + 1).astype(int)
-    return [_products(q[:, a:b], c[:, a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a] or [np.zeros((len(q), len(c)), np.int64)]
+def _best(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of every query, by score and then smaller id."""
+    order = np.lexsort((ident, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, by score and then smaller id."""
-    if len(scores) > 4 * k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= bar)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+def _every(qids, cids, parts, k: int, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(query, row, whole score) of the k best of ``queries``, among all rows; for scores of any size."""
+    at, rows, out = [], [], []
+    for i in queries.tolist():
+        total = sum(p[i] for p in parts).tolist()
+        best = sorted((j for j in range(len(cids)) if cids[j] != qids[i]), key=lambda j: (-total[j], cids[j]))[:k]
+        at, rows, out = at + [i] * len(best), rows + best, out + [total[j] for j in best]
+    return np.array(at, np.int64), np.array(rows, np.int64), out
 
 
-def local_heads(qids, q, cids, c, k: int, slices: int) -> list[np.ndarray]:
-    """Phase 1: whole scores of the k best among the heads of every slice list, for each query."""
+def local_heads(qids, q, cids, c, k: int, slices: int) -> tuple[np.ndarray, list[int]]:
+    """Phase 1: (query, whole score) of the k best rows among the heads of every slice list."""
     parts = _slices(q, c, slices)
-    out = []
-    for i in range(len(q)):
-        other = np.flatnonzero(cids != qids[i])
-        heads = [other[_best(p[i, other], cids[other], k)] for p in parts]
-        rows = np.unique(np.concatenate(heads)) if len(other) else other
-        total = sum(p[i, rows] for p in parts)
-        out.append(np.sort(total)[::-1][:k])
-    return out
-
-
-def resolve(qids, q, cids, c, cutoffs: np.ndarray, k: int, slices: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Phases 2 and 3: ids and whole scores of the k best of each query that reach its cutoff."""
+    if parts[0].dtype == object:
+        at, _, score = _every(qids, cids, parts, k, np.arange(len(qids)))
+        return at, score
+    n = min(k + 1, len(cids))  # the query itself may be among them
+    heads = np.sort(np.concatenate([np.argpartition(p, len(cids) - n, axis=1)[:, len(cids) - n :] for p in parts], axis=1), axis=1)
+    fresh = np.concatenate([np.ones((len(heads), 1), bool), heads[:, 1:] != heads[:, :-1]], axis=1) & (cids[heads] != qids[:, None])
+    at, col = np.nonzero(fresh)
+    rows = heads[at, col]
+    total = sum(p[at, rows] for p in parts)
+    best = _best(at, total, cids[rows], k)
+    return at[best], total[best].tolist()
+
+
+def resolve(qids, q, cids, c, cutoffs: np.ndarray, k: int, slices: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Phases 2 and 3: (query, row, whole score) of the k best of each query that reach its cutoff."""
+    # by their norms no row of the block reaches these cutoffs
+    most = np.sqrt((q * q).sum(axis=1)) * np.sqrt((c * c).sum(axis=1).max(initial=0.0))
+    live = np.flatnonzero((cutoffs == _NONE) | (most * (1 + 1e-9) + 1 >= cutoffs))
+    if not len(live):
+        return live, live, []
+    qids, q, cutoffs = qids[live], q[live], cutoffs[live]
     parts = _slices(q, c, slices)
-    m, out = len(parts), []
+    if parts[0].dtype == object:
+        at, rows, score = _every(qids, cids, parts, k, np.arange(len(qids)))
+        return live[at], rows, score
     least = [p.min(axis=1) for p in parts]
-    for i in range(len(q)):
-        if cutoffs[i] == _NONE:
-            rows = np.arange(len(cids))
-        else:
-            # a whole score of at least the cutoff needs a share above the uniform one in some list
-            share = (float(cutoffs[i]) - sum(float(x[i]) for x in least)) / m
-            enough = np.zeros(len(cids), bool)
-            for p, low in zip(parts, least, strict=True):
-                enough |= p[i] - float(low[i]) >= share - abs(share) * 1e-9
-            rows = np.flatnonzero(enough)
-        rows = rows[cids[rows] != qids[i]]
-        total = sum(p[i, rows] for p in parts)
-        keep = total >= cutoffs[i] if len(rows) else np.zeros(0, bool)
-        rows, total = rows[keep], total[keep] if len(rows) else np.zeros(0, np.int64)
-        best = _best(total, cids[rows], k)
-        out.append((cids[rows[best]], total[best]))
-    return out
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", slices: int = SLICES, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+    # a whole score of at least the cutoff needs a share above the uniform one in some list
+    share = (cutoffs.astype(np.float64) - sum(x.astype(np.float64) for x in least)) / len(parts)
+    share -= np.abs(share) * 1e-9 + 1
+    enough = np.broadcast_to(cutoffs[:, None] == _NONE, parts[0].shape).copy()
+    for p, low in zip(parts, least, strict=True):
+        enough |= p - low[:, None] >= share[:, None]
+    enough &= cids[None, :] != qids[:, None]
+    at, rows = np.nonzero(enough)
+    total = sum(p[at, rows] for p in parts)
+    keep = total >= cutoffs[at]
+    at, rows, total = at[keep], rows[keep], total[keep]
+    best = _best(at, total, cids[rows], k)
+    return live[at[best]], rows[best], total[best].tolist()
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", slices: int = SLICES, rows: int = ROWS, queries: int = QUERIES, pilot: int = PILOT) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query row, ties to the smaller id.
 
     Rows whose id is null or whose vector isn't usable take no part. Repeated rows are candidates as
     often as they occur; of query rows that share an id, the one with the least vector is the query, and
     no row with its id is among its candidates. Vectors of unequal length count as padded with zeros.
-    With fewer than k candidates all are returned; with none, nothing.
+    With fewer than k candidates all are returned; with none, nothing. A score among the results that no long
+    holds is an error, never another number.
     """
     spark = vectors.sparkSession
     good = vectors.where(vectors[id_col].isNotNull() & usable(vectors[vector_col]))
     cand = good.select(good[id_col].cast("long").alias("id"), good[vector_col].cast("array<double>").alias("v"))
     asked = good.where(is_query).select(good[id_col].cast("long").alias("id"), good[vector_col].cast("array<double>").alias("v"))
-    cblocks = materialize(_pack(spread(cand), rows), "rows")
-    qblocks = materialize(_pack(asked.groupBy("id").agg(F.min("v").alias("v")), queries).withColumn("qb", F.monotonically_increasing_id()), "queries")
+    cblocks = materialize(_pack(spread(cand), rows).withColumn("cb", F.monotonically_increasing_id()), "rows", rows=rows)
+    qblocks = materialize(_pack(asked.groupBy("id").agg(F.min("v").alias("v")).coalesce(1 + spark.sparkContext.defaultParallelism // 4), queries).withColumn("qb", F.monotonically_increasing_id()), "queries", rows=queries)
+    # every block of rows meets every block of queries: rows are sent once for each group of query blocks, queries once for each salt
     groups = max(1, qblocks.count())
-    dealt = cblocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    salts = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
     names = ("n", "dim", "small", "ids", "data")
-    keyed = qblocks.select("qb", F.pmod(F.xxhash64("qb"), F.lit(groups)).cast("int").alias("g"), *[F.col(n).alias(f"q_{n}") for n in names])
+    asked_by = F.pmod(F.xxhash64("qb"), F.lit(groups)).cast("int").alias("g")
+
+    def pairs(block_rows: DataFrame, block_queries: DataFrame, more: list[str]) -> DataFrame:
+        left = block_rows.select(*names, F.pmod(F.xxhash64("cb"), F.lit(salts)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        right = block_queries.select("qb", asked_by, *more, *[F.col(n).alias(f"q_{n}") for n in names], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+        return left.join(right, ["g", "s"]).drop("g", "s")
 
     def pair(row: dict):
         width = max(row["dim"], row["q_dim"])
@@ -155,9 +177,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         for b in batches:
             for j in range(b.num_rows):
                 row = {n: b.column(x)[j].as_py() for x, n in enumerate(b.schema.names)}
-                heads = local_heads(*pair(row), k, slices)
-                size = [len(h) for h in heads]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(size), row["qb"])), pa.array(np.repeat(np.arange(len(heads)), size)), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)]))], ["qb", "at", "score"])
+                at, score = local_heads(*pair(row), k, slices)
+                fits = [abs(x) <= _MOST for x in score]  # fewer heads make a lower cutoff
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(fits), row["qb"])), pa.array(at[fits]), pa.array([x for x, f in zip(score, fits, strict=True) if f], pa.int64())], ["qb", "at", "score"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,20 +189,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 cut = np.full(len(args[0]), _NONE)
                 for c in row["cutoffs"] or []:
                     cut[c["at"]] = c["cutoff"]
-                found = resolve(*args, cut, k, slices)
-                size = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(args[0], size)), pa.array(np.concatenate([*(x for x, _ in found), np.zeros(0, np.int64)])), pa.array(np.concatenate([*(s for _, s in found), np.zeros(0, np.int64)]))], ["query_id", "vec_id", "score"])
+                at, found, score = resolve(*args, cut, k, slices)
+                beyond = [abs(x) > _MOST for x in score]
+                score = [max(-_MOST, min(_MOST, x)) for x in score]  # ranked at the end it belongs to, and never returned
+                yield pa.RecordBatch.from_arrays([pa.array(args[0][at]), pa.array(args[2][found]), pa.array(score, pa.int64()), pa.array(beyond, pa.bool_())], ["query_id", "vec_id", "score", "beyond"])
 
-    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pairs = dealt.join(keyed, "g").drop("g").repartition(cores)
-    heads = pairs.mapInArrow(first, "qb long, at long, score long")
+    heads = pairs(cblocks.where(F.pmod(F.xxhash64("cb"), F.lit(pilot)) == 0), qblocks, []).mapInArrow(first, "qb long, at long, score long")
     ranked = heads.withColumn("r", F.row_number().over(W.partitionBy("qb", "at").orderBy(F.desc("score")))).where(F.col("r") <= k)
     cutoffs = ranked.groupBy("qb", "at").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") == k)
     packed = materialize(cutoffs.groupBy("qb").agg(F.collect_list(F.struct("at", "cutoff")).alias("cutoffs")), "cutoffs")
-    again = dealt.join(keyed.join(packed, "qb", "left"), "g").drop("g").repartition(cores)
-    found = again.mapInArrow(second, "query_id long, vec_id long, score long")
+    found = pairs(cblocks, qblocks.join(packed, "qb", "left"), ["cutoffs"]).mapInArrow(second, "query_id long, vec_id long, score long, beyond boolean")
     last = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    checked = F.when(F.col("beyond"), F.raise_error(F.lit("a score among the results is beyond a long")).cast("long")).otherwise(F.col("score"))
+    out = materialize(best.select("query_id", "rank", "vec_id", checked.alias("score")), "best")
+    for t in (cblocks, qblocks, packed):
+        release(t)
+    return out
 
 
 def oracle(k: int = 5, every: int = 50) -> str:
