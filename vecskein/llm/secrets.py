@@ -24,7 +24,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_HINT = r"""(?i:passw|secret|token|api_?key)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Strings the chains judge: long, unbroken, with a digit and a letter.
+#: Strings the chains judge: long and unbroken. Shorter ones, and numbers, are left to the fixed patterns.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio (nats a transition) from which a candidate is random.
@@ -88,7 +88,10 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0, hint: st
 
 
 def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """(sample, random): digests in three alphabets, and identifiers joined from common words in common styles."""
+    """(sample, random): digests in four alphabets, and identifiers joined from common words in common styles.
+
+    A table of one's own, say of secrets found before and of names in the code at hand, can take its place.
+    """
     words = F.array(*[F.lit(w) for w in dict.fromkeys(_WORDS.split())])
     k = F.size(words)
     at = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), k) + 1).cast("int"))
@@ -108,6 +111,8 @@ def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
         F.concat_ws("/", at("j"), at("k"), at("l"), at("m")),
         F.upper(F.concat_ws("_", at("n"), at("o"))),
         F.concat(at("p"), at("q"), at("r"), at("s")),
+        F.concat(at("t"), F.lit("/"), F.initcap(at("u")), F.initcap(at("v")), F.lit("/__"), at("w"), F.lit("__")),
+        F.concat(F.upper(F.substring(at("x"), 1, 4)), F.initcap(at("y")), F.initcap(at("z")), F.lit("/_"), at("aa"), F.lit("_"), at("bb")),
     )).alias("sample"), F.lit(False).alias("random"))
     return rand.unionByName(plain)
 
@@ -164,16 +169,10 @@ def _windows(token: Column, table: Column, threshold: float) -> Column:
     return F.reduce(_steps(token, table), first, step, long)
 
 
-def _mixed(token: Column) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-
-
 def _parts(token: Column, table: Column, threshold: float) -> Column:
     """(start, end) of what is random in a candidate: all of it, or else windows of it."""
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
-    some = F.filter(_windows(token, table, threshold), lambda w: _mixed(F.substring(token, w["start"] + 1, w["end"] - w["start"])))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(~_mixed(token), none).when(_ratio(token, table) >= threshold, whole).otherwise(some)
+    return F.when(_ratio(token, table) >= threshold, whole).otherwise(_windows(token, table, threshold))
 
 
 def _table(weights: list[float]) -> Column:
@@ -198,7 +197,7 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, samples: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every row.
+    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every row; ``samples`` (sample, random) train the chains.
 
     Offsets are code points, ends exclusive. A null text is empty: no spans, the digest of nothing. Rows are
     independent; repeated rows each get one, null ids are carried, other columns are not read.
