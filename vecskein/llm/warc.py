@@ -5,8 +5,9 @@ A package is a ZIP file of stored members: ``archive/data.warc.gz``, one gzip me
 form where there is one, then the central directory, the stored members and the index, and reads just the
 byte ranges of the records it wants.
 
-Equal payloads are found on narrow rows (digest and id). Packages are bounded in size; a package and a run
-of its index are one reading task.
+Equal payloads are found on narrow rows (digest and id). Packages are bounded in size; a run of a package's index
+is one reading task, and reads those lines alone. Packages of other tools may hold several archives and indexes in
+lines of JSON, with or without a key before it, that name offset, length and archive.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,20 +59,25 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> b
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
 def parse_record(raw: bytes) -> dict:
-    """Headers, HTTP headers and payload of one record, its digest checked."""
+    """Headers, HTTP headers and payload of one record; a response's digest, if it has one, is checked."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
+    fields = _fields(lines)
     size = int(fields["content-length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record's length doesn't fit its block")
     http, _, payload = rest[:size].partition(b"\r\n\r\n")
-    web = {k.lower(): v for k, v in (x.split(": ", 1) for x in http.decode().split("\r\n")[1:])}
-    if fields["warc-type"] == "response" and f"sha1:{sha1_base32(payload)}" != fields["warc-payload-digest"]:
-        raise ValueError(f"the payload of {fields['warc-record-id']} doesn't have its digest")
+    web = _fields(http.decode("utf-8", "replace").split("\r\n")[1:])
+    digest = fields.get("warc-payload-digest", "")
+    if fields["warc-type"] == "response" and digest.startswith("sha1:") and digest != f"sha1:{sha1_base32(payload)}":
+        raise ValueError(f"the payload of {fields.get('warc-record-id')} doesn't have its digest")
     return {"fields": fields, "http": web, "payload": payload}
 
 
@@ -94,12 +101,15 @@ class PackageWriter:
         self.index.append(json.dumps({"id": ident, "offset": self.at, "length": len(packed)}))
         self.at += len(packed)
 
-    def close(self) -> int:
+    def close(self) -> list[tuple[int, int]]:
+        """Where in the index each run of records lies: (offset, length)."""
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.index))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{x}\n" for x in self.index))
         self.zip.close()
         self.out.close()
-        return len(self.index)
+        ends = [0, *accumulate(len(x) + 1 for x in self.index)]
+        cuts = [*range(0, len(self.index), RUN_RECORDS), len(self.index)]
+        return [(ends[a], ends[b] - ends[a]) for a, b in pairwise(cuts)]
 
 
 # The directories of a ZIP file, parsed from their bytes.
@@ -155,26 +165,38 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def read_records(path: str, first: int = 0, most: int | None = None) -> Iterator[tuple[object, bytes]]:
-    """(id, record) for a run of the package's index; neighbouring records are read as one range."""
+def read_records(path: str, span: tuple[int, int] | None = None) -> Iterator[tuple[object, bytes]]:
+    """(id, record) of the records that ``span`` (offset, length) of the package's own index names, or all indexes of any package.
+
+    A line of an index may name its archive; without that the package must have one. Neighbouring records are read as one range.
+    """
     with files.read(path) as f:
         where = members(f, f.size())
-        base, _ = where[ARCHIVE]
-        lines = files.read_range(f, *where[INDEX]).decode().split("\n")
-        rows = [json.loads(x) for x in lines[first : None if most is None else first + most] if x]
-        i = 0
-        while i < len(rows):
-            start, j = rows[i]["offset"], i + 1
-            while j < len(rows) and rows[j]["offset"] + rows[j]["length"] - start <= RUN_BYTES:
-                j += 1
-            raw = files.read_range(f, base + start, rows[j - 1]["offset"] + rows[j - 1]["length"] - start)
-            for r in rows[i:j]:
-                yield r["id"], gzip.decompress(raw[r["offset"] - start : r["offset"] - start + r["length"]])
-            i = j
+        archives = {n: x for n, x in where.items() if n.startswith("archive/")}
+        if span is None:
+            text = b"\n".join(files.read_range(f, *x) for n, x in where.items() if n.startswith("indexes/") and not n.endswith(".gz"))
+        else:
+            text = files.read_range(f, where[INDEX][0] + span[0], span[1])
+        lines = [json.loads(x[x.index("{") :]) for x in text.decode().split("\n") if "{" in x]
+        only = next(iter(archives)) if len(archives) == 1 else None
+        rows = [(r["filename"] if "filename" in r else only, int(r["offset"]), int(r["length"]), r.get("id")) for r in lines]
+        for name, run in groupby(rows, lambda r: r[0]):
+            base = archives[name if name in archives else f"archive/{name}"][0]
+            held = list(run)
+            i = 0
+            while i < len(held):
+                start, j = held[i][1], i + 1
+                while j < len(held) and held[j][1] >= start and held[j][1] + held[j][2] - start <= RUN_BYTES:
+                    j += 1
+                raw = files.read_range(f, base + start, max(r[1] + r[2] for r in held[i:j]) - start)
+                for _, offset, length, ident in held[i:j]:
+                    packed = raw[offset - start : offset - start + length]
+                    yield ident, gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
+                i = j
 
 
 def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Write every row as a record; (path, records) of the packages.
+    """Write every row as a record; (path, offset, length) of the packages and the runs of their indexes.
 
     Of equal payloads of at least ``least`` bytes the row with the smallest id is the response. Rows that
     share that id are all responses, and so are all rows where every id is null: null ids sort last. A
@@ -191,7 +213,12 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = None
-        done = lambda p: pa.RecordBatch.from_arrays([pa.array([p.path]), pa.array([p.close()])], ["path", "records"])
+
+        def done(p):
+            runs = p.close()
+            offset, length = zip(*runs, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([p.path] * len(runs)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["path", "offset", "length"])
+
         for b in batches:
             for ident, url, body, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 pack = pack or PackageWriter(f"{folder}/{uuid.uuid4().hex}.zip")
@@ -202,27 +229,27 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if pack:
             yield done(pack)
 
-    return materialize(linked.mapInArrow(run, "path string, records long"), "packages")
+    return materialize(linked.mapInArrow(run, "path string, offset long, length long"), "packages")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of every record of ``packages`` (path, records)."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of every record of ``packages`` (path, offset, length)."""
     spark = packages.sparkSession
-    runs = packages.where("records > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(RUN_RECORDS).cast("long"))).alias("first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, *span in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 out = []
-                for ident, raw in read_records(path, first, RUN_RECORDS):
+                for ident, raw in read_records(path, tuple(span)):
                     r = parse_record(raw)
                     f = r["fields"]
-                    out.append((ident, int(r["http"]["content-length"]), f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"], int(f["x-refers-to-page"]) if f["warc-type"] == "revisit" else None, f["warc-target-uri"]))
+                    size = len(r["payload"]) if f["warc-type"] == "response" else int(r["http"]["content-length"])  # a revisit tells it in its header
+                    out.append((ident, size, f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"], int(f["x-refers-to-page"]) if f["warc-type"] == "revisit" else None, f["warc-target-uri"]))
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return runs.repartition(n, "path", "first").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return materialize(packages.select("path", "offset", "length").repartition(n, "path", "offset").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"), "records")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
