@@ -22,6 +22,8 @@ ROUNDS = 12
 #: Rounds between two written tables.
 STRIDE = 4
 CAP_ROUNDS = 6
+#: Cells that one task rakes, at most, and rounds in search of a tolerance.
+MOST_CELLS, MOST_ROUNDS = 200_000, 400
 #: Share of all tokens to draw.
 FRACTION = 0.7
 #: Target of a category without a given one: its share of mass to this power, normalised.
@@ -53,8 +55,11 @@ def draw(ident: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, source, lang, topic, tokens and draw of each row; missing categories are "(none)"."""
+def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """id, source, lang, topic and tokens of each row; missing categories are "(none)".
+
+    ``topic_col`` names a column of topics, from a classifier, say; without it ``topic`` stands in, by form and length alone.
+    """
     text = docs[text_col].cast("string")
     named = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
@@ -62,8 +67,9 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(docs["lang"].cast("string"), F.lit("(none)")).alias("lang"),
         F.coalesce(text, F.lit("")).alias("_text"),
         n_tokens(text).alias("tokens"),
+        (F.coalesce(docs[topic_col].cast("string"), F.lit("(none)")) if topic_col else F.lit("")).alias("_topic"),
     )
-    return named.select("doc_id", "source", "lang", topic(F.col("_text"), F.col("tokens")).alias("topic"), "tokens")
+    return named.select("doc_id", "source", "lang", (F.col("_topic") if topic_col else topic(F.col("_text"), F.col("tokens"))).alias("topic"), "tokens")
 
 
 def _target(dim: str, given: dict | None) -> Column:
@@ -75,13 +81,27 @@ def _target(dim: str, given: dict | None) -> Column:
     return F.when(own > 0, F.pow(own, F.lit(TEMPER[dim]))).otherwise(0.0)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def residuals(raked: DataFrame) -> DataFrame:
+    """(dimension, category, target, weight, error) of the marginals that ``rake`` was to meet; error is relative to the target."""
+    parts = []
+    for d in DIMS:
+        sums = raked.groupBy(F.col(d).alias("category")).agg(F.max(f"t_{d}").alias("target"), F.sum("weight").alias("weight"))
+        error = F.when(F.col("target") > 0, F.abs(F.col("weight") / F.col("target") - 1)).otherwise(F.abs("weight"))
+        parts.append(sums.select(F.lit(d).alias("dimension"), "category", "target", "weight", error.alias("error")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """``cells`` (source, lang, topic, mass) with a column weight: raked shares that sum to one.
 
     Cells are few (the product of the categories), so each batch of rounds is one task's windows, without a
-    shuffle. Cells without mass keep weight zero.
+    shuffle; over ``MOST_CELLS`` of them are an error, as a column that is no category. Cells without mass keep weight
+    zero. ``rounds`` are made, or with ``tolerance`` as many batches of ``STRIDE`` as it takes for every marginal to be within it, relative to
+    its target; targets that no weights can meet end in an error after ``MOST_ROUNDS``.
     """
     targets = targets or {}
+    if (n := cells.count()) > MOST_CELLS:
+        raise ValueError(f"{n} cells of source, language and topic: over {MOST_CELLS}, too many categories")
     one = cells.coalesce(1)
     for d in DIMS:
         one = one.withColumn(f"t_{d}", _target(d, targets.get(d)))
@@ -91,7 +111,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         one = one.withColumn(f"t_{d}", F.when(norm > 0, F.col(f"t_{d}") / norm).otherwise(0.0))
     now = one.withColumn("weight", F.col("mass"))
     table = None
-    for k in range(rounds):
+    for k in range(rounds if tolerance is None else MOST_ROUNDS):
         for d in DIMS:
             own = F.sum("weight").over(W.partitionBy(d))
             now = now.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"t_{d}") / own).otherwise(0.0))
@@ -99,6 +119,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             before, table = table, materialize(now, "raked")
             release(before)
             now = table.coalesce(1)
+            if tolerance is not None and (residuals(table).agg(F.max("error")).first()[0] or 0.0) <= tolerance:
+                return table
+    if tolerance is not None:
+        raise ValueError(f"marginals are not within {tolerance} of their targets after {MOST_ROUNDS} rounds")
     return table
 
 
@@ -118,31 +142,31 @@ def calibrate(raked: DataFrame, fraction: float = FRACTION) -> DataFrame:
     return now.withColumn("probability", F.round(F.when(F.col("full"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c") * F.col("ratio")))), 6))
 
 
-def plan(features: DataFrame, targets=None, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
+def plan(features: DataFrame, targets=None, fraction: float = FRACTION, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """One row per cell: its mass, raked weight and drawing probability."""
     cells = materialize(features.groupBy(*DIMS).agg(F.sum("tokens").alias("mass")), "cells")
-    return materialize(calibrate(rake(cells, targets, rounds), fraction).select(*DIMS, "mass", F.round("weight", 6).alias("weight"), "probability"), "mix")
+    return materialize(calibrate(rake(cells, targets, rounds, tolerance), fraction).select(*DIMS, "mass", F.round("weight", 6).alias("weight"), "probability"), "mix")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets=None, fraction: float = FRACTION, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets=None, fraction: float = FRACTION, rounds: int = ROUNDS, seed: int = SEED, tolerance: float | None = None, topic_col: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability and sampled, for every row.
 
     Null texts have no tokens, null categories are "(none)"; rows with the same id share their draw.
     A category that the targets leave out gets none. An empty table gives an empty result.
     """
-    rows = materialize(with_features(spread(docs), id_col, text_col), "mix-rows")
-    cells = plan(rows, targets, fraction, rounds)
+    rows = materialize(with_features(spread(docs), id_col, text_col, topic_col), "mix-rows")
+    cells = plan(rows, targets, fraction, rounds, tolerance)
     joined = rows.join(cells.drop("mass"), list(DIMS), "left")
     return joined.select("doc_id", *DIMS, F.col("tokens").cast("long").alias("tokens"), "weight", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets=None, fraction: float = FRACTION, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets=None, fraction: float = FRACTION, rounds: int = ROUNDS, seed: int = SEED, tolerance: float | None = None, topic_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns as they are."""
     docs = spread(docs)
-    cells = plan(with_features(docs, id_col, text_col), targets, fraction, rounds)
+    cells = plan(with_features(docs, id_col, text_col, topic_col), targets, fraction, rounds, tolerance)
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("__vs_tokens", n_tokens(text)).withColumn("__vs_s", F.coalesce(F.col("source").cast("string"), F.lit("(none)"))).withColumn("__vs_l", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
-    keyed = keyed.withColumn("__vs_t", topic(F.coalesce(text, F.lit("")), F.col("__vs_tokens")))
+    keyed = keyed.withColumn("__vs_t", F.coalesce(F.col(topic_col).cast("string"), F.lit("(none)")) if topic_col else topic(F.coalesce(text, F.lit("")), F.col("__vs_tokens")))
     side = cells.select(F.col("source").alias("__vs_s"), F.col("lang").alias("__vs_l"), F.col("topic").alias("__vs_t"), F.col("probability").alias("__vs_p"))
     return keyed.join(side, ["__vs_s", "__vs_l", "__vs_t"]).where(draw(F.col(id_col).cast("long"), seed) < F.col("__vs_p")).select(*docs.columns)
 

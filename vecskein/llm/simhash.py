@@ -5,7 +5,7 @@ of pairs. Comparison is exact and has no cap:
 
 * ``fingerprints``: one Arrow pass; equal fingerprints are merged before anything is compared.
 * ``links``: two fingerprints within radius 4 agree on at least two of six bit blocks, so each is
-  dealt to the fifteen tiles that its pairs of blocks name. A tile is compared with numpy exclusive-or
+  dealt to the fifteen tiles that its pairs of blocks name (more rows: more and narrower choices of blocks, so that tiles stay small). A tile is compared with numpy exclusive-or
   and bit counts, in blocks sorted by population count; a block pair whose counts differ by more than
   the radius is skipped. A tile over ``tile_rows`` is dealt out as pairs of sub-tiles, so that a hot group
   becomes many tasks. Each task emits a spanning forest, at most one link per row, not its pairs.
@@ -15,7 +15,7 @@ of pairs. Comparison is exact and has no cap:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from .common import LAST_ID, id_or_last, materialize, release, spread, text_byte
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-TILE_ROWS = 2048
+#: Rows that a tile should hold at most, if fingerprints were spread evenly; and rows from which on a tile is split.
+EVEN_ROWS, TILE_ROWS = 64, 2048
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -110,33 +110,50 @@ def compare_tile(left: np.ndarray, right: np.ndarray | None, radius: int = RADIU
     return own[k], own[p]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def blocks_of(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of ``n`` blocks of a fingerprint, as even as can be."""
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    return [(a, b - a) for a, b in pairwise(edges)]
+
+
+def n_blocks(rows: int, radius: int = RADIUS) -> int:
+    """The least number of blocks whose tiles, each of all blocks but ``radius``, hold ``EVEN_ROWS`` of ``rows`` even fingerprints."""
+    n = radius + 2
+    while n < radius + 5 and rows >> int(64 * (n - radius) / n) > EVEN_ROWS:
+        n += 1
+    return n
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int | None = None) -> DataFrame:
     """(a, b) links that join all distinct fingerprints ``fp`` within ``radius`` into their groups.
 
-    ``fps`` has one long column fp, distinct. Empty in, empty out.
+    ``fps`` has one long column fp, distinct. Empty in, empty out. ``blocks`` is the number of bit blocks: by the rows unless given.
     """
-    keys = []
-    for n, ((s1, w1), (s2, w2)) in enumerate(combinations(BLOCKS, 2)):
-        part = lambda s, w: F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1))
-        keys.append(F.lit(n) * F.lit(1 << 22) + F.shiftleft(part(s1, w1), w2) + part(s2, w2))
+    keys, blocks = [], blocks or n_blocks(fps.count(), radius)
+    for n, chosen in enumerate(combinations(blocks_of(blocks), blocks - radius)):
+        key = F.lit(n).cast("long")
+        for s, w in chosen:
+            key = F.shiftleft(key, w).bitwiseOR(F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1)))
+        keys.append(key)
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("tile"))
     # Sub-tile of a row within its tile: hash dealt, as many as the tile's size asks for.
     sizes = dealt.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
     hot = materialize(sizes.where(F.col("n") > tile_rows).select("tile", F.ceil(F.col("n") / F.lit(tile_rows / 2)).alias("parts")), "hot-tiles")
     cool = materialize(dealt.join(hot, "tile", "left_anti"), "tiles") if _any(hot) else dealt
-    plain = cool.select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
+    plain = cool.select("tile", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "fp")
     if _any(hot):
         sub = dealt.join(hot, "tile").withColumn("s", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
         spread_out = sub.select("tile", "fp", "s", other.alias("o"))
-        hot_rows = spread_out.select("tile", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.when(F.col("s") <= F.col("o"), 0).otherwise(1).alias("side"), "fp")
+        both = F.shiftleft(F.least("s", "o").cast("long"), 32).bitwiseOR(F.greatest("s", "o").cast("long"))
+        hot_rows = spread_out.select("tile", both.alias("pair"), F.when(F.col("s") <= F.col("o"), 0).otherwise(1).alias("side"), "fp")
         plain = plain.unionByName(hot_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush(tiles, fps_, sides):
-            edges = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+        def flush(tiles, pairs, fps_, sides):
+            edges = np.flatnonzero((tiles[1:] != tiles[:-1]) | (pairs[1:] != pairs[:-1])) + 1
             outa, outb = [], []
             for s, e in zip([0, *edges], [*edges, len(tiles)], strict=True):
                 if e - s < 2:
@@ -152,11 +169,12 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
         for b in batches:
             if not b.num_rows:
                 continue
-            t = (b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False))
+            t = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            t = (t[0], t[1], t[2].view(np.uint64), t[3])
             if rest is not None:
                 t = tuple(np.concatenate(x) for x in zip(rest, t, strict=True))
-            cut = np.flatnonzero(t[0] != t[0][-1])
-            cut = cut[-1] + 1 if len(cut) else 0
+            done = np.flatnonzero((t[0] != t[0][-1]) | (t[1] != t[1][-1]))
+            cut = done[-1] + 1 if len(done) else 0
             rest = tuple(x[cut:] for x in t)
             if cut:
                 held = flush(*(x[:cut] for x in t))
@@ -167,11 +185,9 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
             if held[0]:
                 yield _pairs(held)
 
-    # One key names a tile pair; rows arrive sorted by it, so a task holds one tile pair at a time.
-    key = F.xxhash64("tile", "i", "j").alias("key")
-    parts = plain.select(key, "fp", "side")
+    # Rows arrive sorted by tile and pair of sub-tiles, so a task holds one such pair at a time.
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return plain.select("tile", "pair", "fp", "side").repartition(n, "tile", "pair").sortWithinPartitions("tile", "pair").mapInArrow(run, "a long, b long")
 
 
 def _pairs(held) -> pa.RecordBatch:
@@ -249,10 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row of each near-duplicate group, with its columns as they are: the row with the smallest id.
 
-    Of rows that share that id, the first in order of all their values stays. Null ids sort last.
+    Of rows that share that id, the first by a digest of all their values stays. Null ids sort last.
     """
     cols = docs.columns
-    row = F.xxhash64(*[docs[c].cast("string") for c in cols])
+    # a hash of values alone passes over nulls, so where they stand is hashed too
+    row = F.xxhash64(*[x for c in cols for x in (docs[c].isNull(), docs[c].cast("string"))])
     narrow = docs.select(id_or_last(id_col).alias("_id"), row.alias("_row"), docs[text_col].cast("string").alias("text"))
     small = materialize(with_fingerprint(narrow).select("_id", "_fp", "_row"), "fingerprints")
     classes = groups(small, radius, tile_rows)
