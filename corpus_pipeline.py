@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecskein.llm import bpe, mixing, quality_rules, secrets, simhash
-from vecskein.llm.common import materialize
+from vecskein.llm.common import materialize, release
 from vecskein.llm.queries import vocabulary_path
 
 
@@ -47,9 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
+    """Each stage's table is written and read again; the one before it is deleted then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        release(before)
+        before = docs
     return docs
