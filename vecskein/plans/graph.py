@@ -101,32 +101,37 @@ def build_graph(x: np.ndarray, inner: str, options: GraphOptions) -> tuple[int,
     return start, edges
 
 
-def walk(q: np.ndarray, x: np.ndarray, coarse: np.ndarray, start: int, edges, inner: str, ef: int, beam: int = 1, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
+def walk(q: np.ndarray, x: np.ndarray, coarse: Callable[[np.ndarray], np.ndarray], start: int, edges, inner: str, ef: int, beam: int = 1, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
     """(distance, node) of up to ef nodes: nodes wait by coarse distance, and are exact once opened.
 
-    ``coarse`` are the estimates of all nodes; the walk ends when the next estimates lie beyond the ef-th exact distance.
+    ``coarse`` estimates the nodes that it is given, and is given those alone that the walk comes to; the walk ends when the
+    next estimates lie beyond the ef-th exact distance.
     """
     if start < 0:
         return []
-    seen, waiting, found = {start}, [(coarse[start], start)], []
+    seen, found = np.zeros(len(x), bool), []
+    seen[start] = True
+    waiting = [(float(coarse(np.array([start]))[0]), start)]
     while waiting:
         opened = [heapq.heappop(waiting) for _ in range(min(beam, len(waiting)))]
         nodes = np.array([u for _, u in opened])
         if len(found) >= ef and opened[0][0] > -found[0][0]:
             break
-        for d, u in zip(_distances(inner, x[nodes], q).tolist(), nodes.tolist(), strict=True):
+        for d, u in zip(_distances(inner, x[nodes].astype(np.float64), q).tolist(), nodes.tolist(), strict=True):
             if alive is None or alive[u]:
                 (heapq.heappushpop if len(found) >= ef else heapq.heappush)(found, (-d, u))
-            for v in edges(u).tolist():
-                if v not in seen:
-                    seen.add(v)
-                    heapq.heappush(waiting, (coarse[v], v))
+        out = np.unique(np.concatenate([edges(u) for u in nodes.tolist()]))
+        out = out[~seen[out]]
+        if len(out):
+            seen[out] = True
+            for item in zip(coarse(out).tolist(), out.tolist(), strict=True):
+                heapq.heappush(waiting, item)
     return sorted((-d, u) for d, u in found)
 
 
 def _coarse(inner: str, q: np.ndarray, codes: np.ndarray, measures: np.ndarray, bits: int) -> np.ndarray:
     """Estimates from 1- or 2-bit lattice codes; measures: squared norm, norm of the lattice point."""
-    dot = (codes - ((1 << bits) - 1) / 2) @ q * np.sqrt(measures[:, 0]) / np.maximum(measures[:, 1], 1e-30)
+    dot = (codes.astype(np.float64) - ((1 << bits) - 1) / 2) @ q * np.sqrt(measures[:, 0]) / np.maximum(measures[:, 1], 1e-30)
     return measures[:, 0] + q @ q - 2 * dot if inner == "l2" else -dot
 
 
@@ -163,7 +168,7 @@ class GraphIndex:
         root = f"{path.rstrip('/')}/{version}"
         store.write_json(spark, f"{root}/meta.json", {"metric": metric, "dim": dim or 1, "options": opts.as_dict(), "vector_col": vector_col, "id_col": id_col, "where": where, "shard_rows": shard_rows, "scan": scan_defaults or {}})
         phase("building graphs")
-        cls._write(rows, n, metric, opts, shard_rows, f"{root}/shards/{uuid.uuid4().hex}")
+        cls._write(rows, n, metric, opts, shard_rows, f"{root}/shards/seq=1")
         pointer = f"{path.rstrip('/')}/current.json"
         old = store.read_json(spark, pointer)["version"] if store.exists(spark, pointer) else None
         store.write_json(spark, pointer, {"version": version})
@@ -202,11 +207,20 @@ class GraphIndex:
         dealt.groupBy("shard").applyInArrow(run, SHARD).write.parquet(path)
 
     def _shards(self) -> DataFrame:
-        return store.read_parts(self.spark, f"{self.root}/shards", SHARD)
+        return store.read_seqs(self.spark, f"{self.root}/shards", SHARD + ", seq int")
+
+    def _members(self) -> DataFrame:
+        """(shard, seq, row_id) of all rows, deleted ones too."""
+        return self._shards().select("shard", "seq", F.explode(_longs(F.col("ids"))).alias("row_id"))
 
     def _dead(self) -> DataFrame | None:
-        names = store.children(self.spark, f"{self.root}/tombstones")
-        return self.spark.read.parquet(*[f"{self.root}/tombstones/{n}" for n in names]).distinct() if names else None
+        """(row_id, seq): the last delete of an id, which hides the shards before it."""
+        path = f"{self.root}/tombstones"
+        return store.read_seqs(self.spark, path, "row_id long, seq int").groupBy("row_id").agg(F.max("seq").alias("seq")) if store.children(self.spark, path) else None
+
+    def known_ids(self) -> DataFrame:
+        """(row_id) of live rows."""
+        return store.live(self._members(), self.spark, f"{self.root}/tombstones").select("row_id").distinct()
 
     def search(self, query, k: int | None = 10, table: DataFrame | None = None, where: Column | str | None = None, radius: float | None = None, **scan) -> DataFrame:
         """(row_id, distance): the k nearest that the shards' walks find. A null query has no rows.
@@ -255,55 +269,60 @@ class GraphIndex:
         if dead is None:
             shards = shards.withColumn("gone", F.lit(None).cast("array<bigint>"))
         else:  # tombstones go to the shards that may hold their rows; each shard checks its own
-            held = shards.select("shard", F.explode(_longs(F.col("ids"))).alias("row_id")).join(dead, "row_id", "left_semi").groupBy("shard").agg(F.collect_set("row_id").alias("gone"))
-            shards = shards.join(held, "shard", "left")
+            held = self._members().join(dead.withColumnRenamed("seq", "_gone"), "row_id").where("seq < _gone").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("gone"))
+            shards = shards.join(held, ["shard", "seq"], "left")
         if passing is not None:  # so do the rows that a filter lets pass
-            held = shards.select("shard", F.explode(_longs(F.col("ids"))).alias("row_id")).join(passing, "row_id", "left_semi").groupBy("shard").agg(F.collect_set("row_id").alias("passing"))
-            shards = shards.join(held, "shard")
+            held = self._members().join(passing, "row_id", "left_semi").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("passing"))
+            shards = shards.join(held, ["shard", "seq"])
         pairs = shards.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(blocks, "g")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
-                    n = r["n"]
-                    ids = np.frombuffer(r["ids"], np.int64)
-                    x = np.frombuffer(r["vectors"], np.float32).reshape(n, dim).astype(np.float64)
-                    codes = np.frombuffer(r["codes"], np.uint8).reshape(n, dim).astype(np.float64)
-                    measures = np.frombuffer(r["measures"], np.float64).reshape(n, 2)
-                    heads, flat = np.frombuffer(r["heads"], np.int64), np.frombuffer(r["edges"], np.int32)
-                    alive = ~np.isin(ids, np.array(r["gone"] or [], np.int64))
+                col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+                for r in range(b.num_rows):
+                    raw = {n: col[n][r].as_buffer() for n in ("ids", "vectors", "codes", "measures", "heads", "edges")}  # read in place
+                    ids = np.frombuffer(raw["ids"], np.int64)
+                    x = np.frombuffer(raw["vectors"], np.float32).reshape(-1, dim)
+                    codes = np.frombuffer(raw["codes"], np.uint8).reshape(-1, dim)
+                    measures = np.frombuffer(raw["measures"], np.float64).reshape(-1, 2)
+                    heads, flat = np.frombuffer(raw["heads"], np.int64), np.frombuffer(raw["edges"], np.int32)
+                    alive = ~np.isin(ids, np.array(col["gone"][r].as_py() or [], np.int64))
                     if filtered:
-                        alive &= np.isin(ids, np.array(r["passing"], np.int64))
+                        alive &= np.isin(ids, np.array(col["passing"][r].as_py(), np.int64))
                     edges = lambda u: flat[heads[u] : heads[u + 1]]  # noqa: B023, E731
                     out = []
-                    for a in r["asked"]:
+                    for a in col["asked"][r].as_py():
                         q = np.array([a["query"]])
                         if q.shape[1] != dim:
                             raise ValueError("vectors of unequal dimensions")
                         length = np.linalg.norm(q)
                         q = rotate(q / length if metric == "cosine" and length > 0 else q)[0]
-                        for d, u in walk(q, x, _coarse(inner, q, codes, measures, bits), r["start"], edges, inner, ef, beam, alive):
+                        coarse = lambda at: _coarse(inner, q, codes[at], measures[at], bits)  # noqa: B023, E731
+                        for d, u in walk(q, x, coarse, int(col["start"][r].as_py()), edges, inner, ef, beam, alive):
                             out.append((a["query_id"], int(ids[u]), np.sqrt(max(d, 0.0)) if metric == "l2" else 1 + d if metric == "cosine" else d))
                     cols = list(zip(*out, strict=True)) or [()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "row_id", "distance"])
 
         return pairs.mapInArrow(run, "query_id long, row_id long, distance double")
 
+    def _next(self) -> int:
+        return store.next_seq(self.spark, self.root, ("shards", "tombstones"))
+
     def insert(self, df: DataFrame) -> None:
-        """New rows become shards of their own; vacuum evens them out."""
+        """New rows become shards of their own, which deletes before them don't touch; vacuum evens them out."""
         rows = self._rows(df if self.meta["where"] is None else df.where(self.meta["where"]), self.meta["vector_col"], self.meta["id_col"])
-        self._write(rows, rows.count(), self.meta["metric"], self.options, self.meta["shard_rows"], f"{self.root}/shards/{uuid.uuid4().hex}")
+        self._write(rows, rows.count(), self.meta["metric"], self.options, self.meta["shard_rows"], f"{self.root}/shards/seq={self._next()}")
 
     def delete(self, ids: DataFrame, id_col: str = "row_id") -> None:
-        ids.select(F.col(id_col).cast("long").alias("row_id")).distinct().write.parquet(f"{self.root}/tombstones/{uuid.uuid4().hex}")
+        """Hide the rows that the index has of these ids now."""
+        ids.select(F.col(id_col).cast("long").alias("row_id")).distinct().write.parquet(f"{self.root}/tombstones/seq={self._next()}")
 
     def vacuum(self, table: DataFrame) -> GraphIndex:
-        """Rebuild without the deleted rows, which repairs every edge that led through them."""
-        dead = self._dead()
+        """Rebuild from those rows of ``table`` that are live, which repairs every edge that led through deleted ones."""
         key = F.col(self.meta["id_col"]).cast("long")
-        live = table if dead is None else table.join(dead.withColumnRenamed("row_id", "_dead"), key == F.col("_dead"), "left_anti")
+        kept = table.join(self.known_ids().withColumnRenamed("row_id", "_known"), key == F.col("_known"), "left_semi")
         m = self.meta
-        return GraphIndex.build(live, self.path, m["metric"], m["options"], m["vector_col"], m["id_col"], m["where"], m["shard_rows"], m["scan"])
+        return GraphIndex.build(kept, self.path, m["metric"], m["options"], m["vector_col"], m["id_col"], m["where"], m["shard_rows"], m["scan"])
 
     def drop(self) -> None:
         store.remove(self.spark, self.path)

@@ -1,11 +1,13 @@
 """The inverted-list index: k-means lists, one-bit codes with error bounds, exact rerank.
 
-On disk: ``current.json`` names a version folder, with ``meta.json``, ``centroids`` and ``postings`` (one sub-folder per
-batch, rows sorted by list, so that Parquet statistics skip row groups) and ``tombstones``. Versions are immutable but for
-added batches; a rebuild writes a new version and then moves the pointer.
-
-A scan probes the centroid tree on the driver, reads the chosen lists (a pushed-down filter), estimates distances from
-codes, and emits rows ordered by greatest(lower bound, exact distance): the order in which a lazy rerank lets them go.
+On disk: ``current.json`` names a version folder, with ``meta.json``, ``centroids``, ``codes``, ``vectors`` and ``tombstones``. Codes and
+vectors are files of their own, in a sub-folder per part (``seq=N``) and group of lists (``grp=G``), rows sorted by list and id, so
+that partitions and Parquet statistics skip what a scan doesn't need. A tombstone hides the parts before it. Versions are
+immutable but for added parts; a rebuild or vacuum writes a new version and then moves the pointer.
+
+A scan probes the centroid tree on the driver and reads the codes of the chosen lists. Rows leave in order of greatest(lower
+bound, exact distance), the order in which a lazy rerank lets them go: so the exact distances of the k rows of least bound
+limit what can be among the k first, and only vectors of rows whose bound lies within that limit are read.
 """
 
 from __future__ import annotations
@@ -21,12 +23,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecskein.functions import quantized as Q
+from vecskein.functions import vectors as V
 from vecskein.functions.rotation import rotate
 from vecskein.operators import kmeans
 from vecskein.plans.options import MAX_DIM, METRICS, ExternalBuild, InternalBuild, IvfOptions, scan_options
 from vecskein.sources import store
 
-POSTINGS = "list_id int, row_id long, extra int, signs binary, measures array<double>, delta double, vector array<float>"
+CODES = "list_id int, row_id long, extra int, signs binary, measures array<double>, delta double"
+VECTORS = "list_id int, row_id long, extra int, vector array<float>"
+PART = ", seq int, grp int"
+#: Folders that the lists of a part are dealt to, rows of a page of vectors, and rows of a block of a batched search.
+GROUPS, PAGE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 1024, 256, 512, 1024
+#: Rows whose ids a scan names to the reader of vectors; more are joined.
+NAMED = 10_000
 #: Bytes of training sample, and of centroids, that the driver holds; above it training runs over the DataFrame.
 DRIVER_BYTES = 512 << 20
 ALL = 65535
@@ -89,30 +98,56 @@ def link(levels: list[np.ndarray]) -> list[tuple[np.ndarray, list[list[int]]]]:
     return out
 
 
-def internal_tree(rows: DataFrame, options: InternalBuild, dim: int) -> list[tuple[np.ndarray, list[list[int]]]]:
-    """K-means lists per level, from a sample of sampling_factor rows per list."""
+def _shortened(sample: DataFrame, dim: int) -> DataFrame:
+    """``sample`` (vector) with its vectors rotated and cut to ``dim`` dimensions in column short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = rotate(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))[:, :dim]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["vector", "short"])
+
+    return sample.mapInArrow(run, "vector array<float>, short array<double>")
+
+
+def internal_tree(rows: DataFrame, options: InternalBuild, dim: int, n: int, scratch: str) -> list[tuple[np.ndarray, list[list[int]]]]:
+    """K-means lists per level, from a sample of about sampling_factor rows per list, drawn by a hash and written once.
+
+    A sample of up to ``DRIVER_BYTES`` is clustered on the driver, a larger one where it lies: what comes to the driver is centroids.
+    """
     if not options.lists:
         return [(np.zeros((1, dim)), [[]])]
-    want = options.lists[-1] * options.sampling_factor
-    small = min(dim, options.kmeans_dimension or dim)
-    fit = kmeans.hierarchical if options.kmeans_algorithm == "hierarchical" else kmeans.lloyd
-    sample = rows.orderBy(F.xxhash64("row_id", "extra"), "row_id", "extra").limit(want).select("vector")
-    if want * small * 8 > DRIVER_BYTES and options.kmeans_algorithm == "lloyd":
-        leaves = kmeans.lloyd_distributed(sample, options.lists[-1], options.kmeans_iterations, options.spherical_centroids, vector_col="vector")
-    else:
-        picked = sample.toPandas()["vector"]
+    spark, lists = rows.sparkSession, options.lists[-1]
+    want, small = lists * options.sampling_factor, min(dim, options.kmeans_dimension or dim)
+    share = min(1.0, 1.02 * want / max(n, 1))
+    drawn = rows.select("vector") if share >= 1 else rows.where(F.xxhash64("row_id", "extra") < F.lit(int(share * 2.0**64) - 2**63)).select("vector")
+    given = (lists, options.kmeans_iterations, options.spherical_centroids)
+    if min(n, 1.1 * want) * dim * 8 <= DRIVER_BYTES:
+        fit = kmeans.hierarchical if options.kmeans_algorithm == "hierarchical" else kmeans.lloyd
+        picked = drawn.toPandas()["vector"]
         x = np.stack(picked.to_list()).astype(np.float64) if len(picked) else np.zeros((0, dim))
+        x = x[np.lexsort(x.T[::-1])]  # tasks answer in any order
         if small < dim and len(x):
             # lists are found in fewer rotated dimensions, then averaged over all of them
             y = rotate(x)[:, :small]
-            to = kmeans.assign(y, fit(y, options.lists[-1], options.kmeans_iterations, options.spherical_centroids))
-            used = np.unique(to)
-            leaves = np.stack([x[to == k].mean(axis=0) for k in used])
+            to = kmeans.assign(y, fit(y, *given))
+            leaves = np.stack([x[to == k].mean(axis=0) for k in np.unique(to)])
         else:
-            leaves = fit(x, options.lists[-1], options.kmeans_iterations, options.spherical_centroids)
+            leaves = fit(x, *given)
+    else:
+        drawn.write.parquet(scratch)
+        sample = spark.read.schema("vector array<float>").parquet(scratch)
+        spread = kmeans.hierarchical_distributed if options.kmeans_algorithm == "hierarchical" else kmeans.lloyd_distributed
+        if small < dim:
+            short = _shortened(sample, small)
+            leaves = kmeans.averaged(short, spread(short, *given, vector_col="short"), "short", "vector", dim)
+        else:
+            leaves = spread(sample, *given, vector_col="vector")
+        store.remove(spark, scratch)
+    fit = kmeans.hierarchical if options.kmeans_algorithm == "hierarchical" else kmeans.lloyd
     levels = [leaves]
-    for n in reversed(options.lists[:-1]):
-        levels.append(fit(levels[-1], n, options.kmeans_iterations, options.spherical_centroids))
+    for above in reversed(options.lists[:-1]):
+        levels.append(fit(levels[-1], above, options.kmeans_iterations, options.spherical_centroids))
     # one root above all, so that a scan takes as many probes as there are levels of lists
     levels.append(levels[-1].mean(axis=0, keepdims=True))
     return link(levels)
@@ -214,8 +249,8 @@ class IvfIndex:
             raise ValueError(f"unknown metric {metric!r}")
         scan_options(spark, "ivf", None, scan_defaults)
         rows = cls._rows(df if where is None else df.where(where), vector_col, id_col, multivector)
-        found = rows.select(F.min(F.size("vector")), F.max(F.size("vector"))).first()
-        dim, most = (found[0] or 1), (found[1] or 1)
+        n, least, most = rows.select(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        dim, most = (least or 1), (most or 1)
         if dim != most:
             raise ValueError("vectors of unequal dimensions")
         Q.check_dim(dim, MAX_DIM["ivf"])
@@ -224,18 +259,18 @@ class IvfIndex:
         if metric == "cosine":
             rows = rows.withColumn("vector", _normal(F.col("vector")))
         phase("finding lists")
+        root = f"{path.rstrip('/')}/{version}"
         if opts.external is not None:
             levels = external_tree(spark.table(opts.external.table), dim)
         else:
-            levels = internal_tree(rows, opts.internal or InternalBuild(), dim)
+            levels = internal_tree(rows, opts.internal or InternalBuild(), dim, n, f"{root}/sample")
         levels = [(rotate(c), kids) for c, kids in levels]
-        root = f"{path.rstrip('/')}/{version}"
         phase("writing lists")
         flat = [(k, i, c.tolist(), kids[i]) for k, (cs, kids) in enumerate(levels) for i, c in enumerate(cs)]
         spark.createDataFrame(flat, "level int, id int, centroid array<double>, children array<int>").coalesce(1).write.parquet(f"{root}/centroids")
         store.write_json(spark, f"{root}/meta.json", meta)
         phase("writing rows")
-        cls._encode(rows, Tree(levels), metric, opts, f"{root}/postings/{uuid.uuid4().hex}")
+        cls._encode(rows, Tree(levels), metric, opts, root, 1)
         old = store.read_json(spark, f"{path.rstrip('/')}/current.json")["version"] if store.exists(spark, f"{path.rstrip('/')}/current.json") else None
         store.write_json(spark, f"{path.rstrip('/')}/current.json", {"version": version})
         if old:
@@ -253,37 +288,71 @@ class IvfIndex:
         return df.where(v.isNotNull()).select(ident, F.lit(0).alias("extra"), v.cast("array<float>").alias("vector"))
 
     @staticmethod
-    def _encode(rows: DataFrame, tree: Tree, metric: str, options: IvfOptions, path: str) -> None:
-        """Assign, code and write one batch of rows, sorted by list within range-dealt files."""
+    def _encode(rows: DataFrame, tree: Tree, metric: str, options: IvfOptions, root: str, seq: int) -> None:
+        """Assign and code one part: vectors first, then the codes that make its rows visible."""
         spark = rows.sparkSession
         shared = spark.sparkContext.broadcast(tree)
-        inner, residual, keep = ("l2" if metric == "l2" else "ip"), options.residual_quantization, not options.rerank_in_table
+        inner, residual = ("l2" if metric == "l2" else "ip"), options.residual_quantization
+        groups = min(len(tree.leaves), GROUPS)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(b: pa.RecordBatch) -> np.ndarray:
+            return rotate(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.descend(matrix(b)).astype(np.int32)), b.column(0), b.column(1).cast(pa.int32()), b.column(2)], ["list_id", "row_id", "extra", "vector"])
+
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = rotate(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-                to = shared.value.descend(x)
+                x, to = matrix(b), b.column("list_id").to_numpy(zero_copy_only=False)
                 coded = x - shared.value.leaves[to] if residual else x
                 sign, m = Q.bit_codes(coded)
                 delta = Q.residual_delta(inner, coded, shared.value.leaves[to], sign, m[:, 2]) if residual else np.zeros(len(x))
                 bits = [r.tobytes() for r in np.packbits(sign > 0, axis=1)]
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), b.column(0), b.column(1).cast(pa.int32()), pa.array(bits), pa.array(list(m), pa.list_(pa.float64())), pa.array(delta), b.column(2) if keep else pa.nulls(b.num_rows, pa.list_(pa.float32()))], ["list_id", "row_id", "extra", "signs", "measures", "delta", "vector"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits), pa.array(list(m), pa.list_(pa.float64())), pa.array(delta)], ["list_id", "row_id", "extra", "signs", "measures", "delta"])
+
+        def write(df: DataFrame, path: str) -> None:
+            df = df.withColumn("grp", F.col("list_id") % groups)
+            # a group of lists with many rows is split where they are dealt
+            df = df.hint("rebalance", "grp") if groups > 1 else df
+            df.sortWithinPartitions("grp", "list_id", "row_id").write.option("parquet.page.row.count.limit", str(PAGE_ROWS)).partitionBy("grp").parquet(path)
 
-        coded = rows.select("row_id", "extra", "vector").mapInArrow(run, POSTINGS)
-        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        (coded.repartitionByRange(n, "list_id") if len(tree.leaves) > 1 else coded).sortWithinPartitions("list_id").write.parquet(path)
+        placed = rows.select("row_id", "extra", "vector").mapInArrow(assign, VECTORS)
+        if not options.rerank_in_table:
+            write(placed, f"{root}/vectors/seq={seq}")
+            placed = spark.read.schema(VECTORS).parquet(f"{root}/vectors/seq={seq}")
+        write(placed.mapInArrow(code, CODES), f"{root}/codes/seq={seq}")
 
     # Reading.
 
-    def postings(self) -> DataFrame:
-        """Live rows of all batches."""
-        rows = store.read_parts(self.spark, f"{self.root}/postings", POSTINGS)
-        if names := store.children(self.spark, f"{self.root}/tombstones"):
-            gone = self.spark.read.parquet(*[f"{self.root}/tombstones/{n}" for n in names]).distinct()
-            rows = rows.join(gone, "row_id", "left_anti")
-        return rows
+    def _of_lists(self, df: DataFrame, lists: Sequence[int] | None) -> DataFrame:
+        if lists is None or len(lists) >= len(self.tree.leaves):
+            return df
+        groups = min(len(self.tree.leaves), GROUPS)
+        return df.where(F.col("grp").isin(sorted({k % groups for k in lists})) & F.col("list_id").isin(list(lists)))
+
+    def postings(self, lists: Sequence[int] | None = None) -> DataFrame:
+        """Codes of live rows of all parts, or of some lists."""
+        codes = store.read_seqs(self.spark, f"{self.root}/codes", CODES + PART)
+        return store.live(self._of_lists(codes, lists), self.spark, f"{self.root}/tombstones")
+
+    def vectors(self, lists: Sequence[int] | None = None, table: DataFrame | None = None) -> DataFrame:
+        """(list_id, row_id, extra, seq, vector) of live rows: the index's own, or those of the table."""
+        if not self.options.rerank_in_table:
+            own = store.read_seqs(self.spark, f"{self.root}/vectors", VECTORS + PART)
+            return store.live(self._of_lists(own, lists), self.spark, f"{self.root}/tombstones").select("list_id", "row_id", "extra", "seq", "vector")
+        if table is None:
+            raise ValueError("an index that reranks in the table needs it")
+        rows = self._rows(table, self.meta["vector_col"], self.meta["id_col"], False).select("row_id", "vector")
+        rows = rows.withColumn("vector", _normal(F.col("vector")) if self.metric == "cosine" else F.col("vector"))
+        return self.postings(lists).select("list_id", "row_id", "extra", "seq").join(rows, "row_id").select("list_id", "row_id", "extra", "seq", "vector")
+
+    def known_ids(self) -> DataFrame:
+        """(row_id) of live rows."""
+        return self.postings().select("row_id").distinct()
 
     def _probes(self, opts: dict) -> list[int]:
         return opts["probes"]
@@ -294,8 +363,8 @@ class IvfIndex:
             raise ValueError("vectors of unequal dimensions")
         return rotate(_unit(q) if self.metric == "cosine" else q)
 
-    def _estimated(self, q: np.ndarray, rows: DataFrame, exact: bool) -> DataFrame:
-        """``rows`` with rough, err and, if asked for, the exact inner distance to one rotated query."""
+    def _estimated(self, q: np.ndarray, rows: DataFrame) -> DataFrame:
+        """(row_id, extra, seq, list_id, rough, err) of codes ``rows`` for one rotated query."""
         leaves = self.spark.sparkContext.broadcast(self.tree.leaves)
         inner, residual, dim = self.inner, self.options.residual_quantization, self.meta["dim"]
 
@@ -314,14 +383,47 @@ class IvfIndex:
                         rough[at], err[at] = Q.estimate(inner, q, sign[at], m[at], leaves.value[k], delta[at])
                 else:
                     rough, err = Q.estimate(inner, q, sign, m)
-                if exact:
-                    x = rotate(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim))
-                    true = ((x - q) ** 2).sum(axis=1) if inner == "l2" else -(x @ q)
-                else:
-                    true = np.full(b.num_rows, np.nan)
-                yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("extra"), pa.array(rough), pa.array(err), pa.array(true)], ["row_id", "extra", "rough", "err", "exact"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("row_id", "extra", "seq", "list_id")), pa.array(rough), pa.array(err)], ["row_id", "extra", "seq", "list_id", "rough", "err"])
 
-        return rows.mapInArrow(run, "row_id long, extra int, rough double, err double, exact double")
+        rows = rows.select("row_id", "extra", "seq", "list_id", "signs", "measures", "delta")
+        return rows.mapInArrow(run, "row_id long, extra int, seq int, list_id int, rough double, err double")
+
+    def _exact(self, query: Sequence[float]) -> Column:
+        """Inner distance (squared l2, or negative inner product) of the stored vectors to a query."""
+        q = np.array(query, np.float64)
+        q = V.vector((_unit(q[None, :])[0] if self.metric == "cosine" else q).tolist())
+        return V.l2_squared(F.col("vector"), q) if self.inner == "l2" else V.distance("ip", F.col("vector"), q)
+
+    def _emitted(self, query: Sequence[float], seen: DataFrame, lists: Sequence[int], first: int | None, epsilon: float, table: DataFrame | None, inside: Column | None = None) -> DataFrame:
+        """(row_id, extra, exact, emitted) of rows ``seen`` (estimates): all, or enough of them to hold the ``first`` by emitted.
+
+        ``inside`` (of ``exact``) says which rows count. Only vectors of rows that may be among the first are read.
+        """
+        exact, keys = self._exact(query), ["row_id", "extra", "seq"]
+        low = seen.select(*keys, (F.col("rough") - F.lit(float(epsilon)) * F.col("err")).alias("low"))
+        vectors = self.vectors(lists, table)
+
+        def finished(bounds: DataFrame, ids: list[int] | None) -> DataFrame:
+            some = vectors if ids is None else vectors.where(F.col("row_id").isin(ids))
+            done = some.withColumn("exact", exact).join(F.broadcast(bounds) if ids is not None else bounds, keys)
+            done = done.select("row_id", "extra", "exact", F.greatest("low", "exact").alias("emitted"))
+            return done if inside is None else done.where(inside)
+
+        if first is None or not 0 < first <= NAMED // 4:
+            return finished(low, None)
+        low = low.persist()
+        try:
+            kind = "row_id long, extra int, seq int, low double"
+            head = low.orderBy("low", "row_id").limit(first).collect()
+            found = [r["emitted"] for r in finished(self.spark.createDataFrame(head, kind), [r["row_id"] for r in head]).select("emitted").collect()] if head else []
+            # what lies beyond the greatest of these can't be among the first: it leaves no sooner than its bound
+            rest = low.where(F.col("low") <= max(found)) if len(found) == first else low
+            rows = rest.limit(NAMED + 1).collect()
+        finally:
+            low.unpersist()
+        if len(rows) > NAMED:
+            return finished(rest, None)
+        return finished(self.spark.createDataFrame(rows, kind), [r["row_id"] for r in rows])
 
     def _outer(self, d: Column) -> Column:
         if self.metric == "l2":
@@ -349,27 +451,19 @@ class IvfIndex:
         lists = self.tree.probe(q[0], self.inner, self._probes(opts))
         if not lists:
             return empty
-        rows = self.postings().where(F.col("list_id").isin(lists)) if len(lists) < len(self.tree.leaves) else self.postings()
-        wanted = None
+        rows, wanted, most = self.postings(lists), None, opts["max_scan_tuples"]
         if where is not None:
             if table is None:
                 raise ValueError("a filter needs the table")
             wanted = table.where(where).select(F.col(self.meta["id_col"]).cast("long").alias("row_id"))
-            if opts["prefilter"]:
-                rows = rows.join(wanted, "row_id", "left_semi")
-        if self.options.rerank_in_table:
-            if table is None:
-                raise ValueError("an index that reranks in the table needs it")
-            rows = rows.drop("vector").join(self._rows(table, self.meta["vector_col"], self.meta["id_col"], False).select("row_id", "vector"), "row_id")
-            rows = rows.withColumn("vector", _normal(F.col("vector")) if self.metric == "cosine" else F.col("vector"))
-        found = self._estimated(q[0], rows, True)
-        key = F.greatest(F.col("rough") - F.lit(opts["epsilon"]) * F.col("err"), F.col("exact"))
-        found = found.select("row_id", self._outer(F.col("exact")).alias("distance"), key.alias("emitted"))
-        if radius is not None:
-            found = found.where(F.col("distance") < float(radius))
-        if opts["max_scan_tuples"] >= 0:
-            found = found.orderBy("emitted", "row_id").limit(opts["max_scan_tuples"])
-        if wanted is not None and not opts["prefilter"]:
+            if opts["prefilter"] or most < 0:  # before the rerank; without a bound on tuples the rows are the same
+                rows, wanted = rows.join(wanted, "row_id", "left_semi"), None
+        inside = None if radius is None else self._outer(F.col("exact")) < float(radius)
+        found = self._emitted(query, self._estimated(q[0], rows), lists, k if most < 0 else most, opts["epsilon"], table, inside)
+        found = found.select("row_id", self._outer(F.col("exact")).alias("distance"), "emitted")
+        if most >= 0:
+            found = found.orderBy("emitted", "row_id").limit(most)
+        if wanted is not None:
             found = found.join(wanted, "row_id", "left_semi")
         found = found.orderBy("emitted", "row_id")
         return found if k is None else found.limit(k)
@@ -386,8 +480,12 @@ class IvfIndex:
         found = found.select("row_id", "distance", F.col("distance").alias("emitted")).orderBy("distance", "row_id")
         return found if k is None else found.limit(k)
 
-    def search_many(self, queries: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query", **scan) -> DataFrame:
-        """(query_id, rank, row_id, distance) for a set of queries: each meets the rows of its probed lists in an equi-join on lists."""
+    def search_many(self, queries: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query", table: DataFrame | None = None, **scan) -> DataFrame:
+        """(query_id, rank, row_id, distance) for a set of queries: blocks of rows meet blocks of the queries that probe their list.
+
+        A query set opens most rows for some query, so vectors are read once for all of them and scored as matrices: codes would
+        be read on top and spare nothing.
+        """
         opts = scan_options(self.spark, "ivf", scan, self.meta["scan"])
         tree = self.spark.sparkContext.broadcast(self.tree)
         inner, cosine, probes, dim = self.inner, self.metric == "cosine", self._probes(opts), self.meta["dim"]
@@ -399,30 +497,65 @@ class IvfIndex:
                 x = rotate(_unit(x) if cosine else x)
                 lists = [tree.value.probe(r, inner, probes) for r in x]
                 n = [len(v) for v in lists]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(x)), n))), pa.array([v for r in lists for v in r], pa.int32()), pa.array([x[i].tolist() for i, c in enumerate(n) for _ in range(c)], pa.list_(pa.float64()))], ["query_id", "list_id", "q"])
+                at = pa.array(np.repeat(np.arange(len(x)), n))
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([v for r in lists for v in r], pa.int32()), raw.take(at)], ["query_id", "list_id", "q"])
 
-        asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("q"))
-        dealt = asked.mapInArrow(probe, "query_id long, list_id int, q array<double>")
-        pairs = self.postings().select("list_id", "row_id", "vector").join(dealt, "list_id")
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = rotate(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim))
-                q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-                d = ((x - q) ** 2).sum(axis=1) if inner == "l2" else -(x * q).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(d)], ["query_id", "row_id", "d"])
+                x = rotate(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)).astype(np.float64)
+                to, ids = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                out = []
+                for k in np.unique(to).tolist():
+                    mine = order[np.searchsorted(to, k, "left", order) : np.searchsorted(to, k, "right", order)]
+                    out += [(k, ids[part].tobytes(), x[part].tobytes()) for part in np.split(mine, range(BLOCK_ROWS, len(mine), BLOCK_ROWS))]
+                lists, idents, data = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(idents, pa.binary()), pa.array(data, pa.binary())], ["list_id", "ids", "data"])
+
+        asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("q"))
+        groups = max(1, -(-asked.count() // BLOCK_QUERIES))
+        dealt = asked.mapInArrow(probe, "query_id long, list_id int, q binary")
+        dealt = dealt.groupBy("list_id", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked")).drop("g")
+        blocks = self.vectors(None, table).select("list_id", "row_id", "vector").mapInArrow(pack, "list_id int, ids binary, data binary")
 
-        found = pairs.select("query_id", "q", "vector", "row_id").mapInArrow(score, "query_id long, row_id long, d double")
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block, raw, those in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    ids, qids = np.frombuffer(block, np.int64), np.array([r["query_id"] for r in those])
+                    x, q = np.frombuffer(raw).reshape(len(ids), dim), np.frombuffer(b"".join(r["q"] for r in those)).reshape(len(qids), dim)
+                    d = np.stack([((x - r) ** 2).sum(axis=1) for r in q]) if inner == "l2" else -(q @ x.T)
+                    near = np.argpartition(d, k - 1, axis=1)[:, :k] if 0 < k < len(ids) else np.tile(np.arange(len(ids)), (len(qids), 1))
+                    if 0 < k < len(ids):  # ties at the k-th go to the smaller id
+                        bar = np.take_along_axis(d, near, 1).max(axis=1)
+                        at, col = np.nonzero(d <= bar[:, None])
+                    else:
+                        at, col = np.repeat(np.arange(len(qids)), len(ids)), near.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[col]), pa.array(d[at, col])], ["query_id", "row_id", "d"])
+
+        found = blocks.join(dealt, "list_id").select("ids", "data", "asked").mapInArrow(score, "query_id long, row_id long, d double")
         order = W.partitionBy("query_id").orderBy("d", "row_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", self._outer(F.col("d")).alias("distance"))
 
+    def _unseen(self, q: np.ndarray, lists: list[int], threshold: int, sizes: dict[int, int]) -> float | None:
+        """The distance of the list at which the rows of nearer lists come to ``threshold``; None if the probed ones do."""
+        left, said = threshold - sum(sizes.get(k, 0) for k in lists), None
+        others = np.array([k for k in range(len(self.tree.leaves)) if k not in set(lists)], int)
+        far = ((self.tree.leaves[others] - q) ** 2).sum(axis=1) if self.inner == "l2" else -(self.tree.leaves[others] @ q)
+        for j in np.argsort(far, kind="stable").tolist():
+            if left <= 0:
+                break
+            left -= sizes.get(int(others[j]), 0)
+            said = float(far[j])
+        return said
+
     def maxsim(self, queries: Sequence[Sequence[float]], k: int | None = 10, **scan) -> DataFrame:
         """(row_id, distance) by late interaction from codes; the first maxsim_refine rows of each token are exact.
 
-        A row that a token's lists don't hold gets that token's estimate: its greatest distance seen among exact ones, or the estimate
-        at maxsim_threshold rows.
+        A row that a token's lists don't hold gets that token's estimate: the greater of the greatest exact distance seen and the
+        distance of the list at which the rows of nearer lists come to maxsim_threshold; zero where there is neither.
         """
         opts = scan_options(self.spark, "ivf", scan, self.meta["scan"])
         if not self.meta["multivector"]:
@@ -431,24 +564,28 @@ class IvfIndex:
             raise ValueError("maxsim does not go with max_scan_tuples")
         if self.options.rerank_in_table:
             raise ValueError("maxsim does not go with rerank_in_table")
-        refine, parts, fill = opts["maxsim_refine"], [], []
-        for t, q in enumerate(self._prepared(queries)):
+        refine, threshold, parts, fill = opts["maxsim_refine"], opts["maxsim_threshold"], [], []
+        sizes = {r["list_id"]: r["rows"] for r in self.list_counts().collect()} if threshold else {}
+        for t, (raw, q) in enumerate(zip(queries, self._prepared(queries), strict=True)):
             lists = self.tree.probe(q, self.inner, self._probes(opts))
-            rows = self.postings().where(F.col("list_id").isin(lists))
-            seen = self._estimated(q, rows, refine > 0)
+            seen = self._estimated(q, self.postings(lists))
             if refine > 0:
-                low = F.col("rough") - F.lit(opts["epsilon"]) * F.col("err")
-                first = seen.orderBy(F.greatest(low, "exact"), "row_id", "extra").limit(refine).select("row_id", "extra", F.col("exact").alias("true"))
-                seen = seen.join(first, ["row_id", "extra"], "left").select("row_id", F.coalesce("true", "rough").alias("d"), F.col("true"))
+                exact = self._emitted(raw, seen, lists, refine, opts["epsilon"], None).orderBy("emitted", "row_id", "extra").limit(refine)
+                seen = seen.join(exact.select("row_id", "extra", F.col("exact").alias("true")), ["row_id", "extra"], "left").select("row_id", F.coalesce("true", "rough").alias("d"), "true")
             else:
                 seen = seen.select("row_id", F.col("rough").alias("d"), F.lit(None).cast("double").alias("true"))
-            parts.append(seen.groupBy("row_id").agg(F.min("d").alias("d")).withColumn("t", F.lit(t)))
-            fill.append(seen.agg(F.lit(t).alias("t"), F.coalesce(F.max("true"), F.max("d") if opts["maxsim_threshold"] else F.lit(None), F.lit(0.0)).alias("fill")))
+            beyond = self._unseen(q, lists, threshold, sizes) if threshold else None
+            parts.append(seen.groupBy("row_id").agg(F.min("d").alias("d"), F.max("true").alias("true")).withColumn("t", F.lit(t)))
+            fill.append((t, beyond))
         if not parts:
             return self.spark.createDataFrame([], "row_id long, distance double")
-        best, fills = parts[0], fill[0]
-        for p, f in zip(parts[1:], fill[1:], strict=True):
-            best, fills = best.unionByName(p), fills.unionByName(f)
+        best = parts[0]
+        for p in parts[1:]:
+            best = best.unionByName(p)
+        # one row a token: the estimate of rows that it lacks
+        told = self.spark.createDataFrame(fill, "t int, beyond double")
+        scope = best.groupBy("t").agg(F.max("true").alias("scope"))
+        fills = told.join(scope, "t", "left").select("t", F.when(F.col("scope").isNull() & F.col("beyond").isNull(), 0.0).otherwise(F.greatest("scope", "beyond")).alias("fill"))
         # a row's sum: what its tokens have, and the estimates of those that it lacks
         total = fills.agg(F.sum("fill").alias("all"))
         own = best.join(F.broadcast(fills), "t").groupBy("row_id").agg(F.sum(F.col("d") - F.col("fill")).alias("over"))
@@ -457,27 +594,38 @@ class IvfIndex:
 
     # Maintenance.
 
+    def _next(self) -> int:
+        return store.next_seq(self.spark, self.root, ("codes", "vectors", "tombstones"))
+
     def insert(self, df: DataFrame) -> None:
-        """Add rows as a new batch; ids that were deleted before must have been vacuumed."""
+        """Add rows as a new part. Deletes before it don't touch it: an id that is deleted and inserted again is there once."""
         meta = self.meta
         rows = self._rows(df if meta["where"] is None else df.where(meta["where"]), meta["vector_col"], meta["id_col"], meta["multivector"])
         rows = rows.withColumn("vector", F.when(F.size("vector") == meta["dim"], F.col("vector")).otherwise(F.raise_error(F.lit("vectors of unequal dimensions")).cast("array<float>")))
         if self.metric == "cosine":
             rows = rows.withColumn("vector", _normal(F.col("vector")))
-        self._encode(rows, self.tree, self.metric, self.options, f"{self.root}/postings/{uuid.uuid4().hex}")
+        self._encode(rows, self.tree, self.metric, self.options, self.root, self._next())
 
     def delete(self, ids: DataFrame, id_col: str = "row_id") -> None:
-        ids.select(F.col(id_col).cast("long").alias("row_id")).distinct().write.parquet(f"{self.root}/tombstones/{uuid.uuid4().hex}")
+        """Hide the rows that the index has of these ids now."""
+        ids.select(F.col(id_col).cast("long").alias("row_id")).distinct().write.parquet(f"{self.root}/tombstones/seq={self._next()}")
 
     def vacuum(self) -> None:
-        """Rewrite the live rows as one sorted batch and drop the tombstones."""
-        old = store.children(self.spark, f"{self.root}/postings")
-        dead = store.children(self.spark, f"{self.root}/tombstones")
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.postings().repartitionByRange(n, "list_id").sortWithinPartitions("list_id").write.parquet(f"{self.root}/postings/{uuid.uuid4().hex}")
-        for kind, names in (("postings", old), ("tombstones", dead)):
-            for name in names:
-                store.remove(self.spark, f"{self.root}/{kind}/{name}")
+        """Write the live rows as one part of a new version without tombstones, and move the pointer to it."""
+        version = f"v-{uuid.uuid4().hex}"
+        new, groups = f"{self.path}/{version}", min(len(self.tree.leaves), GROUPS)
+        self.spark.read.parquet(f"{self.root}/centroids").coalesce(1).write.parquet(f"{new}/centroids")
+        store.write_json(self.spark, f"{new}/meta.json", self.meta)
+        kept = [("codes", self.postings().drop("seq"))]
+        if not self.options.rerank_in_table:
+            kept.append(("vectors", self.vectors().select("list_id", "row_id", "extra", "vector").withColumn("grp", F.col("list_id") % groups)))
+        for kind, rows in kept:
+            rows = rows.hint("rebalance", "grp") if groups > 1 else rows
+            rows.sortWithinPartitions("grp", "list_id", "row_id").write.option("parquet.page.row.count.limit", str(PAGE_ROWS)).partitionBy("grp").parquet(f"{new}/{kind}/seq=1")
+        old = self.root
+        store.write_json(self.spark, f"{self.path}/current.json", {"version": version})
+        self.version = version
+        store.remove(self.spark, old)
 
     def reindex(self, df: DataFrame) -> IvfIndex:
         m = self.meta

@@ -10,10 +10,10 @@ from vecskein.functions import vectors as V
 
 
 def ingest(stream: DataFrame, index, checkpoint: str, op_col: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Append every micro-batch to ``index``; with ``op_col``, rows marked "delete" become tombstones.
+    """Append every micro-batch to ``index`` (of either kind); with ``op_col``, rows marked "delete" become tombstones.
 
-    Within a batch an id that is deleted and not inserted again goes. A batch that is replayed after a failure
-    inserts ids anew, so ids already in the index are left out of it first.
+    Deletes of a batch come before its inserts: an id with both is updated, one deleted alone goes. Ids that the index
+    holds, and the batch doesn't delete, are left out of its inserts, so that a batch replayed after a failure stores nothing twice.
     """
     id_col = index.meta["id_col"]
 
@@ -27,9 +27,8 @@ def ingest(stream: DataFrame, index, checkpoint: str, op_col: str | None = None,
             batch_rows = batch.where(F.col(op_col).isNull() | (F.col(op_col) != "delete")).drop(op_col)
         else:
             batch_rows = batch
-        if hasattr(index, "postings"):
-            known = index.postings().select(F.col("row_id").alias("_known"))
-            batch_rows = batch_rows.join(known, F.col(id_col).cast("long") == F.col("_known"), "left_anti")
+        known = index.known_ids().select(F.col("row_id").alias("_known"))
+        batch_rows = batch_rows.join(known, F.col(id_col).cast("long") == F.col("_known"), "left_anti")
         if not batch_rows.isEmpty():
             index.insert(batch_rows)
         batch.unpersist()
