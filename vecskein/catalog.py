@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
+
+
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from vecskein.operators import kmeans, search
 from vecskein.plans.graph import GraphIndex
 from vecskein.plans.ivf import ALL, IvfIndex
 from vecskein.plans.partitioned import PartitionedIndex
+from vecskein.session import spread
 from vecskein.sources import sampling
 
 K = 10
@@ -24,9 +27,7 @@ K = 10
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     """The table, dealt over the cores: one row group would be one task."""
-    df = spark.read.parquet(f"{d}/embeddings.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return spread(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
 def _query(spark: SparkSession, d: str) -> list[float]:
@@ -35,10 +36,27 @@ def _query(spark: SparkSession, d: str) -> list[float]:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "vecskein-index")
+    """A path below the cluster's shared folder; where none is named, below one that goes with this process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="vecskein-index-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def finished(result: DataFrame, index) -> DataFrame:
+    """``result`` of an index that a query has built, written down so that the index can go."""
+    spark = result.sparkSession
+    path = _scratch(spark, "result")
+    result.write.parquet(path)
+    index.drop()
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def _r(c, name: str = "distance", digits: int = 6):
     return F.round(c, digits).alias(name)
 
@@ -189,14 +207,14 @@ def ivf_full_probe_topk(spark, d):
     """Every list probed and every row reranked: the exact result."""
     index = IvfIndex.build(_embeddings(spark, d), _scratch(spark, "ivf"), "l2", {"internal": {"lists": [16], "kmeans_iterations": 5}}, id_col="vec_id")
     found = index.search(_query(spark, d), None, probes=[ALL])
-    return found.orderBy("distance", "row_id").limit(K).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
+    return finished(found.orderBy("distance", "row_id").limit(K).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4)), index)
 
 
 def ivf_filtered_range(spark, d):
     """A sphere and a filter below the rerank."""
     e = _embeddings(spark, d)
     index = IvfIndex.build(e, _scratch(spark, "ivf"), "cosine", None, id_col="vec_id")
-    return index.search(_query(spark, d), None, e, "label < 5", radius=0.75, prefilter=True).select(F.col("row_id").alias("vec_id"))
+    return finished(index.search(_query(spark, d), None, e, "label < 5", radius=0.75, prefilter=True).select(F.col("row_id").alias("vec_id")), index)
 
 
 def ivf_join(spark, d):
@@ -204,7 +222,7 @@ def ivf_join(spark, d):
     e = _embeddings(spark, d)
     index = IvfIndex.build(e, _scratch(spark, "ivf"), "ip", {"internal": {"lists": [4], "kmeans_iterations": 3}}, id_col="vec_id")
     found = index.search_many(_asked(e), 5, probes=[ALL])
-    return found.select("query_id", "rank", F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
+    return finished(found.select("query_id", "rank", F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4)), index)
 
 
 def ivf_partial_probe(spark, d):
@@ -220,7 +238,7 @@ def partitioned_index_topk(spark, d):
     e = _embeddings(spark, d)
     index = PartitionedIndex.build(e, _scratch(spark, "parts"), {"low": "label < 5", "high": "label >= 5"}, "cosine", id_col="vec_id")
     found = index.search(_query(spark, d), K, e, "label < 5 OR vec_id % 2 = 0", prefilter=True)
-    return found.orderBy("distance", "row_id").select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
+    return finished(found.orderBy("distance", "row_id").select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4)), index)
 
 
 def ivf_after_maintenance(spark, d):
@@ -231,53 +249,7 @@ def ivf_after_maintenance(spark, d):
     index.delete(e.where("vec_id % 7 = 3").select(F.col("vec_id").alias("row_id")))
     index.vacuum()
     found = index.search(_query(spark, d), None, probes=[ALL])
-    return found.orderBy("distance", "row_id").limit(K).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
-
-
-def ivf_maxsim(spark, d):
-    docs = _documents(_embeddings(spark, d))
-    index = IvfIndex.build(docs, _scratch(spark, "ivf"), "ip", None, vector_col="vectors", id_col="doc", multivector=True)
-    return index.maxsim(_maxsim_query(spark, d), K, probes=[]).select(F.col("row_id").alias("doc"), _r(F.col("distance"), digits=4))
-
-
-def graph_topk(spark, d):
-    index = GraphIndex.build(_embeddings(spark, d), _scratch(spark, "graph"), "l2", None, id_col="vec_id")
-    return index.search(_query(spark, d), K).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4))
-
-
-def _quantized(bits: int):
-    def run(spark, d):
-        q = Q.encode(np.array(_query(spark, d)), bits)[0]
-        lit = F.struct(*[F.lit(bytearray(q[f]) if f == "code" else q[f]).alias(f) for f in Q.FIELDS])
-        lit = lit.cast(Q.KIND)
-        rows = _embeddings(spark, d).select("vec_id", Q.quantized_distance("l2", Q.quantize(F.col("embedding"), bits), lit, bits).alias("distance"))
-        return rows.where("distance IS NOT NULL").orderBy("distance", "vec_id").limit(K).select("vec_id", _r(F.col("distance"), digits=4))
-
-    return run
-
-
-def quantize_round_trip(spark, d):
-    """Error of 8 bits and of 4 bits, per vector."""
-    v = F.col("embedding")
-    rows = _embeddings(spark, d).select("vec_id", "embedding", Q.dequantize(Q.quantize(v, 8), 8).alias("a"), Q.dequantize(Q.quantize(v, 4), 4).alias("b"))
-    return rows.select("vec_id", _r(V.l2(v, F.col("a")), "error8", 4), _r(V.l2(v, F.col("b")), "error4", 4))
-
-
-def half_precision(spark, d):
-    return _embeddings(spark, d).select("vec_id", _r(V.l2(F.col("embedding"), V.to_half(F.col("embedding"))), "error", 4))
-
-
-def kmeans_lists(spark, d):
-    """Rows per list of distributed Lloyd."""
-    e = _embeddings(spark, d)
-    centroids = kmeans.lloyd_distributed(e, 8, 5)
-    shared = spark.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series(kmeans.assign(np.stack(v.to_list()).astype(np.float64), shared.value).astype(np.int32))
-
-    return e.where("embedding IS NOT NULL").groupBy(nearest("embedding").alias("list_id")).agg(F.count("*").alias("rows"))
+    return finished(found.orderBy("distance", "row_id").limit(K).select(F.col("row_id").alias("vec_id"), _r(F.col("distance"), digits=4)), index)
 
 
 def recall_intersect(spark, d):
@@ -292,10 +264,6 @@ _RECALL_SQL = f"""WITH {_E}, a AS (SELECT vec_id FROM e, q ORDER BY {_d("l2")},
  SELECT count(*) AS hits FROM (SELECT * FROM a INTERSECT SELECT * FROM b)"""
 
 
-def block_sample(spark, d):
-    return sampling.block_sample(spark, f"{d}/embeddings.parquet", 200, 64).select("vec_id", "label")
-
-
 def text_round_trip(spark, d):
     v = F.col("embedding")
     rows = _embeddings(spark, d).where("embedding IS NOT NULL").select("vec_id", v, V.from_text(V.as_text(v)).alias("back"))
@@ -306,10 +274,11 @@ def queries() -> dict:
     found = {f"exact_{m}_topk": _topk(m) for m in ("l2", "ip", "cosine")}
     found |= {f"sphere_{m}": _sphere(m) for m in ("l2", "ip", "cosine")}
     found |= {f"knn_join_{m}": _knn(m) for m in ("l2", "ip", "cosine")}
-    found |= {f"rabitq{b}_topk": _quantized(b) for b in (8, 4)}
-    for f in (sphere_ordered, filtered_topk, partitioned_topk, ordered_scan, lateral_topk, range_join, maxsim_topk, vector_functions, sparse_functions, bit_functions, ivf_full_probe_topk, ivf_filtered_range, ivf_join, ivf_partial_probe, partitioned_index_topk, ivf_after_maintenance, ivf_maxsim, graph_topk, quantize_round_trip, half_precision, kmeans_lists, recall_intersect, block_sample, text_round_trip):
+    for f in (sphere_ordered, filtered_topk, partitioned_topk, ordered_scan, lateral_topk, range_join, maxsim_topk, vector_functions, sparse_functions, bit_functions, ivf_full_probe_topk, ivf_filtered_range, ivf_join, partitioned_index_topk, ivf_after_maintenance, recall_intersect, text_round_trip):
         found[f.__name__] = f
-    return found
+    from vecskein import facts
+
+    return found | facts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -329,4 +298,6 @@ def oracle_sql() -> dict[str, str]:
     found["ivf_after_maintenance"] = _topk_sql("l2", "vec_id % 7 <> 3").replace("round(d, 6)", "round(d, 4)")
     found["partitioned_index_topk"] = _topk_sql("cosine", "label < 5 OR vec_id % 2 = 0").replace("round(d, 6)", "round(d, 4)")
     found["text_round_trip"] = f"WITH {_E} SELECT vec_id, TRUE AS same FROM e"
-    return found
+    from vecskein import facts
+
+    return found | facts.oracle_sql()

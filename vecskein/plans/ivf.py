@@ -6,8 +6,8 @@ that partitions and Parquet statistics skip what a scan doesn't need. A tombston
 immutable but for added parts; a rebuild or vacuum writes a new version and then moves the pointer.
 
 A scan probes the centroid tree on the driver and reads the codes of the chosen lists. Rows leave in order of greatest(lower
-bound, exact distance), the order in which a lazy rerank lets them go: so the exact distances of the k rows of least bound
-limit what can be among the k first, and only vectors of rows whose bound lies within that limit are read.
+bound, exact distance), the order in which a lazy rerank lets them go: so the exact distances of a few times k rows of least
+bound limit what can be among the k first, and only vectors of rows whose bound lies within that limit are read.
 """
 
 from __future__ import annotations
@@ -414,10 +414,10 @@ class IvfIndex:
         low = low.persist()
         try:
             kind = "row_id long, extra int, seq int, low double"
-            head = low.orderBy("low", "row_id").limit(first).collect()
+            head = low.orderBy("low", "row_id").limit(4 * first + 60).collect()
             found = [r["emitted"] for r in finished(self.spark.createDataFrame(head, kind), [r["row_id"] for r in head]).select("emitted").collect()] if head else []
-            # what lies beyond the greatest of these can't be among the first: it leaves no sooner than its bound
-            rest = low.where(F.col("low") <= max(found)) if len(found) == first else low
+            # so many leave no later than this; what has its bound beyond can't be among the first
+            rest = low.where(F.col("low") <= sorted(found)[first - 1]) if len(found) >= first else low
             rows = rest.limit(NAMED + 1).collect()
         finally:
             low.unpersist()
