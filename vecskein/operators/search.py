@@ -2,7 +2,8 @@
 
 Single queries are column expressions, so Catalyst prunes columns, pushes filters to the scan and plans a
 top-k of the limit. Query sets are scored as matrices over Arrow batches: a side that is checked to be small is shipped to
-the tasks, a larger one meets the corpus in blocks through an equi-join on block numbers.
+the tasks, a larger one meets the corpus in packed blocks, dealt over a grid so that either side is sent about as
+often as the square root of the number of tasks.
 
 Rows with a null vector have a null distance and are left out; NaN distances sort last; ties go by id.
 """
@@ -22,6 +23,8 @@ from vecskein.functions import vectors as V
 #: Bytes of query vectors that are shipped to every task; a larger set is joined in blocks.
 SHIPPED = 32 << 20
 BLOCK_QUERIES = 4096
+#: Rows of a packed block, at most.
+BLOCK = 1024
 
 
 def _as_vector(q) -> Column:
@@ -105,6 +108,39 @@ def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], dist[at]))[:k]]
 
 
+def _packed(df: DataFrame, side: str, size: int = 0) -> DataFrame:
+    """Blocks of ``df`` (id, v, and perhaps p): ids, dimension, vectors as bytes, and the least and greatest p; rows without a vector left out."""
+    size, measured = size or min(BLOCK, BLOCK_QUERIES), "p" in df.columns
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                lens = np.diff(part.column(1).offsets.to_numpy())
+                if len(set(lens.tolist())) > 1:
+                    raise ValueError("vectors of unequal dimensions")
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                p = part.column(2).to_numpy(zero_copy_only=False) if measured else np.zeros(1)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([int(lens[0])]), pa.array([flat.tobytes()]), pa.array([float(np.min(p))]), pa.array([float(np.max(p))])], ["ids", "dim", "data", "low", "high"])
+
+    names = ("ids", "dim", "data", "low", "high")
+    blocks = df.where("v IS NOT NULL").mapInArrow(run, f"ids array<{kind}>, dim long, data binary, low double, high double")
+    return blocks.select(*[F.col(n).alias(f"{side}_{n}") for n in names])
+
+
+def _unpacked(row: dict, side: str) -> np.ndarray:
+    return np.frombuffer(row[f"{side}_data"]).reshape(len(row[f"{side}_ids"]), row[f"{side}_dim"])
+
+
+def _grid(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every block of ``a`` with every block of ``b``, once, by an equi-join on the cells of a grid."""
+    n = max(1, int(np.ceil(np.sqrt(4 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda name: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    return a.withColumns({"_r": deal("a_data")}).withColumn("_c", cells).join(b.withColumns({"_c": deal("b_data")}).withColumn("_r", cells), ["_r", "_c"]).drop("_r", "_c")
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): the k nearest corpus rows of every query.
 
@@ -147,17 +183,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
 
         found = rows.mapInArrow(run, out)
     else:
-        groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-        numbered = asked.withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int"))
-        blocks = numbered.groupBy("g").agg(F.collect_list(F.struct("qid", "q")).alias("asked"))
-        packed = rows.where("x IS NOT NULL").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(BLOCK_QUERIES)).cast("int")).groupBy("b", F.spark_partition_id().alias("p")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
-        met = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(blocks, "g").select("asked", "rows")
+        met = _grid(_packed(asked.select(F.col("qid").alias("id"), F.col("q").alias("v")), "a"), _packed(rows.select("id", F.col("x").alias("v")), "b"))
 
         def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for pair in b.to_pylist():
                     held: dict = {}
-                    rank(np.array([r["qid"] for r in pair["asked"]]), np.array([r["q"] for r in pair["asked"]]), np.array([r["id"] for r in pair["rows"]]), np.array([r["x"] for r in pair["rows"]]), held)
+                    rank(np.array(pair["a_ids"]), _unpacked(pair, "a"), np.array(pair["b_ids"]), _unpacked(pair, "b"), held)
                     if held:
                         yield emit(held)
 
@@ -192,30 +224,77 @@ def lateral_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l
     return scoredp.select(F.col(query_id).alias("query_id"), F.col(id_col).alias("id"), "distance", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "l2", left_id: str = "id", left_vector: str = "embedding", right_id: str = "id", right_vector: str = "embedding", distinct: bool = False, grid: Sequence[Sequence[float]] | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "l2", left_id: str = "id", left_vector: str = "embedding", right_id: str = "id", right_vector: str = "embedding", distinct: bool = False, grid: Sequence[float] | None = None) -> DataFrame:
     """(left_id, right_id, distance) of the pairs strictly within ``radius``; ``distinct`` keeps left_id < right_id.
 
-    For l2, ``grid`` (pivot vectors; by default the first vectors of the right side) turns the join into an equi-join:
-    rows are dealt to cells one radius wide by their distance to the pivots, and by the triangle inequality a partner
-    lies in the same or a neighbouring cell. Other metrics compare in blocks of the side that is checked to be small.
+    Rows are packed into blocks and compared as matrices. For l2, and for cosine as l2 of unit vectors, rows are first dealt by
+    their distance to a pivot (``grid``, by default the first vector of the right side): by the triangle inequality blocks whose
+    distances lie farther apart than the radius hold no pair. Where the radius is narrow against the spread of these distances, blocks
+    meet by cells one radius wide; else, and for inner products, they meet on a grid, and those apart are passed over.
     """
-    a = left.select(left[left_id].alias("left_id"), left[left_vector].cast("array<double>").alias("_a")).where("_a IS NOT NULL")
-    b = right.select(right[right_id].alias("right_id"), right[right_vector].cast("array<double>").alias("_b")).where("_b IS NOT NULL")
-    keep = F.col("left_id") < F.col("right_id") if distinct else F.lit(True)
-    if metric == "l2" and radius > 0:
-        pivots = [list(p) for p in grid] if grid is not None else [r[0] for r in b.orderBy("right_id").limit(2).select("_b").collect()]
-        # a hair wider than the radius, so that rounding moves no partner two cells away
-        cell = lambda v, p: F.floor(V.l2(v, V.vector(p)) / F.lit(float(radius) * (1 + 1e-9)))
-        keys = [f"_c{k}" for k in range(len(pivots))]
-        for key, p in zip(keys, pivots, strict=True):
-            a = a.withColumn(key, cell(F.col("_a"), p))
-            b = b.withColumn(key, cell(F.col("_b"), p)).withColumn(key, F.explode(F.array(*[F.col(key) + d for d in (-1, 0, 1)])))
-        pairs = a.join(b, keys) if keys else a.limit(0).crossJoin(b.limit(0))
+    if metric not in V.DISTANCES:
+        raise ValueError(f"unknown metric {metric!r}")
+    a = left.select(left[left_id].alias("id"), left[left_vector].cast("array<double>").alias("v")).where("v IS NOT NULL")
+    b = right.select(right[right_id].alias("id"), right[right_vector].cast("array<double>").alias("v")).where("v IS NOT NULL")
+    ids = (a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString())
+    out = f"left_id {ids[0]}, right_id {ids[1]}, distance double"
+    if radius <= 0 and metric != "ip":
+        return left.sparkSession.createDataFrame([], out)
+    reach = (np.inf if metric == "ip" else radius if metric == "l2" else float(np.sqrt(2 * radius)) + 1e-7) * (1 + 1e-9)
+    by_cells = False
+    if metric != "ip":
+        unit = (lambda c: V.l2_normalize(c)) if metric == "cosine" else (lambda c: c)
+        pivot = list(grid) if grid is not None else next(iter(b.orderBy("id").limit(1).select("v").collect()), [None])[0]
+        if pivot is None:
+            return left.sparkSession.createDataFrame([], out)
+        far = lambda c: V.l2(unit(c), unit(V.vector(pivot)))
+        a, b = (x.withColumn("p", far(F.col("v"))) for x in (a, b))
+        ends = b.agg(F.min("p"), F.max("p")).first()
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by_cells = ends[0] is not None and np.isfinite(reach) and (ends[1] - ends[0]) / reach >= 2 * parts
+        a, b = (x.repartitionByRange(parts, "p").sortWithinPartitions("p") for x in (a, b))
+    ab, bb = _packed(a, "a"), _packed(b, "b")
+    if by_cells:
+        cell = lambda name: F.floor(F.col(name) / F.lit(float(reach)))
+        ab = ab.withColumn("_first", cell("a_low")).withColumn("_cell", F.explode(F.sequence("_first", cell("a_high"))))
+        bb = bb.withColumn("_from", cell("b_low") - 1).withColumn("_cell", F.explode(F.sequence("_from", cell("b_high") + 1)))
+        # two blocks share neighbouring cells: they meet in the first of them
+        met = ab.join(bb, "_cell").where(F.col("_cell") == F.greatest("_first", "_from")).drop("_cell", "_first", "_from")
     else:
-        groups = 1 if _bounded(b, BLOCK_QUERIES) else max(1, -(-b.count() // BLOCK_QUERIES))
-        dealt = b.withColumn("_g", F.pmod(F.xxhash64("right_id"), F.lit(groups)).cast("int"))
-        pairs = a.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(F.broadcast(dealt) if groups == 1 else dealt, "_g")
-    return pairs.where(keep).withColumn("distance", V.distance(metric, F.col("_a"), F.col("_b"))).where(F.col("distance") < radius).select("left_id", "right_id", "distance")
+        met = _grid(ab, bb)
+    met = met.where((F.col("a_low") - F.col("b_high") <= float(reach)) & (F.col("b_low") - F.col("a_high") <= float(reach)))
+
+    def close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if x.shape[1] != y.shape[1]:
+            raise ValueError("vectors of unequal dimensions")
+        dot = x @ y.T
+        if metric == "ip":
+            i, j = np.nonzero(-dot < radius)
+            return i, j, -dot[i, j]
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                far = 1 - dot / np.sqrt(xx[:, None] * yy[None, :])
+            i, j = np.nonzero(far < radius)
+            return i, j, far[i, j]
+        # the expanded form loses digits among near rows: it picks, the difference decides
+        square = xx[:, None] + yy[None, :] - 2 * dot
+        i, j = np.nonzero(square <= radius * radius + 1e-9 * (xx[:, None] + yy[None, :]) + 1e-12)
+        far = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+        inside = far < radius
+        return i[inside], j[inside], far[inside]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {n: b.column(c)[k].as_py() for c, n in enumerate(b.schema.names) if not n.endswith("_ids")}
+                mine, theirs = (b.column(f"{side}_ids")[k].values for side in ("a", "b"))
+                row |= {"a_ids": mine, "b_ids": theirs}
+                i, j, far = close(_unpacked(row, "a"), _unpacked(row, "b"))
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(i)), theirs.take(pa.array(j)), pa.array(far)], ["left_id", "right_id", "distance"])
+
+    found = met.select(*[f"{side}_{n}" for side in ("a", "b") for n in ("ids", "dim", "data")]).mapInArrow(run, out)
+    return found.where("left_id < right_id") if distinct else found
 
 
 def fetch(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

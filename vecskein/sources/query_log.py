@@ -1,13 +1,17 @@
-"""A log of sampled query vectors per index: bounded, newest kept, readable as a table."""
+"""A log of sampled query vectors per index: bounded, newest kept, readable as a table.
+
+A record is one small JSON file in the folder of its index, written and trimmed by the driver: a search that is sampled runs no
+Spark job for it.
+"""
 
 from __future__ import annotations
 
 import random
 import time
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecskein.plans.options import scan_options
@@ -31,25 +35,20 @@ class QueryLog:
         opts = scan_options(self.spark, "log", given)
         if vector is None or not opts["enable"] or not opts["max_records"] or rng.random() >= opts["rate"]:
             return False
-        row = (index_name, table_name, column_name, OPERATORS[metric], text_of(vector), time.time())
-        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
-        self._trim(index_name, opts["max_records"])
+        folder, now = self._folder(index_name), time.time()
+        row = {"index_name": index_name, "table_name": table_name, "column_name": column_name, "operator": OPERATORS[metric], "value": text_of(vector), "created_at": now}
+        store.write_json(self.spark, f"{folder}/{int(now * 1e6):020d}-{uuid.uuid4().hex}.json", row)
+        for old in store.children(self.spark, folder)[: -opts["max_records"]]:
+            store.remove(self.spark, f"{folder}/{old}")
         return True
 
-    def _all(self) -> DataFrame:
-        return store.read_parts(self.spark, self.path, SCHEMA)
-
-    def _rewrite(self, rows: DataFrame) -> None:
-        old = store.children(self.spark, self.path)
-        rows.coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
-        for n in old:
-            store.remove(self.spark, f"{self.path}/{n}")
+    def _folder(self, index_name: str) -> str:
+        return f"{self.path}/{quote(index_name, safe='')}"
 
-    def _trim(self, index_name: str, most: int) -> None:
-        if self.sampled_values(index_name).count() > most:
-            rank = F.row_number().over(W.partitionBy("index_name").orderBy(F.desc("created_at"), "value"))
-            kept = self._all().withColumn("r", rank).where((F.col("index_name") != index_name) | (F.col("r") <= most)).drop("r")
-            self._rewrite(kept)
+    def _all(self) -> DataFrame:
+        if not store.children(self.spark, self.path):
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").json(self.path)
 
     def sampled_values(self, index_name: str) -> DataFrame:
         return self._all().where(F.col("index_name") == index_name).select("value")
@@ -63,7 +62,4 @@ class QueryLog:
 
     def drop(self, index_name: str | None = None) -> None:
         """Forget one index, or everything."""
-        if index_name is None:
-            store.remove(self.spark, self.path)
-        elif store.children(self.spark, self.path):
-            self._rewrite(self._all().where(F.col("index_name") != index_name))
+        store.remove(self.spark, self.path if index_name is None else self._folder(index_name))

@@ -30,7 +30,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return sorted(n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(p) else []
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
