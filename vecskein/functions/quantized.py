@@ -109,6 +109,40 @@ def distance(metric: str, a: dict, b: dict, bits: int) -> float:
     return float(np.sqrt(max(0.0, a["sum_of_x2"] + b["sum_of_x2"] - 2 * dot)))
 
 
+def unpack_all(codes: list[bytes], dim: int, bits: int) -> np.ndarray:
+    """The components of codes of one dimension, as a matrix."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    if bits == 8:
+        return raw[:, :dim]
+    return np.stack([raw & 15, raw >> 4], 2).reshape(len(codes), -1)[:, :dim]
+
+
+def _shaped(metric: str, ip: np.ndarray, a, b) -> np.ndarray:
+    """Distances from centred inner products of lattice points; a, b: (norm of lattice point, squared norm) of the sides."""
+    cos = ip / a[0] / b[0]
+    if metric == "cosine":
+        return 1.0 - cos
+    dot = cos * np.sqrt(a[1]) * np.sqrt(b[1])
+    return -dot if metric == "ip" else np.sqrt(np.maximum(0.0, a[1] + b[1] - 2 * dot))
+
+
+def distances(metric: str, a: pd.DataFrame, b: pd.DataFrame, bits: int) -> np.ndarray:
+    """``distance`` of the rows of two frames of codes, a matrix at a time; NaN where a code is null."""
+    out = np.full(len(a), np.nan)
+    ok = np.flatnonzero(a["code"].notna().to_numpy() & b["code"].notna().to_numpy())
+    if (a["dim"].iloc[ok].to_numpy(np.int64) != b["dim"].iloc[ok].to_numpy(np.int64)).any():
+        raise ValueError("vectors of unequal dimensions")
+    centre = ((1 << bits) - 1) / 2
+    dims = a["dim"].iloc[ok].to_numpy(np.int64)
+    for dim in np.unique(dims).tolist():
+        at = ok[dims == dim]
+        x, y = (unpack_all(t["code"].iloc[at].map(bytes).tolist(), dim, bits).astype(np.float64) - centre for t in (a, b))
+        sides = [tuple(t[n].iloc[at].to_numpy(np.float64) for n in ("norm_of_lattice", "sum_of_x2")) for t in (a, b)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[at] = _shaped(metric, np.einsum("ij,ij->i", x, y), *sides)
+    return out
+
+
 def normalized(q: dict) -> dict:
     """The code of q / |q|: the lattice point is the same, only its measures change."""
     n = float(np.sqrt(q["sum_of_x2"]))
@@ -116,8 +150,19 @@ def normalized(q: dict) -> dict:
 
 
 def maxsim(documents: list, queries: list, bits: int) -> float:
-    docs = [d for d in documents if d is not None]
-    return float(sum(min((distance("ip", d, q, bits) for d in docs), default=np.inf) for q in queries if q is not None))
+    """Late interaction on codes: one matrix product of all document codes and all query codes."""
+    docs, asked = ([q for q in side if q is not None] for side in (documents, queries))
+    if not asked:
+        return 0.0
+    if not docs:
+        return float("inf")
+    dim = asked[0]["dim"]
+    if any(q["dim"] != dim for q in (*docs, *asked)):
+        raise ValueError("vectors of unequal dimensions")
+    centre = ((1 << bits) - 1) / 2
+    (x, xs), (y, ys) = ((unpack_all([bytes(q["code"]) for q in side], dim, bits).astype(np.float64) - centre, [np.array([q[n] for q in side]) for n in ("norm_of_lattice", "sum_of_x2")]) for side in (docs, asked))
+    far = _shaped("ip", x @ y.T, [v[:, None] for v in xs], [v[None, :] for v in ys])
+    return float(far.min(axis=0).sum())
 
 
 # Text and binary forms.
@@ -197,13 +242,18 @@ def quantize(v: Column, bits: int = 8) -> Column:
 def _dequantizer(bits: int, half: bool):
     @F.pandas_udf("array<float>")
     def dequantize(q: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in q.to_dict("records"):
-            if r["code"] is None:
-                out.append(None)
-                continue
-            x = decode(r | {"dim": int(r["dim"])}, bits)
-            out.append(x.astype(np.float16).astype(np.float32) if half else x)
+        out: list = [None] * len(q)
+        ok = np.flatnonzero(q["code"].notna().to_numpy())
+        dims = q["dim"].iloc[ok].to_numpy(np.int64)
+        for dim in np.unique(dims).tolist():
+            at = ok[dims == dim]
+            norm, lattice = (q[n].iloc[at].to_numpy(np.float64) for n in ("sum_of_x2", "norm_of_lattice"))
+            x = unpack_all(q["code"].iloc[at].map(bytes).tolist(), dim, bits).astype(np.float64) - ((1 << bits) - 1) / 2
+            x = unrotate(x * (np.sqrt(norm) / lattice)[:, None]).astype(np.float32)
+            if half:
+                x = x.astype(np.float16).astype(np.float32)
+            for i, row in zip(at.tolist(), x, strict=True):
+                out[i] = row
         return pd.Series(out)
 
     return dequantize
@@ -218,8 +268,7 @@ def dequantize(q: Column, bits: int = 8, half: bool = False) -> Column:
 def _distancer(metric: str, bits: int):
     @F.pandas_udf("double")
     def measure(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        one = lambda r: r | {"dim": int(r["dim"])}
-        return pd.Series([None if x["code"] is None or y["code"] is None else distance(metric, one(x), one(y), bits) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)], dtype="float64")
+        return pd.Series(distances(metric, a, b, bits)).where(a["code"].notna() & b["code"].notna())
 
     return measure
 
