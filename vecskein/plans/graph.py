@@ -35,68 +35,77 @@ def _distances(inner: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return ((x - q) ** 2).sum(axis=1) if inner == "l2" else -(x @ q)
 
 
-def prune(dist: np.ndarray, ids: np.ndarray, between, m: int, alphas: Sequence[float], inner: str) -> np.ndarray:
-    """Out-edges among candidates ``ids`` at ``dist``: near ones that no kept one shadows, then shadowed ones up to m.
+def _matrix(inner: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all rows of ``y``."""
+    dot = x @ y.T
+    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * dot if inner == "l2" else -dot
 
-    ``between(a, ids)`` gives distances. Widening the angle by ascending alphas makes sense for squared l2 only.
+
+def prune(dist: np.ndarray, ids: np.ndarray, x: np.ndarray, m: int, alphas: Sequence[float], inner: str) -> np.ndarray:
+    """Up to ``m`` out-edges among candidates ``ids`` of ``x`` at ``dist``.
+
+    A candidate is shadowed while a kept one is nearer to it, times alpha, than it is to the node. The nearest candidate that is not
+    shadowed is kept, and its row of the candidates' distance matrix shadows more; when none is left, the next alpha, if
+    squared l2 gives it a meaning, lifts some shadows, and at last the nearest shadowed ones fill up.
     """
-    _, first = np.unique(ids, return_index=True)
-    order = first[np.argsort(dist[first], kind="stable")]
-    left, kept = order.tolist(), []
-    for alpha in alphas if inner == "l2" else (1.0,):
-        if len(kept) == m:
-            break
-        rest = []
-        for c in left:
-            if len(kept) < m and (not kept or (dist[c] < alpha * between(ids[c], ids[np.array(kept)])).all()):
-                kept.append(c)
-            elif len(kept) < m:
-                rest.append(c)
-        left = rest
-    kept += left[: m - len(kept)]
+    ids, at = np.unique(ids, return_index=True)
+    order = np.argsort(dist[at], kind="stable")
+    ids, dist = ids[order], dist[at][order]
+    among = _matrix(inner, x[ids], x[ids])
+    free, kept = np.ones(len(ids), bool), []
+    for alpha in (*(alphas if inner == "l2" else (1.0,)), np.inf):
+        nearest_kept = among[kept].min(axis=0) if kept else np.full(len(ids), np.inf)
+        while len(kept) < m:
+            lit = free & (dist < alpha * nearest_kept) if np.isfinite(alpha) else free
+            k = int(np.argmax(lit)) if len(lit) else 0
+            if not len(lit) or not lit[k]:
+                break
+            kept.append(k)
+            free[k] = False
+            nearest_kept = np.minimum(nearest_kept, among[k])
     return ids[np.array(kept, int)]
 
 
 def build_graph(x: np.ndarray, inner: str, options: GraphOptions) -> tuple[int, list[np.ndarray]]:
-    """(start, edges) of a shard: candidates are the nearest ef_construction rows, then pruned both ways."""
-    n = len(x)
-    square = (x * x).sum(axis=1)
-
-    def between(a: int, others: np.ndarray) -> np.ndarray:
-        return _distances(inner, x[others], x[a])
+    """(start, edges) of a shard: candidates are the nearest ef_construction rows, then pruned both ways.
 
+    A shard is small enough for exact candidates by matrix products, which searches of the unfinished graph would only approach.
+    """
+    n = len(x)
     edges: list[np.ndarray] = []
     back: list[list[int]] = [[] for _ in range(n)]
     for i in range(0, n, 512):
-        dot = x[i : i + 512] @ x.T
-        far = square[i : i + 512, None] + square[None, :] - 2 * dot if inner == "l2" else -dot
+        far = _matrix(inner, x[i : i + 512], x)
         far[np.arange(len(far)), np.arange(i, i + len(far))] = np.inf
         k = min(n - 1, options.ef_construction)
         near = np.argpartition(far, k - 1, axis=1)[:, :k] if 0 < k < n else np.zeros((len(far), 0), int)
         for r in range(len(far)):
-            out = prune(far[r, near[r]], near[r], between, options.m, options.alpha, inner) if k else np.zeros(0, int)
+            out = prune(far[r, near[r]], near[r], x, options.m, options.alpha, inner) if k else np.zeros(0, int)
             edges.append(out)
             for v in out.tolist():
                 back[v].append(i + r)
     for v in range(n):
         if back[v]:
             both = np.unique(np.concatenate([edges[v], np.array(back[v], int)]))
-            edges[v] = both if len(both) <= options.m else prune(between(v, both), both, between, options.m, options.alpha, inner)
+            edges[v] = both if len(both) <= options.m else prune(_distances(inner, x[both], x[v]), both, x, options.m, options.alpha, inner)
     start = int(np.argmin(_distances("l2", x, x.mean(axis=0)))) if n else -1
-    # nodes that no walk from the start reaches are hung onto the start, so that none is lost
+    # a node that no walk from the start reaches is hung onto the nearest one that is reached, so that none is lost
     if n:
-        seen, stack = {start}, [start]
+        seen, stack = np.zeros(n, bool), [start]
+        seen[start] = True
         while True:
             while stack:
-                for v in edges[stack.pop()].tolist():
-                    if v not in seen:
-                        seen.add(v)
-                        stack.append(v)
-            lost = next((v for v in range(n) if v not in seen), None)
-            if lost is None:
+                new = edges[stack.pop()]
+                new = new[~seen[new]]
+                seen[new] = True
+                stack += new.tolist()
+            lost = int(np.argmin(seen))
+            if seen[lost]:
                 break
-            edges[start] = np.append(edges[start], lost)
-            seen.add(lost)
+            reached = np.flatnonzero(seen)
+            to = int(reached[np.argmin(_distances("l2", x[reached], x[lost]))])
+            edges[to] = np.append(edges[to], lost)
+            seen[lost] = True
             stack.append(lost)
     return start, edges
 
