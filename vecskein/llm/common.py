@@ -17,7 +17,7 @@ __all__ = ["LAST_ID", "id_or_last", "materialize", "release", "remove", "scratch
 #: Sorts after every real id: rows without an id never count as the earlier copy. A real id of this value is taken for none.
 LAST_ID = 2**63 - 1
 #: One Arrow batch of whole texts: rows, and bytes (one longer text is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 5000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _own: dict[str, str] = {}
 
