@@ -36,7 +36,7 @@ LENGTH, GRAM, RANGE = 100, 24, 20
 #: Offsets of the anchor that windows of one collection may have, from one dealing to the next.
 RANGES = (RANGE, 4, 1)
 #: Different segments of a collection that one task merges, and bytes of collections that it takes together.
-HOT, TOGETHER = 1000, 1 << 16
+HOT, TOGETHER = 256, 1 << 16
 #: Rows that go back to Spark in one batch, about.
 SENT = 1 << 16
 #: A part on its way to its collection.
