@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecskein.session import held, spread
 
-__all__ = ["LAST_ID", "id_or_last", "materialize", "release", "remove", "scratch_path", "shared_dir", "spread", "text_bytes"]
+__all__ = ["LAST_ID", "id_or_last", "join_unique", "materialize", "release", "remove", "scratch_path", "shared_dir", "spread", "text_bytes"]
 
 #: Sorts after every real id: rows without an id never count as the earlier copy. A real id of this value is taken for none.
 LAST_ID = 2**63 - 1
@@ -89,3 +89,22 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def id_or_last(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
+
+
+#: A key is hot with more than this part of all rows, so that there are fewer hot keys than this says.
+HOT_KEYS = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined by ``keys`` with ``right``, which has every key once; ``counts`` (keys, n) are the rows of left by key.
+
+    Hot keys, fewer than ``HOT_KEYS`` whatever the rows, go out with their rows of right to where left lies, which is not moved for
+    them; the others are dealt by key. Keys are not null. ``how`` is inner or left.
+    """
+    total = counts.agg(F.sum("n")).first()[0]
+    hot = counts.where(F.col("n") > F.lit((total or 0) // HOT_KEYS)).select(*keys)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    near = left.join(F.broadcast(hot.join(right, keys, how)), keys)
+    far = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    return near.unionByName(far)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, id_or_last, materialize, release, spread, text_bytes
+from .common import LAST_ID, id_or_last, join_unique, materialize, release, spread, text_bytes
 
 RADIUS = 4
 SHINGLE = 4
@@ -236,14 +236,14 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
 
 def groups(marked: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(fp, component) for every distinct fingerprint of ``marked`` (_id, _fp): component is the smallest id reachable."""
-    firsts = materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first")), "firsts")
-    found = links(firsts.select("fp"), radius, tile_rows)
+    """(_fp, component, n) for every distinct fingerprint of ``marked`` (_id, _fp), with its rows: component is the smallest id reachable."""
+    firsts = materialize(marked.groupBy("_fp").agg(F.min("_id").alias("first"), F.count("*").alias("n")), "firsts")
+    found = links(firsts.select(F.col("_fp").alias("fp")), radius, tile_rows)
     tree = components(found, "simhash")
     # the root of a group is its smallest fingerprint; its class is its smallest id
-    named = materialize(firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
-    least = materialize(named.groupBy("root").agg(F.min("first").alias("component")), "least")
-    out = materialize(named.join(least, "root").select("fp", "component"), "groups")
+    named = materialize(firsts.join(tree.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "first", "n", F.coalesce("root", "_fp").alias("root")), "named")
+    least = materialize(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "least")
+    out = materialize(join_unique(named, least.drop("n"), ["root"], least.select("root", "n")).select("_fp", "component", "n"), "groups")
     for old in (firsts, tree, named, least):
         release(old)
     return out
@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marked = materialize(with_fingerprint(picked).select("doc_id", id_or_last("doc_id").alias("_id"), "_fp"), "fingerprints")
-    joined = marked.join(groups(marked, radius, tile_rows), marked["_fp"] == F.col("fp"))
+    classes = groups(marked, radius, tile_rows)
+    joined = join_unique(marked, classes.drop("n"), ["_fp"], classes.select("_fp", "n"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < LAST_ID, F.col("component")).alias("component_id"))
 
 
@@ -273,7 +274,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     narrow = docs.select(id_or_last(id_col).alias("_id"), row.alias("_row"), docs[text_col].cast("string").alias("text"))
     small = materialize(with_fingerprint(narrow).select("_id", "_fp", "_row"), "fingerprints")
     classes = groups(small, radius, tile_rows)
-    placed = small.join(classes, small["_fp"] == classes["fp"]).select("component", "_id", "_fp", "_row")
+    placed = join_unique(small, classes.drop("n"), ["_fp"], classes.select("_fp", "n")).select("component", "_id", "_fp", "_row")
     chosen = placed.where("_id = component").groupBy(F.col("component").alias("_id")).agg(F.min(F.struct("_row", "_fp")).alias("m"))
     chosen = materialize(chosen.select(F.col("_id").alias("__vs_id"), F.col("m._row").alias("__vs_row")), "chosen")
     kept = docs.withColumns({"__vs_id": id_or_last(id_col), "__vs_row": row})

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import id_or_last, materialize, release, spread
+from .common import id_or_last, join_unique, materialize, release, spread
 
 LENGTH, GRAM, RANGE = 100, 24, 20
 #: Offsets of the anchor that windows of one collection may have, from one dealing to the next.
@@ -236,7 +236,7 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
         firsts = verdicts.where("NOT copies").select("uid", "a", "n")
         firsts._vecskein_path = verdicts._vecskein_path
         kinds = verdicts.where("copies").select("h", "d", F.col("uid").alias("fu"), F.col("a").alias("fa"))
-        later = materialize(found.join(kinds, ["h", "d"]).where("uid <> fu OR a <> fa").select("uid", "a", "n"), "runs")
+        later = materialize(join_unique(found, kinds, ["h", "d"], strings_.select("h", "d", F.col("w").alias("n"))).where("uid <> fu OR a <> fa").select("uid", "a", "n"), "runs")
         release(found)
         out += [firsts, later]
         if told is not None:
@@ -273,7 +273,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = spread(docs.select(docs[id_col].cast("long").alias("doc_id"), id_or_last(id_col).alias("doc"), text.cast("binary").alias("text")))
     rows = materialize(base.select("doc_id", "doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    firsts = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc").alias("doc"))
+    firsts = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     firsts = materialize(firsts.orderBy("doc", "sha").withColumn("uid", F.monotonically_increasing_id()), "units")
     long_ = base.where(F.octet_length("text") >= length).select("doc", "text", F.sha2("text", 256).alias("sha"))
     # a row repeated under its id gives its unit twice; one is enough
@@ -295,10 +295,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     listed = lists(flagged.groupBy("uid").agg(F.collect_list(F.struct("a", "n")).alias("runs"))).select("uid", "text", "runs")
     part = materialize(listed.mapInArrow(results, "uid long, n_removed long, n_spans long, kept string"), "results")
     release(units)
-    known = materialize(firsts.select("uid", "sha", F.col("doc").alias("first")).join(part, "uid", "left").drop("uid"), "known")
+    known = materialize(firsts.select("uid", "sha", F.col("doc").alias("first"), "n").join(part, "uid", "left").drop("uid"), "known")
     for r in (*runs, part, firsts):
         release(r)
-    joined = rows.join(known, "sha", "left")
+    # shorter texts have no unit and lose nothing
+    joined = join_unique(rows.where(F.col("n_bytes") >= length), known.drop("n"), ["sha"], known.select("sha", "n"))
+    joined = joined.unionByName(rows.where(F.col("n_bytes") < length), allowMissingColumns=True)
     whole = F.col("doc") > F.col("first")
     return joined.select(
         "doc_id",
