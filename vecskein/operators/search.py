@@ -11,6 +11,7 @@ Rows with a null vector have a null distance and are left out; NaN distances sor
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ SHIPPED = 32 << 20
 BLOCK_QUERIES = 4096
 #: Rows of a packed block, at most.
 BLOCK = 1024
+#: Pivots of a range join, picked among four times as many rows.
+PIVOTS = 16
 
 
 def _as_vector(q) -> Column:
@@ -108,24 +111,78 @@ def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], dist[at]))[:k]]
 
 
-def _packed(df: DataFrame, side: str, size: int = 0) -> DataFrame:
-    """Blocks of ``df`` (id, v, and perhaps p): ids, dimension, vectors as bytes, and the least and greatest p; rows without a vector left out."""
-    size, measured = size or min(BLOCK, BLOCK_QUERIES), "p" in df.columns
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray, spherical: bool) -> np.ndarray:
+    """Distances of every row to every pivot; ``spherical``: of the unit vectors."""
+    if x.shape[1] != pivots.shape[1]:
+        raise ValueError("vectors of unequal dimensions")
+    with np.errstate(invalid="ignore", over="ignore"):
+        if spherical:
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _equal_rows(column: pa.Array) -> np.ndarray:
+    """A batch of vectors as a matrix."""
+    lens = np.diff(column.offsets.to_numpy())
+    if len(set(lens.tolist())) > 1:
+        raise ValueError("vectors of unequal dimensions")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lens), -1)
+
+
+def _spread_pivots(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` rows, each the one farthest from those before it."""
+    at, far = [0], np.full(len(x), np.inf)
+    while len(at) < min(most, len(x)):
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
+        if not far.max() > 0:
+            break
+        at.append(int(np.argmax(far)))
+    return x[at]
+
+
+def _dealt(df: DataFrame, pivots: np.ndarray, spherical: bool) -> DataFrame:
+    """``df`` (id, v) with ``own``, the nearest pivot, and ``p0``, the distance to the first one.
+
+    Rows with components that aren't finite are near to none and left out.
+    """
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, size):
-                part = b.slice(i, size)
-                lens = np.diff(part.column(1).offsets.to_numpy())
-                if len(set(lens.tolist())) > 1:
-                    raise ValueError("vectors of unequal dimensions")
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                p = part.column(2).to_numpy(zero_copy_only=False) if measured else np.zeros(1)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([int(lens[0])]), pa.array([flat.tobytes()]), pa.array([float(np.min(p))]), pa.array([float(np.max(p))])], ["ids", "dim", "data", "low", "high"])
+            if b.num_rows:
+                d = _pivot_distances(_equal_rows(b.column(1)), pivots, spherical)
+                ok = np.flatnonzero(np.isfinite(d).all(axis=1))
+                own = d[ok].argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(ok)) for c in b.columns), pa.array(own.astype(np.int32)), pa.array(d[ok, 0])], ["id", "v", "own", "p0"])
+
+    return df.mapInArrow(run, f"id {kind}, v array<double>, own int, p0 double")
+
+
+def _packed(df: DataFrame, side: str, size: int = 0, pivots: np.ndarray | None = None, spherical: bool = False) -> DataFrame:
+    """Blocks of ``df`` (id, v, and perhaps own): ids, dimension, vectors as bytes, and the least and greatest distance to each pivot.
+
+    Rows without a vector are left out; a block holds rows of one ``own`` alone.
+    """
+    size, owned = size or min(BLOCK, BLOCK_QUERIES), "own" in df.columns
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _equal_rows(b.column(1))
+            edges = np.flatnonzero(np.diff(b.column(2).to_numpy())) + 1 if owned else []
+            for low, high in pairwise([0, *edges, len(x)]):
+                for i in range(low, high, size):
+                    y = x[i : min(i + size, high)]
+                    d = np.zeros((1, 0)) if pivots is None else _pivot_distances(y, pivots, spherical)
+                    ids = b.column(0).slice(i, len(y))
+                    bounds = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (d.min(axis=0), d.max(axis=0))]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([x.shape[1]]), pa.array([y.tobytes()]), *bounds], ["ids", "dim", "data", "low", "high"])
 
     names = ("ids", "dim", "data", "low", "high")
-    blocks = df.where("v IS NOT NULL").mapInArrow(run, f"ids array<{kind}>, dim long, data binary, low double, high double")
+    blocks = df.where("v IS NOT NULL").mapInArrow(run, f"ids array<{kind}>, dim long, data binary, low array<double>, high array<double>")
     return blocks.select(*[F.col(n).alias(f"{side}_{n}") for n in names])
 
 
@@ -224,13 +281,55 @@ def lateral_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l
     return scoredp.select(F.col(query_id).alias("query_id"), F.col(id_col).alias("id"), "distance", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def _meeting(a: DataFrame, b: DataFrame, radius: float, metric: str, grid: Sequence[float] | None = None) -> DataFrame | None:
+    """Pairs of blocks of ``a`` and ``b`` (id, v) that may hold a pair within ``radius``; none if none can.
+
+    For l2, and for cosine as l2 of unit vectors, rows are dealt by the nearest of up to ``PIVOTS`` pivots (``grid`` alone if given; else
+    far-apart ones of a few vectors of ``b``) and their distance to the first, and a block knows the least and greatest distance of its rows to
+    every pivot: by the triangle inequality, two blocks that are farther apart than the radius in one of these hold no pair. Where the
+    radius is narrow against the spread about the first pivot, blocks meet by cells one radius wide; else, and for inner products, on a grid.
+    """
+    if radius <= 0 and metric != "ip":
+        return None
+    if metric == "ip":
+        return _grid(_packed(a, "a"), _packed(b, "b"))
+    spherical = metric == "cosine"
+    reach = float((np.sqrt(2 * radius) + 1e-7 if spherical else radius) * (1 + 1e-9))
+    if grid is None:
+        few = [r[0] for r in b.orderBy(F.xxhash64("id"), "id").limit(PIVOTS * 4).select("v").collect()]
+        if not few:
+            return None
+        if len({len(v) for v in few}) > 1:
+            raise ValueError("vectors of unequal dimensions")
+        some = np.array(few, np.float64)
+        some = some[np.isfinite(some).all(axis=1)] if np.isfinite(some).all(axis=1).any() else np.zeros((1, some.shape[1]))
+    else:
+        some = np.array([grid], np.float64)
+    if spherical:
+        length = np.linalg.norm(some, axis=1, keepdims=True)
+        some = np.divide(some, length, out=np.zeros_like(some), where=length > 0)
+    pivots = _spread_pivots(some, PIVOTS)
+    a, b = (_dealt(x, pivots, spherical) for x in (a, b))
+    ends = b.agg(F.min("p0"), F.max("p0")).first()
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_cells = ends[0] is not None and np.isfinite(reach) and (ends[1] - ends[0]) / reach >= 2 * parts
+    ab, bb = (_packed(x.repartitionByRange(parts, "own", "p0").sortWithinPartitions("own", "p0").select("id", "v", "own"), side, 0, pivots, spherical) for x, side in ((a, "a"), (b, "b")))
+    if by_cells:
+        cell = lambda name: F.floor(F.get(name, F.lit(0)) / F.lit(reach))
+        ab = ab.withColumn("_first", cell("a_low")).withColumn("_cell", F.explode(F.sequence("_first", cell("a_high"))))
+        bb = bb.withColumn("_from", cell("b_low") - 1).withColumn("_cell", F.explode(F.sequence("_from", cell("b_high") + 1)))
+        # two blocks share neighbouring cells: they meet in the first of them
+        met = ab.join(bb, "_cell").where(F.col("_cell") == F.greatest("_first", "_from")).drop("_cell", "_first", "_from")
+    else:
+        met = _grid(ab, bb)
+    apart = lambda low, high: F.coalesce(F.array_max(F.zip_with(low, high, lambda x, y: x * (1 - 1e-12) - y)), F.lit(0.0))
+    return met.where((apart("a_low", "b_high") <= reach) & (apart("b_low", "a_high") <= reach))
+
+
 def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "l2", left_id: str = "id", left_vector: str = "embedding", right_id: str = "id", right_vector: str = "embedding", distinct: bool = False, grid: Sequence[float] | None = None) -> DataFrame:
     """(left_id, right_id, distance) of the pairs strictly within ``radius``; ``distinct`` keeps left_id < right_id.
 
-    Rows are packed into blocks and compared as matrices. For l2, and for cosine as l2 of unit vectors, rows are first dealt by
-    their distance to a pivot (``grid``, by default the first vector of the right side): by the triangle inequality blocks whose
-    distances lie farther apart than the radius hold no pair. Where the radius is narrow against the spread of these distances, blocks
-    meet by cells one radius wide; else, and for inner products, they meet on a grid, and those apart are passed over.
+    Rows are packed into blocks and compared as matrices; which blocks meet is told by ``_meeting``.
     """
     if metric not in V.DISTANCES:
         raise ValueError(f"unknown metric {metric!r}")
@@ -238,31 +337,9 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "
     b = right.select(right[right_id].alias("id"), right[right_vector].cast("array<double>").alias("v")).where("v IS NOT NULL")
     ids = (a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString())
     out = f"left_id {ids[0]}, right_id {ids[1]}, distance double"
-    if radius <= 0 and metric != "ip":
+    met = _meeting(a, b, radius, metric, grid)
+    if met is None:
         return left.sparkSession.createDataFrame([], out)
-    reach = (np.inf if metric == "ip" else radius if metric == "l2" else float(np.sqrt(2 * radius)) + 1e-7) * (1 + 1e-9)
-    by_cells = False
-    if metric != "ip":
-        unit = (lambda c: V.l2_normalize(c)) if metric == "cosine" else (lambda c: c)
-        pivot = list(grid) if grid is not None else next(iter(b.orderBy("id").limit(1).select("v").collect()), [None])[0]
-        if pivot is None:
-            return left.sparkSession.createDataFrame([], out)
-        far = lambda c: V.l2(unit(c), unit(V.vector(pivot)))
-        a, b = (x.withColumn("p", far(F.col("v"))) for x in (a, b))
-        ends = b.agg(F.min("p"), F.max("p")).first()
-        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        by_cells = ends[0] is not None and np.isfinite(reach) and (ends[1] - ends[0]) / reach >= 2 * parts
-        a, b = (x.repartitionByRange(parts, "p").sortWithinPartitions("p") for x in (a, b))
-    ab, bb = _packed(a, "a"), _packed(b, "b")
-    if by_cells:
-        cell = lambda name: F.floor(F.col(name) / F.lit(float(reach)))
-        ab = ab.withColumn("_first", cell("a_low")).withColumn("_cell", F.explode(F.sequence("_first", cell("a_high"))))
-        bb = bb.withColumn("_from", cell("b_low") - 1).withColumn("_cell", F.explode(F.sequence("_from", cell("b_high") + 1)))
-        # two blocks share neighbouring cells: they meet in the first of them
-        met = ab.join(bb, "_cell").where(F.col("_cell") == F.greatest("_first", "_from")).drop("_cell", "_first", "_from")
-    else:
-        met = _grid(ab, bb)
-    met = met.where((F.col("a_low") - F.col("b_high") <= float(reach)) & (F.col("b_low") - F.col("a_high") <= float(reach)))
 
     def close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if x.shape[1] != y.shape[1]:
