@@ -10,14 +10,18 @@ Rows with a null vector have a null distance and are left out; NaN distances sor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import pairwise
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecskein.functions import vectors as V
 
@@ -26,6 +30,10 @@ SHIPPED = 32 << 20
 BLOCK_QUERIES = 4096
 #: Rows of a packed block, at most.
 BLOCK = 1024
+#: Queries and rows of a matrix of distances, and components that are compared pair by pair at once.
+TILE, PAIRED = 1024, 1 << 21
+#: Different values of a side's columns in a predicate over pairs, up to which it is told by a table.
+CLASSES = 1000
 #: Pivots of a range join, picked among four times as many rows.
 PIVOTS = 16
 
@@ -111,6 +119,93 @@ def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], dist[at]))[:k]]
 
 
+def paired(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``q`` to the same rows of ``x``: equal vectors have equal distances, wherever they lie."""
+    if metric == "l2":
+        d = x - q
+        return np.sqrt(np.einsum("ij,ij->i", d, d))
+    dot = np.einsum("ij,ij->i", q, x)
+    if metric == "ip":
+        return -dot
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return 1 - dot / np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", x, x))
+
+
+class Nearest:
+    """The k nearest rows of each query among those that were added, NaN last, ties by id.
+
+    Queries and rows meet in tiles, so that memory holds for any number of either. A product of matrices, with a bound of its rounding,
+    picks the pairs that may be among the k; these are measured pair by pair. ``allowed``, by the classes of both sides, says which pairs count.
+    """
+
+    def __init__(self, metric: str, qids: np.ndarray, q: np.ndarray, k: int, classes: np.ndarray | None = None, allowed: np.ndarray | None = None) -> None:
+        self.metric, self.qids, self.q, self.k, self.classes, self.allowed = metric, qids, q, k, classes, allowed
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        #: Of each tile of queries: (query, distance, id) in order, and the k-th distance, NaN until there are k.
+        self.held = [(none, np.full(len(q[i : i + TILE]), np.nan)) for i in range(0, len(q), TILE)]
+
+    def add(self, ids: np.ndarray, x: np.ndarray, classes: np.ndarray | None = None) -> None:
+        if not len(x) or not len(self.q):
+            return
+        if self.q.shape[1] != x.shape[1]:
+            raise ValueError("vectors of unequal dimensions")
+        for j in range(0, len(x), TILE):
+            for t in range(len(self.held)):
+                kinds = None if self.allowed is None else self.allowed[self.classes[t * TILE : (t + 1) * TILE]][:, classes[j : j + TILE]]
+                self._add(t, ids[j : j + TILE], x[j : j + TILE], kinds)
+
+    def _rough(self, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distances for l2, else distances, NaN where these can't be told; the bound of each query's rounding)."""
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            qq, xx, slack = (q * q).sum(axis=1), (x * x).sum(axis=1), 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+            if self.metric == "l2":
+                one = lambda v: np.ones((len(v), 1))
+                out = np.hstack([-2 * q, qq[:, None], one(q)]) @ np.hstack([x, one(x), xx[:, None]]).T
+                err = slack * (qq + xx.max())
+            elif self.metric == "ip":
+                out = -q @ x.T
+                err = slack * np.sqrt(qq * xx.max())
+            else:
+                qn, xn = (np.where(v > 1e-140, np.sqrt(v), np.nan)[:, None] for v in (qq, xx))
+                out = (q / -qn) @ (x / xn).T
+                out += 1
+                err = np.full(len(q), slack)
+            if not max(qq.max(), xx.max()) < 1e150:
+                out[~np.isfinite(out)] = np.nan
+        return out, err + 1e-290
+
+    def _add(self, t: int, ids: np.ndarray, x: np.ndarray, kinds: np.ndarray | None) -> None:
+        q, ((pos, dist, old), bar) = self.q[t * TILE : (t + 1) * TILE], self.held[t]
+        rough, err = self._rough(q, x)
+        with np.errstate(invalid="ignore", over="ignore"):
+            most = (bar * bar if self.metric == "l2" else bar) + err
+            few = np.flatnonzero(np.isnan(bar))
+            if self.k < len(x) and len(few):
+                some = rough[few] if kinds is None else np.where(kinds[few], rough[few], np.inf)
+                most[few] = np.partition(some, self.k - 1, axis=1)[:, self.k - 1] + 2 * err[few]
+            far = rough > most[:, None]
+            i, j = np.divmod(np.flatnonzero(~far if kinds is None else kinds & ~far), len(x))
+        step = max(1, PAIRED // q.shape[1])
+        far = np.concatenate([np.zeros(0), *(paired(self.metric, q[i[a : a + step]], x[j[a : a + step]]) for a in range(0, len(i), step))])
+        near = ~(far > bar[i])
+        if not near.any():
+            return
+        pos, dist, new = np.concatenate([pos, i[near]]), np.concatenate([dist, far[near]]), np.concatenate([old, ids[j[near]]])
+        order = np.lexsort((new, dist, pos))
+        pos, dist, new = pos[order], dist[order], new[order]
+        first = np.arange(len(pos)) - np.searchsorted(pos, pos) < self.k
+        pos, dist, new = pos[first], dist[first], new[first]
+        last, bar = np.flatnonzero(np.append(np.diff(pos), 1)), np.full(len(q), np.nan)
+        full = np.bincount(pos, minlength=len(q))[pos[last]] >= self.k
+        bar[pos[last][full]] = dist[last][full]
+        self.held[t] = ((pos, dist, new), bar)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for t, ((pos, dist, ids), _) in enumerate(self.held):
+            if len(pos):
+                yield pa.RecordBatch.from_arrays([pa.array(self.qids[t * TILE + pos], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist)], ["query_id", "id", "distance"])
+
+
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray, spherical: bool) -> np.ndarray:
     """Distances of every row to every pivot; ``spherical``: of the unit vectors."""
     if x.shape[1] != pivots.shape[1]:
@@ -160,12 +255,14 @@ def _dealt(df: DataFrame, pivots: np.ndarray, spherical: bool) -> DataFrame:
 
 
 def _packed(df: DataFrame, side: str, size: int = 0, pivots: np.ndarray | None = None, spherical: bool = False) -> DataFrame:
-    """Blocks of ``df`` (id, v, and perhaps own): ids, dimension, vectors as bytes, and the least and greatest distance to each pivot.
+    """Blocks of ``df`` (id, v, and perhaps own or c): ids, dimension, vectors and classes as bytes, and the least and greatest distance to each pivot.
 
-    Rows without a vector are left out; a block holds rows of one ``own`` alone.
+    Rows without a vector are left out; a block holds rows of one ``own`` alone. Single precision stays what it is.
     """
-    size, owned = size or min(BLOCK, BLOCK_QUERIES), "own" in df.columns
+    size, owned, classed = size or min(BLOCK, BLOCK_QUERIES), "own" in df.columns, "c" in df.columns
     kind = df.schema["id"].dataType.simpleString()
+    df = df.withColumn("v", _numbers(df, "v"))
+    stored = np.float32 if df.schema["v"].dataType.simpleString() == "array<float>" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,23 +276,35 @@ def _packed(df: DataFrame, side: str, size: int = 0, pivots: np.ndarray | None =
                     d = np.zeros((1, 0)) if pivots is None else _pivot_distances(y, pivots, spherical)
                     ids = b.column(0).slice(i, len(y))
                     bounds = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (d.min(axis=0), d.max(axis=0))]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([x.shape[1]]), pa.array([y.tobytes()]), *bounds], ["ids", "dim", "data", "low", "high"])
+                    kinds = b.column(2).slice(i, len(y)).to_numpy(zero_copy_only=False).astype(np.int32).tobytes() if classed else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([x.shape[1]]), pa.array([y.astype(stored).tobytes()]), pa.array([kinds]), *bounds], ["ids", "dim", "data", "classes", "low", "high"])
 
-    names = ("ids", "dim", "data", "low", "high")
-    blocks = df.where("v IS NOT NULL").mapInArrow(run, f"ids array<{kind}>, dim long, data binary, low array<double>, high array<double>")
+    names = ("ids", "dim", "data", "classes", "low", "high")
+    blocks = df.where("v IS NOT NULL").mapInArrow(run, f"ids array<{kind}>, dim long, data binary, classes binary, low array<double>, high array<double>")
     return blocks.select(*[F.col(n).alias(f"{side}_{n}") for n in names])
 
 
-def _unpacked(row: dict, side: str) -> np.ndarray:
-    return np.frombuffer(row[f"{side}_data"]).reshape(len(row[f"{side}_ids"]), row[f"{side}_dim"])
+def _numbers(df: DataFrame, name: str) -> Column:
+    """A column of vectors in single precision if it is that, else in double."""
+    return F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
+
 
+def _unpacked(block: dict) -> np.ndarray:
+    """The vectors of a packed block (Arrow scalars)."""
+    raw, n, dim = block["data"].as_buffer(), len(block["ids"].values), block["dim"].as_py()
+    return np.frombuffer(raw, np.float32 if raw.size == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
 
-def _grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every block of ``a`` with every block of ``b``, once, by an equi-join on the cells of a grid."""
+
+def _classes_of(block: dict) -> np.ndarray:
+    return np.frombuffer(block["classes"].as_buffer(), np.int32)
+
+
+def _grid(a: DataFrame, b: DataFrame, a_key: Sequence[str] = ("a_ids", "a_data"), b_key: Sequence[str] = ("b_ids", "b_data")) -> DataFrame:
+    """Every row of ``a`` with every row of ``b``, once, by an equi-join on the cells of a grid."""
     n = max(1, int(np.ceil(np.sqrt(4 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda name: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    return a.withColumns({"_r": deal("a_data")}).withColumn("_c", cells).join(b.withColumns({"_c": deal("b_data")}).withColumn("_r", cells), ["_r", "_c"]).drop("_r", "_c")
+    deal = lambda key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    return a.withColumns({"_r": deal(a_key)}).withColumn("_c", cells).join(b.withColumns({"_c": deal(b_key)}).withColumn("_r", cells), ["_r", "_c"]).drop("_r", "_c")
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -203,52 +312,49 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
 
     Each task keeps k rows per query of its part, so what is dealt for the final ranking is at most k per query and task.
     """
-    spark = corpus.sparkSession
-    asked = queries.where(queries[query_vector].isNotNull()).select(queries[query_id].cast("long").alias("qid"), queries[query_vector].cast("array<double>").alias("q"))
-    size = asked.agg(F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0))).first()[0]
-    rows = corpus.select(corpus[id_col].cast("long").alias("id"), corpus[vector_col].cast("array<double>").alias("x"))
-    out = "query_id long, id long, distance double"
-
-    def rank(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, held: dict) -> None:
-        if not len(x):
-            return
-        d = pair_distances(metric, q, x)
-        for i, qid in enumerate(qids.tolist()):
-            top = nearest(d[i], ids, k)
-            old = held.get(qid)
-            new = (ids[top], d[i, top]) if old is None else (np.concatenate([old[0], ids[top]]), np.concatenate([old[1], d[i, top]]))
-            best = nearest(new[1], new[0], k)
-            held[qid] = (new[0][best], new[1][best])
+    asked = queries.where(queries[query_vector].isNotNull()).select(queries[query_id].cast("long").alias("id"), queries[query_vector].alias("v"))
+    return _ranked(asked, corpus.select(corpus[id_col].cast("long").alias("id"), corpus[vector_col].alias("v")), k, metric)
 
-    def emit(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(held, np.int64, len(held)), [len(v[0]) for v in held.values()]), pa.int64()), pa.array(np.concatenate([v[0] for v in held.values()])), pa.array(np.concatenate([v[1] for v in held.values()]))], ["query_id", "id", "distance"])
 
+def _ranked(asked: DataFrame, rows: DataFrame, k: int, metric: str, allowed: np.ndarray | None = None) -> DataFrame:
+    """``knn_join`` of ``asked`` and ``rows`` (id, v); with ``allowed``, which tells by the classes of both (column c) which pairs count."""
+    spark, out = rows.sparkSession, "query_id long, id long, distance double"
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
     if size <= SHIPPED:
         # checked above: the set is small enough for every task
-        pairs = asked.toPandas()
-        if not len(pairs):
-            return spark.createDataFrame([], f"query_id long, rank int, {out.split(', ', 1)[1]}").select("query_id", "rank", "id", "distance")
-        shared = spark.sparkContext.broadcast((pairs["qid"].to_numpy(), np.stack(pairs["q"].to_list())))
+        few = asked.withColumn("v", F.col("v").cast("array<double>")).toPandas()
+        if not len(few) or k < 1:
+            return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+        if few["v"].map(len).nunique() > 1:
+            raise ValueError("vectors of unequal dimensions")
+        shared = spark.sparkContext.broadcast((few["id"].to_numpy(), np.stack(few["v"].to_list()), k, None if allowed is None else few["c"].to_numpy(), allowed))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict = {}
+            best = Nearest(metric, *shared.value)
             for b in batches:
                 ok, x = _matrix(b.column(1))
-                rank(*shared.value, b.column(0).to_numpy(zero_copy_only=False)[ok], x, held)
-            if held:
-                yield emit(held)
+                ids, *kinds = (b.column(i).to_numpy(zero_copy_only=False)[ok] for i in ((0,) if allowed is None else (0, 2)))
+                best.add(ids, x, *kinds)
+            yield from best.found()
 
         found = rows.mapInArrow(run, out)
     else:
-        met = _grid(_packed(asked.select(F.col("qid").alias("id"), F.col("q").alias("v")), "a"), _packed(rows.select("id", F.col("x").alias("v")), "b"))
+        met = _grid(_packed(asked, "a"), _packed(rows, "b"))
 
         def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, block = None, None
             for b in batches:
-                for pair in b.to_pylist():
-                    held: dict = {}
-                    rank(np.array(pair["a_ids"]), _unpacked(pair, "a"), np.array(pair["b_ids"]), _unpacked(pair, "b"), held)
-                    if held:
-                        yield emit(held)
+                col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+                for r in range(b.num_rows):
+                    mine, theirs = ({n: col[f"{side}_{n}"][r] for n in ("ids", "dim", "data", "classes")} for side in ("a", "b"))
+                    if best is None or not mine["ids"].values.equals(block["ids"].values) or not mine["data"].equals(block["data"]):
+                        # a block of queries meets the blocks of its cell one after another
+                        if best is not None:
+                            yield from best.found()
+                        block, best = mine, Nearest(metric, mine["ids"].values.to_numpy(), _unpacked(mine), k, _classes_of(mine), allowed)
+                    best.add(theirs["ids"].values.to_numpy(), _unpacked(theirs), _classes_of(theirs))
+            if best is not None:
+                yield from best.found()
 
         found = met.mapInArrow(run_blocks, out)
     order = W.partitionBy("query_id").orderBy(F.isnan("distance"), "distance", "id")
@@ -260,20 +366,64 @@ def _bounded(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _classed(asked: DataFrame, corpus: DataFrame, predicate: Column | None) -> tuple[DataFrame, DataFrame, np.ndarray | None] | None:
+    """Both sides with column c, the class of their values in ``predicate``, and which classes it lets meet; None if these aren't few.
+
+    Columns that the predicate reads are found in its plan. Where each side has few different values of its own, the predicate is asked once
+    for each pair of them.
+    """
+    if predicate is None:
+        return asked, corpus, None
+    plan = corpus.crossJoin(asked).where(predicate)._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "Filter" or not plan.condition().deterministic():
+        return None
+    read = plan.condition().references().toSeq()
+    names, sides, plain = {read.apply(i).name() for i in range(read.size())}, [], re.compile(r"(boolean|tinyint|smallint|int|bigint|float|double|date|string|decimal\(.*\))$")
+    for df, side in ((asked, "_a"), (corpus, "_b")):
+        own = [n for n in df.columns if n in names]
+        if not all(plain.match(df.schema[n].dataType.simpleString()) for n in own):
+            return None
+        kinds = df.select(*[F.col(f"`{n}`") for n in own]).distinct()
+        values = kinds.limit(CLASSES + 1).collect() if own else [()]
+        if len(values) > CLASSES:
+            return None
+        schema = T.StructType([*(kinds.schema[n] for n in own), T.StructField(side, T.IntegerType())])
+        sides.append((own, len(values), df.sparkSession.createDataFrame([(*v, k) for k, v in enumerate(values)], schema)))
+    (mine, n, a), (theirs, m, b) = sides
+    allowed = np.zeros((n, m), bool)
+    for i, j in b.crossJoin(a).where(predicate).select("_a", "_b").collect():
+        allowed[i, j] = True
+
+    def told(df: DataFrame, own: list[str], kinds: DataFrame, side: str) -> DataFrame:
+        if not own:
+            return df.withColumn("c", F.lit(0))
+        kinds = kinds.select(*[F.col(f"`{n}`").alias(f"_k{i}") for i, n in enumerate(own)], F.col(side).alias("c"))
+        same = reduce(and_, [df[f"`{n}`"].eqNullSafe(kinds[f"_k{i}"]) for i, n in enumerate(own)])
+        return df.join(F.broadcast(kinds), same)
+
+    return told(asked, mine, a, "_a"), told(corpus, theirs, b, "_b"), allowed
+
+
 def lateral_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", predicate: Column | None = None, query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """As ``knn_join``, with a predicate over the columns of both sides that each pair must meet.
 
-    Column names of the two sides must differ. A small set of queries (checked) is shipped to the scan of the corpus; a larger one
-    is dealt by blocks, and the corpus meets each block through an equi-join.
+    Column names of the two sides must differ. A predicate that reads columns of few different values (checked) is told by a table of these,
+    and vectors meet as matrices. Any other is asked of all pairs: a small set of queries (checked) is shipped to the scan of the corpus;
+    a larger one meets it on a grid, through an equi-join.
     """
     asked = queries.where(F.col(query_vector).isNotNull())
+    kinds = (asked.schema[query_id].dataType, corpus.schema[id_col].dataType)
+    known = _classed(asked, corpus, predicate) if all(isinstance(t, T.IntegralType) for t in kinds) else None
+    if known is not None:
+        mine, theirs, allowed = known
+        few = [] if allowed is None else ["c"]
+        mine, theirs = (df.select(F.col(i).cast("long").alias("id"), F.col(v).alias("v"), *few) for df, i, v in ((mine, query_id, query_vector), (theirs, id_col, vector_col)))
+        return _ranked(mine, theirs, k, metric, allowed).withColumns({"query_id": F.col("query_id").cast(kinds[0]), "id": F.col("id").cast(kinds[1])})
     if _bounded(asked, BLOCK_QUERIES):
         one = asked.withColumn("_g", F.lit(0))
         pairs = corpus.withColumn("_g", F.lit(0)).join(F.broadcast(one), "_g")
     else:
-        groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-        dealt = asked.withColumn("_g", F.pmod(F.xxhash64(query_id), F.lit(groups)).cast("int"))
-        pairs = corpus.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(dealt, "_g")
+        pairs = _grid(corpus, asked, [id_col], [query_id])
     if predicate is not None:
         pairs = pairs.where(predicate)
     scoredp = pairs.withColumn("distance", V.distance(metric, F.col(vector_col), F.col(query_vector))).where("distance IS NOT NULL")
@@ -364,11 +514,9 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(c)[k].as_py() for c, n in enumerate(b.schema.names) if not n.endswith("_ids")}
-                mine, theirs = (b.column(f"{side}_ids")[k].values for side in ("a", "b"))
-                row |= {"a_ids": mine, "b_ids": theirs}
-                i, j, far = close(_unpacked(row, "a"), _unpacked(row, "b"))
-                yield pa.RecordBatch.from_arrays([mine.take(pa.array(i)), theirs.take(pa.array(j)), pa.array(far)], ["left_id", "right_id", "distance"])
+                mine, theirs = ({n: b.column(f"{side}_{n}")[k] for n in ("ids", "dim", "data")} for side in ("a", "b"))
+                i, j, far = close(_unpacked(mine), _unpacked(theirs))
+                yield pa.RecordBatch.from_arrays([mine["ids"].values.take(pa.array(i)), theirs["ids"].values.take(pa.array(j)), pa.array(far)], ["left_id", "right_id", "distance"])
 
     found = met.select(*[f"{side}_{n}" for side in ("a", "b") for n in ("ids", "dim", "data")]).mapInArrow(run, out)
     return found.where("left_id < right_id") if distinct else found
