@@ -37,17 +37,25 @@ def _code(vector: list[float], bits: int):
 
 
 def _reranked(metric: str, bits: int, first: int):
-    """The nearest by codes, and of these the nearest by their vectors: codes rank well enough for the exact result."""
+    """The nearest by codes, and of these the nearest by their vectors; these limit what other codes leave open, so that the result is exact."""
 
     def run(spark, d):
         e, query = _embeddings(spark, d).where("embedding IS NOT NULL"), _query(spark, d)
-        far = Q.quantized_distance(metric, Q.quantize(F.col("embedding"), bits), _code(query, bits), bits)
-        near = e.select("vec_id", far.alias("rough")).where("rough IS NOT NULL").orderBy("rough", "vec_id").limit(first)
-        return search.topk(search.fetch(e, near, "vec_id"), query, K, metric, id_col="vec_id").select("vec_id", _r(F.col("distance"), digits=4))
+        return reranked(e, query, metric, bits, first).select("vec_id", _r(F.col("distance"), digits=4))
 
     return run
 
 
+def reranked(e: DataFrame, query: list[float], metric: str, bits: int, first: int) -> DataFrame:
+    """The K nearest rows of ``e``: vectors are compared for the ``first`` by codes, then for those that their codes let be as near as the K-th of these."""
+    coded = e.withColumn("code", Q.quantize(F.col("embedding"), bits))
+    coded = coded.withColumns({"rough": Q.quantized_distance(metric, F.col("code"), _code(query, bits), bits), "err": Q.error_bound(metric, F.col("code"), query, bits)}).drop("code")
+    bar = search.topk(coded.orderBy("rough", "vec_id").limit(max(first, K)), query, K, metric, id_col="vec_id").agg(F.max("distance").alias("bar"))
+    low = F.col("rough") - F.col("err")
+    open_ = coded.crossJoin(F.broadcast(bar)).where(F.isnan(low) | (low <= F.col("bar")) | low.isNull())
+    return search.topk(open_.drop("rough", "err", "bar"), query, K, metric, id_col="vec_id")
+
+
 def recall_of_codes(spark, d):
     """Of the hundred nearest by full precision, those among the hundred nearest by 8-bit codes: 95 or more, for each metric."""
     e, query = _embeddings(spark, d).where("embedding IS NOT NULL"), _query(spark, d)

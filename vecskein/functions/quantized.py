@@ -277,6 +277,25 @@ def quantized_distance(metric: str, a: Column, b: Column, bits: int = 8) -> Colu
     return F.when(a.isNotNull() & b.isNotNull(), _distancer(metric, bits)(a, b))
 
 
+def error_bound(metric: str, v: Column, query: list[float], bits: int = 8) -> Column:
+    """How much the distance of the code ``v``, as ``quantize`` makes it, to the code of ``query`` differs from that of their vectors at most.
+
+    A scaled component lies within a half of its lattice point's, so the angle of a vector to its point has at most the sine
+    sqrt(dim) / 2 over the point's norm; the query's own error is known. NaN where lengths are beyond single precision.
+    """
+    q = np.array(query, np.float64)
+    length = float(np.linalg.norm(q))
+    own = float(np.linalg.norm(rotate(q)[0] - decode_rotated(encode(q, bits)[0], bits))) if length else 0.0
+    x = F.when(v["sum_of_x2"].between(1e-30, 1e38), F.sqrt(v["sum_of_x2"].cast("double"))).when(v["sum_of_x2"] == 0, 0.0).otherwise(float("nan"))
+    sine = F.least(F.sqrt(v["dim"].cast("double")) / 2 / v["norm_of_lattice"], F.lit(1.0))
+    turn, slack = F.sqrt(2 - 2 * F.sqrt(1 - sine * sine)) + 1e-6, 1e-6
+    if metric == "l2":
+        return x * turn + F.lit(own + slack * length)
+    if metric == "ip":
+        return x * (turn * length + own + slack * length)
+    return turn + (own / length if length else float("nan")) + slack
+
+
 def quantized_within(metric: str, v: Column, ball: Column, bits: int = 8) -> Column:
     """Sphere predicate on codes, strict; a sphere without centre or radius is an error."""
     gap = F.when(ball["center"].isNull(), F.raise_error(F.lit("a sphere needs a center")).cast("double")).when(ball["radius"].isNull(), F.raise_error(F.lit("a sphere needs a radius")).cast("double")).otherwise(quantized_distance(metric, v, ball["center"], bits))
