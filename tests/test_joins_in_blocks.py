@@ -51,3 +51,28 @@ def test_large_query_sets_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "SHIPPED", 0)
     monkeypatch.setattr(search, "BLOCK", 20)
     assert {(r[0], r[1]): r[2] for r in search.knn_join(asked, e, 4).select("query_id", "rank", "id").collect()} == want
+
+
+def test_grid_does_not_grow_with_shuffle_partitions(spark):
+    """Shuffle partitions are set by the input's size; blocks were sent the square root of four times as many times."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        assert search._lines(spark) <= 8  # 90 before
+        rows = spark.range(3).select("id", F.array(F.lit(0.5)).cast("array<float>").alias("v"))
+        met = search._grid(search._packed(rows.coalesce(1), "a"), search._packed(rows.coalesce(1), "b"))
+        assert "sequence(0, 7" in met._jdf.queryExecution().analyzed().toString() and met.agg(F.sum(F.size("a_ids") * F.size("b_ids"))).first()[0] == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_single_precision_is_sent_as_such(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(size=(60, 6)).tolist())], "id long, embedding array<float>")
+    rows = [(r.id, r.embedding) for r in df.collect()]
+    met = search._meeting(df.select("id", F.col("embedding").alias("v")), df.select("id", F.col("embedding").alias("v")), 1.5, "l2")
+    assert met.where(F.length("a_data") != 4 * 6 * F.size("a_ids")).count() == 0  # eight bytes a component before
+    for metric, radius in (("l2", 1.5), ("cosine", 0.3), ("ip", -2.0)):
+        got = {(r[0], r[1]): r[2] for r in search.range_join(df, df, radius, metric).collect()}
+        want = brute(rows, rows, radius, metric)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)

@@ -18,7 +18,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,7 +145,7 @@ class Nearest:
         self.held = [(none, np.full(len(q[i : i + TILE]), np.nan)) for i in range(0, len(q), TILE)]
 
     def add(self, ids: np.ndarray, x: np.ndarray, classes: np.ndarray | None = None) -> None:
-        if not len(x) or not len(self.q):
+        if not len(x) or not len(self.q) or self.k < 1:
             return
         if self.q.shape[1] != x.shape[1]:
             raise ValueError("vectors of unequal dimensions")
@@ -206,6 +206,30 @@ class Nearest:
                 yield pa.RecordBatch.from_arrays([pa.array(self.qids[t * TILE + pos], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist)], ["query_id", "id", "distance"])
 
 
+class KBest:
+    """The k least of each query among results of several searches, in memory for twice as many."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.parts, self.rows, self.most = k, [], 0, 1 << 18
+
+    def add(self, found: Iterator[pa.RecordBatch]) -> None:
+        for b in found:
+            self.parts.append(b)
+            self.rows += b.num_rows
+        if self.rows > self.most:
+            self.parts = list(self.found())
+            self.rows = sum(b.num_rows for b in self.parts)
+            self.most = max(self.most, 2 * self.rows)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            qids, ids, dist = (np.concatenate([b.column(i).to_numpy() for b in self.parts]) for i in range(3))
+            order = np.lexsort((ids, dist, qids))
+            qids = qids[order]
+            first = np.arange(len(qids)) - np.searchsorted(qids, qids) < self.k
+            yield pa.RecordBatch.from_arrays([pa.array(qids[first]), pa.array(ids[order][first]), pa.array(dist[order][first])], ["query_id", "id", "distance"])
+
+
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray, spherical: bool) -> np.ndarray:
     """Distances of every row to every pivot; ``spherical``: of the unit vectors."""
     if x.shape[1] != pivots.shape[1]:
@@ -241,7 +265,7 @@ def _dealt(df: DataFrame, pivots: np.ndarray, spherical: bool) -> DataFrame:
 
     Rows with components that aren't finite are near to none and left out.
     """
-    kind = df.schema["id"].dataType.simpleString()
+    kind, stored = (df.schema[n].dataType.simpleString() for n in ("id", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +275,7 @@ def _dealt(df: DataFrame, pivots: np.ndarray, spherical: bool) -> DataFrame:
                 own = d[ok].argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(ok)) for c in b.columns), pa.array(own.astype(np.int32)), pa.array(d[ok, 0])], ["id", "v", "own", "p0"])
 
-    return df.mapInArrow(run, f"id {kind}, v array<double>, own int, p0 double")
+    return df.mapInArrow(run, f"id {kind}, v {stored}, own int, p0 double")
 
 
 def _packed(df: DataFrame, side: str, size: int = 0, pivots: np.ndarray | None = None, spherical: bool = False) -> DataFrame:
@@ -286,7 +310,7 @@ def _packed(df: DataFrame, side: str, size: int = 0, pivots: np.ndarray | None =
 
 def _numbers(df: DataFrame, name: str) -> Column:
     """A column of vectors in single precision if it is that, else in double."""
-    return F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
+    return df[name] if df.schema[name].dataType.simpleString() == "array<float>" else df[name].cast("array<double>")
 
 
 def _unpacked(block: dict) -> np.ndarray:
@@ -299,9 +323,15 @@ def _classes_of(block: dict) -> np.ndarray:
     return np.frombuffer(block["classes"].as_buffer(), np.int32)
 
 
+def _lines(spark: SparkSession) -> int:
+    """Lines of the grid either way, and so how often each row is sent: four cells a core, 64 at least, four a shuffle partition at most."""
+    cells = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(64, 4 * spark.sparkContext.defaultParallelism))
+    return max(1, int(np.ceil(np.sqrt(cells))))
+
+
 def _grid(a: DataFrame, b: DataFrame, a_key: Sequence[str] = ("a_ids", "a_data"), b_key: Sequence[str] = ("b_ids", "b_data")) -> DataFrame:
     """Every row of ``a`` with every row of ``b``, once, by an equi-join on the cells of a grid."""
-    n = max(1, int(np.ceil(np.sqrt(4 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    n = _lines(a.sparkSession)
     cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
     return a.withColumns({"_r": deal(a_key)}).withColumn("_c", cells).join(b.withColumns({"_c": deal(b_key)}).withColumn("_r", cells), ["_r", "_c"]).drop("_r", "_c")
@@ -483,8 +513,8 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, metric: str = "
     """
     if metric not in V.DISTANCES:
         raise ValueError(f"unknown metric {metric!r}")
-    a = left.select(left[left_id].alias("id"), left[left_vector].cast("array<double>").alias("v")).where("v IS NOT NULL")
-    b = right.select(right[right_id].alias("id"), right[right_vector].cast("array<double>").alias("v")).where("v IS NOT NULL")
+    a = left.select(left[left_id].alias("id"), _numbers(left, left_vector).alias("v")).where("v IS NOT NULL")
+    b = right.select(right[right_id].alias("id"), _numbers(right, right_vector).alias("v")).where("v IS NOT NULL")
     ids = (a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString())
     out = f"left_id {ids[0]}, right_id {ids[1]}, distance double"
     met = _meeting(a, b, radius, metric, grid)
