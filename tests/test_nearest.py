@@ -93,3 +93,33 @@ def test_predicates_of_one_side_and_none(sides):
     assert by(F.col("part") == 1) == brute("l2", x[::2], x, ids, 3, np.tile(ids % 3 == 1, (len(ids[::2]), 1)))
     assert by(F.lit(False)) == [[]] * len(ids[::2])
     assert by(F.col("id") > F.col("query_id")) == brute("l2", x[::2], x, ids, 3, ids[None, :] > ids[::2][:, None])
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_lists_searched_for_many_queries(spark, tmp_path, monkeypatch, metric):
+    """Blocks of rows meet groups of queries, in any order and number: the exact result where all lists are probed, ties by id."""
+    from vecskein.plans import ivf
+
+    monkeypatch.setattr(ivf, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ivf, "BLOCK_QUERIES", 16)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(100, 4)).astype(np.float32), 4, 0)
+    e = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "id long, embedding array<float>")
+    asked = e.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    index = ivf.IvfIndex.build(e, str(tmp_path / metric), metric, {"internal": {"lists": [3]}})
+    found = index.search_many(asked, 3, probes=[3])
+    got = found.orderBy("query_id", "rank").collect()
+    want = {(r.query_id, r["rank"]): r.distance for r in search.knn_join(asked, e, 3, metric).collect()}
+    assert {(r.query_id, r["rank"]) for r in got} == set(want) and all(abs(r.distance - want[r.query_id, r["rank"]]) < 1e-5 for r in got)
+    assert len({r.query_id for r in got}) == 40 and all(a.row_id < b.row_id for a, b in zip(got, got[1:]) if a.query_id == b.query_id and a.distance == b.distance)
+
+
+def test_best_of_several_searches():
+    best = search.KBest(2)
+    best.most = 4
+    for part in ([(1, 10, 0.5), (2, 11, float("nan")), (1, 9, 0.5)], [(1, 8, 0.7), (2, 12, 1.0)], [(2, 13, 0.1), (1, 7, 0.5)]):
+        q, i, d = zip(*part, strict=True)
+        best.add([search.pa.RecordBatch.from_arrays([search.pa.array(q), search.pa.array(i), search.pa.array(d)], ["query_id", "id", "distance"])])
+        assert best.rows <= 8
+    (b,) = best.found()
+    assert list(zip(*(c.to_pylist() for c in b.columns), strict=True)) == [(1, 7, 0.5), (1, 9, 0.5), (2, 13, 0.1), (2, 12, 1.0)]

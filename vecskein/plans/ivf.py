@@ -26,6 +26,7 @@ from vecskein.functions import quantized as Q
 from vecskein.functions import vectors as V
 from vecskein.functions.rotation import rotate
 from vecskein.operators import kmeans
+from vecskein.operators.search import KBest, Nearest
 from vecskein.plans.options import MAX_DIM, METRICS, ExternalBuild, InternalBuild, IvfOptions, scan_options
 from vecskein.sources import store
 
@@ -518,26 +519,28 @@ class IvfIndex:
         asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("q"))
         groups = max(1, -(-asked.count() // BLOCK_QUERIES))
         dealt = asked.mapInArrow(probe, "query_id long, list_id int, q binary")
-        dealt = dealt.groupBy("list_id", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked")).drop("g")
+        dealt = dealt.groupBy("list_id", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("q").alias("qs"))
         blocks = self.vectors(None, table).select("list_id", "row_id", "vector").mapInArrow(pack, "list_id int, ids binary, data binary")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # queries of a list meet its blocks one after another; a task sends k rows a query, however many lists and blocks it has
+            best, at, kept = None, None, KBest(k)
             for b in batches:
-                for block, raw, those in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    ids, qids = np.frombuffer(block, np.int64), np.array([r["query_id"] for r in those])
-                    x, q = np.frombuffer(raw).reshape(len(ids), dim), np.frombuffer(b"".join(r["q"] for r in those)).reshape(len(qids), dim)
-                    d = np.stack([((x - r) ** 2).sum(axis=1) for r in q]) if inner == "l2" else -(q @ x.T)
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k] if 0 < k < len(ids) else np.tile(np.arange(len(ids)), (len(qids), 1))
-                    if 0 < k < len(ids):  # ties at the k-th go to the smaller id
-                        bar = np.take_along_axis(d, near, 1).max(axis=1)
-                        at, col = np.nonzero(d <= bar[:, None])
-                    else:
-                        at, col = np.repeat(np.arange(len(qids)), len(ids)), near.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[col]), pa.array(d[at, col])], ["query_id", "row_id", "d"])
-
-        found = blocks.join(dealt, "list_id").select("ids", "data", "asked").mapInArrow(score, "query_id long, row_id long, d double")
-        order = W.partitionBy("query_id").orderBy("d", "row_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", self._outer(F.col("d")).alias("distance"))
+                key, (qids, qs, ids, data) = list(zip(*(b.column(n).to_pylist() for n in (0, 1)), strict=True)), b.columns[2:]
+                for r in range(b.num_rows):
+                    if key[r] != at:
+                        if best is not None:
+                            kept.add(best.found())
+                        q = np.frombuffer(b"".join(qs[r].values.to_pylist())).reshape(-1, dim)
+                        at, best = key[r], Nearest(inner, qids[r].values.to_numpy(), q, k)
+                    best.add(np.frombuffer(ids[r].as_buffer(), np.int64), np.frombuffer(data[r].as_buffer()).reshape(-1, dim))
+            if best is not None:
+                kept.add(best.found())
+            yield from kept.found()
+
+        found = dealt.join(blocks, "list_id").select("list_id", "g", "qids", "qs", "ids", "data").mapInArrow(score, "query_id long, id long, distance double")
+        order = W.partitionBy("query_id").orderBy("distance", "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("row_id"), F.col("distance") if inner == "l2" else self._outer(F.col("distance")).alias("distance"))
 
     def _unseen(self, q: np.ndarray, lists: list[int], threshold: int, sizes: dict[int, int]) -> float | None:
         """The distance of the list at which the rows of nearer lists come to ``threshold``; None if the probed ones do."""
