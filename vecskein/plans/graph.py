@@ -22,12 +22,20 @@ from pyspark.sql import types as T
 
 from vecskein.functions import quantized as Q
 from vecskein.functions.rotation import rotate
+from vecskein.operators.search import KBest
 from vecskein.plans.options import MAX_DIM, METRICS, GraphOptions, scan_options
 from vecskein.sources import store
 
 SHARD_ROWS = 8192
+#: Distances that a build holds at once.
+COMPARED = 1 << 19
+#: Queries that are sent with the search; a larger set is dealt to cells, in lines of so many bytes.
+FEW, LINE = 16, 8 << 20
+#: Rows of a batch of results, at least, where a shard has as many.
+PART = 1 << 14
 #: An ef that no shard reaches.
 ALL_NODES = 1 << 62
+FOUND = "query_id long, row_id long, distance double"
 SHARD = "shard long, n long, ids binary, vectors binary, codes binary, measures binary, start long, heads binary, edges binary"
 
 
@@ -38,7 +46,12 @@ def _distances(inner: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _matrix(inner: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``x`` to all rows of ``y``."""
     dot = x @ y.T
-    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * dot if inner == "l2" else -dot
+    if inner != "l2":
+        return np.negative(dot, out=dot)
+    dot *= 2
+    out = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    out -= dot
+    return out
 
 
 def prune(dist: np.ndarray, ids: np.ndarray, x: np.ndarray, m: int, alphas: Sequence[float], inner: str) -> np.ndarray:
@@ -73,20 +86,22 @@ def build_graph(x: np.ndarray, inner: str, options: GraphOptions) -> tuple[int,
     """
     n = len(x)
     edges: list[np.ndarray] = []
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i in range(0, n, 512):
-        far = _matrix(inner, x[i : i + 512], x)
+    step = max(1, COMPARED // max(1, n))
+    for i in range(0, n, step):
+        far = _matrix(inner, x[i : i + step], x)
         far[np.arange(len(far)), np.arange(i, i + len(far))] = np.inf
         k = min(n - 1, options.ef_construction)
         near = np.argpartition(far, k - 1, axis=1)[:, :k] if 0 < k < n else np.zeros((len(far), 0), int)
         for r in range(len(far)):
             out = prune(far[r, near[r]], near[r], x, options.m, options.alpha, inner) if k else np.zeros(0, int)
             edges.append(out)
-            for v in out.tolist():
-                back[v].append(i + r)
+        del far, near
+    to = np.concatenate([np.zeros(0, int), *edges])
+    back = np.repeat(np.arange(n), [len(e) for e in edges])[np.argsort(to, kind="stable")]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=n))))
     for v in range(n):
-        if back[v]:
-            both = np.unique(np.concatenate([edges[v], np.array(back[v], int)]))
+        if ends[v] < ends[v + 1]:
+            both = np.unique(np.concatenate([edges[v], back[ends[v] : ends[v + 1]]]))
             edges[v] = both if len(both) <= options.m else prune(_distances(inner, x[both], x[v]), both, x, options.m, options.alpha, inner)
     start = int(np.argmin(_distances("l2", x, x.mean(axis=0)))) if n else -1
     # a node that no walk from the start reaches is hung onto the nearest one that is reached, so that none is lost
@@ -123,17 +138,21 @@ def walk(q: np.ndarray, x: np.ndarray, coarse: Callable[[np.ndarray], np.ndarray
     waiting = [(float(coarse(np.array([start]))[0]), start)]
     while waiting:
         opened = [heapq.heappop(waiting) for _ in range(min(beam, len(waiting)))]
-        nodes = np.array([u for _, u in opened])
         if len(found) >= ef and opened[0][0] > -found[0][0]:
             break
+        nodes = np.array([u for _, u in opened])
         for d, u in zip(_distances(inner, x[nodes].astype(np.float64), q).tolist(), nodes.tolist(), strict=True):
             if alive is None or alive[u]:
                 (heapq.heappushpop if len(found) >= ef else heapq.heappush)(found, (-d, u))
-        out = np.unique(np.concatenate([edges(u) for u in nodes.tolist()]))
+        out = edges(opened[0][1]) if len(opened) == 1 else np.unique(np.concatenate([edges(u) for u in nodes.tolist()]))
         out = out[~seen[out]]
         if len(out):
             seen[out] = True
-            for item in zip(coarse(out).tolist(), out.tolist(), strict=True):
+            far = coarse(out)
+            if beam == 1 and len(found) >= ef:  # the bound never grows, so the walk would end before it opened these
+                near = ~(far > -found[0][0])
+                far, out = far[near], out[near]
+            for item in zip(far.tolist(), out.tolist(), strict=True):
                 heapq.heappush(waiting, item)
     return sorted((-d, u) for d, u in found)
 
@@ -199,15 +218,15 @@ class GraphIndex:
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             ids = table["row_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            x = np.array(table["vector"].to_pylist(), np.float64)[order]
+            x = _rows_of(table["vector"])[order]
             if cosine:
                 length = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
             x = rotate(x).astype(np.float32).astype(np.float64)
             start, edges = build_graph(x, inner, options)
-            coded = [_lattice(r, bits) for r in x]
-            codes = np.stack([c for c, _ in coded]).astype(np.uint8)
-            measures = np.array([m for _, m in coded])
+            codes, measures = np.empty(x.shape, np.uint8), np.empty((len(x), 2))
+            for i, r in enumerate(x):
+                codes[i], measures[i] = _lattice(r, bits)
             heads = np.concatenate(([0], np.cumsum([len(e) for e in edges]))).astype(np.int64)
             flat = np.concatenate(edges).astype(np.int32) if edges else np.zeros(0, np.int32)
             row = [int(key[0].as_py()), len(x), ids[order].astype(np.int64).tobytes(), x.astype(np.float32).tobytes(), codes.tobytes(), measures.tobytes(), start, heads.tobytes(), flat.tobytes()]
@@ -250,7 +269,7 @@ class GraphIndex:
         most = opts["max_scan_tuples"]
         ef = ALL_NODES if radius is not None or k is None else max(opts["ef_search"], k, most)
         passing = None if where is None else table.where(where).select(F.col(self.meta["id_col"]).cast("long").alias("row_id"))
-        found = self._walked(asked, ef, opts["beam_search"], passing=passing if most < 0 else None).select("row_id", "distance")
+        found = self._walked(asked, ef, opts["beam_search"], None if radius is not None or most >= 0 else k, passing if most < 0 else None).select("row_id", "distance")
         if radius is not None:
             found = found.where(F.col("distance") < float(radius))
         if most >= 0:
@@ -261,58 +280,115 @@ class GraphIndex:
         return found if k is None else found.limit(k)
 
     def search_many(self, queries: DataFrame, k: int, **scan) -> DataFrame:
-        """(query_id, rank, row_id, distance) for queries (query_id, query), in blocks: each block visits every shard."""
+        """(query_id, rank, row_id, distance) for queries (query_id, query): each visits every shard."""
         opts = scan_options(self.spark, "graph", scan, self.meta["scan"])
-        found = self._walked(queries, max(opts["ef_search"], k), opts["beam_search"])
+        found = self._walked(queries, max(opts["ef_search"], k), opts["beam_search"], k)
         order = W.partitionBy("query_id").orderBy("distance", "row_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "distance")
 
-    def _walked(self, queries: DataFrame, ef: int, beam: int, block: int = 256, passing: DataFrame | None = None) -> DataFrame:
+    def _walked(self, queries: DataFrame, ef: int, beam: int, k: int | None = None, passing: DataFrame | None = None) -> DataFrame:
+        """(query_id, row_id, distance) of what the walks find; with ``k``, at least the k nearest of each query.
+
+        A few queries are sent with the search to where the shards are read. More are dealt to the cells of a grid, lines of queries by groups
+        of shards: a task holds its line, and its shards pass by one at a time. A shard is sent once a line, a query once a group.
+        """
         inner, metric, dim, bits = self.inner, self.meta["metric"], self.meta["dim"], self.options.bits
         filtered = passing is not None
         asked = queries.where("query IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
-        groups = max(1, -(-asked.count() // block))
-        blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+        n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("query") * 8 + 16), F.lit(0))).first()
         shards = self._shards()
+        held = shards.count()
+        if not n or not held:
+            return self.spark.createDataFrame([], FOUND)
         dead = self._dead()
         if dead is None:
             shards = shards.withColumn("gone", F.lit(None).cast("array<bigint>"))
         else:  # tombstones go to the shards that may hold their rows; each shard checks its own
-            held = self._members().join(dead.withColumnRenamed("seq", "_gone"), "row_id").where("seq < _gone").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("gone"))
-            shards = shards.join(held, ["shard", "seq"], "left")
+            hidden = self._members().join(dead.withColumnRenamed("seq", "_gone"), "row_id").where("seq < _gone").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("gone"))
+            shards = shards.join(hidden, ["shard", "seq"], "left")
         if passing is not None:  # so do the rows that a filter lets pass
-            held = self._members().join(passing, "row_id", "left_semi").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("passing"))
-            shards = shards.join(held, ["shard", "seq"])
-        pairs = shards.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(blocks, "g")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let = self._members().join(passing, "row_id", "left_semi").groupBy("shard", "seq").agg(F.collect_set("row_id").alias("passing"))
+            shards = shards.join(let, ["shard", "seq"])
+
+        def turned(q: np.ndarray) -> np.ndarray:
+            if q.shape[1] != dim:
+                raise ValueError("vectors of unequal dimensions")
+            if metric == "cosine":
+                length = np.linalg.norm(q, axis=1, keepdims=True)
+                q = q / np.where(length > 0, length, 1)
+            return rotate(q)
+
+        def met(row: dict, qids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What each query's walk of one shard finds."""
+            raw = {c: row[c].as_buffer() for c in ("ids", "vectors", "codes", "measures", "heads", "edges")}  # read in place
+            ids = np.frombuffer(raw["ids"], np.int64)
+            x = np.frombuffer(raw["vectors"], np.float32).reshape(-1, dim)
+            codes = np.frombuffer(raw["codes"], np.uint8).reshape(-1, dim)
+            measures = np.frombuffer(raw["measures"], np.float64).reshape(-1, 2)
+            heads, flat = np.frombuffer(raw["heads"], np.int64), np.frombuffer(raw["edges"], np.int32)
+            alive = ~np.isin(ids, np.array(row["gone"].as_py() or [], np.int64))
+            if filtered:
+                alive &= np.isin(ids, np.array(row["passing"].as_py(), np.int64))
+            edges, parts, rows = lambda u: flat[heads[u] : heads[u + 1]], [], 0
+            for i in range(len(q)):
+                coarse = lambda at: _coarse(inner, q[i], codes[at], measures[at], bits)  # noqa: B023, E731
+                found = walk(q[i], x, coarse, row["start"].as_py(), edges, inner, ef, beam, alive)
+                if found:
+                    d, u = np.array([d for d, _ in found]), np.array([u for _, u in found])
+                    d = np.sqrt(np.maximum(d, 0)) if metric == "l2" else 1 + d if metric == "cosine" else d
+                    if k is not None and len(d) > k > 0:
+                        near = ~(d > d[k - 1])
+                        d, u = d[near], u[near]
+                    parts.append((np.full(len(d), qids[i]), ids[u], d))
+                    rows += len(d)
+                if parts and (rows >= PART or i == len(q) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["query_id", "row_id", "distance"])
+                    parts, rows = [], 0
+
+        def run(batches: Iterator[pa.RecordBatch], sent: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+            cell, line, best = None, [], None if k is None else KBest(k)
+            qids, q = sent or (None, None)
             for b in batches:
-                col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-                for r in range(b.num_rows):
-                    raw = {n: col[n][r].as_buffer() for n in ("ids", "vectors", "codes", "measures", "heads", "edges")}  # read in place
-                    ids = np.frombuffer(raw["ids"], np.int64)
-                    x = np.frombuffer(raw["vectors"], np.float32).reshape(-1, dim)
-                    codes = np.frombuffer(raw["codes"], np.uint8).reshape(-1, dim)
-                    measures = np.frombuffer(raw["measures"], np.float64).reshape(-1, 2)
-                    heads, flat = np.frombuffer(raw["heads"], np.int64), np.frombuffer(raw["edges"], np.int32)
-                    alive = ~np.isin(ids, np.array(col["gone"][r].as_py() or [], np.int64))
-                    if filtered:
-                        alive &= np.isin(ids, np.array(col["passing"][r].as_py(), np.int64))
-                    edges = lambda u: flat[heads[u] : heads[u + 1]]  # noqa: B023, E731
-                    out = []
-                    for a in col["asked"][r].as_py():
-                        q = np.array([a["query"]])
-                        if q.shape[1] != dim:
-                            raise ValueError("vectors of unequal dimensions")
-                        length = np.linalg.norm(q)
-                        q = rotate(q / length if metric == "cosine" and length > 0 else q)[0]
-                        coarse = lambda at: _coarse(inner, q, codes[at], measures[at], bits)  # noqa: B023, E731
-                        for d, u in walk(q, x, coarse, int(col["start"][r].as_py()), edges, inner, ef, beam, alive):
-                            out.append((a["query_id"], int(ids[u]), np.sqrt(max(d, 0.0)) if metric == "l2" else 1 + d if metric == "cosine" else d))
-                    cols = list(zip(*out, strict=True)) or [()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "row_id", "distance"])
-
-        return pairs.mapInArrow(run, "query_id long, row_id long, distance double")
+                col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+                cells = np.zeros(b.num_rows, int) if sent else col["cell"].to_numpy()
+                asks = np.zeros(b.num_rows, bool) if sent else col["query_id"].is_valid().to_numpy(zero_copy_only=False)
+                at = 0
+                while at < b.num_rows:
+                    if cell != cells[at]:
+                        if best is not None:
+                            yield from _named(best.found())
+                            best = KBest(k)
+                        cell, line = cells[at], []
+                        qids, q = sent or (None, None)
+                    if asks[at]:  # a run of queries of this cell, before its shards
+                        stop = at + int(np.argmin(np.append(asks[at:] & (cells[at:] == cell), False)))
+                        line.append((col["query_id"].slice(at, stop - at).to_numpy(), _rows_of(col["query"].slice(at, stop - at))))
+                        at = stop
+                        continue
+                    if line:
+                        qids, q = np.concatenate([i for i, _ in line]), turned(np.concatenate([v for _, v in line]))
+                        line = []
+                    if q is not None:
+                        found = met({c: v[at] for c, v in col.items()}, qids, q)
+                        if best is None:
+                            yield from found
+                        else:
+                            best.add(found)
+                    at += 1
+            if best is not None:
+                yield from _named(best.found())
+
+        if n <= FEW:
+            few = asked.collect()
+            sent = (np.array([r[0] for r in few]), turned(np.array([r[1] for r in few], np.float64)))
+            return shards.mapInArrow(lambda batches: run(batches, sent), FOUND)
+        groups, lines = _cells(held, n, size, self.spark.sparkContext.defaultParallelism)
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        asked = asked.withColumn("_l", F.pmod(F.xxhash64("query_id"), F.lit(lines)).cast("int")).withColumn("_g", every(groups))
+        shards = shards.withColumn("_g", F.pmod(F.col("shard") + F.col("seq"), F.lit(groups)).cast("int")).withColumn("_l", every(lines))
+        asked, shards = (df.withColumn("cell", F.col("_l") * groups + F.col("_g")).drop("_l", "_g") for df in (asked, shards))
+        dealt = shards.unionByName(asked, allowMissingColumns=True).repartitionById(groups * lines, F.col("cell")).sortWithinPartitions("cell", F.col("query_id").isNull())
+        return dealt.mapInArrow(run, FOUND)
 
     def _next(self) -> int:
         return store.next_seq(self.spark, self.root, ("shards", "tombstones"))
@@ -341,6 +417,25 @@ class GraphIndex:
         return json.dumps({"shards": n, "rows": rows, "dim": self.meta["dim"], "metric": self.meta["metric"]})
 
 
+def _cells(shards: int, queries: int, size: int, cores: int) -> tuple[int, int]:
+    """(groups of shards, lines of queries of ``size`` bytes in all) of a search: a line is held by a task, and no core is left without a cell."""
+    groups = min(shards, max(64, 4 * cores))
+    return groups, min(queries, max(-(-size // LINE), -(-cores // groups)))
+
+
+def _named(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in found:
+        yield pa.RecordBatch.from_arrays(b.columns, ["query_id", "row_id", "distance"])
+
+
+def _rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as a matrix of doubles."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    if len({n for c in chunks for n in np.unique(np.diff(c.offsets.to_numpy())).tolist()}) > 1:
+        raise ValueError("vectors of unequal dimensions")
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64).reshape(len(column), -1)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _longs(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: np.frombuffer(b, np.int64))
