@@ -56,3 +56,15 @@ def test_cells_lose_no_pair(spark, tmp_path, monkeypatch):
     got = {(r.query_id, r["rank"]): (r.row_id, round(r.distance, 4)) for r in index.search_many(asked, 4, ef_search=65535).collect()}
     truth = search.knn_join(asked, e.where("vec_id % 7 <> 0"), 4, "cosine", id_col="vec_id")
     assert got == {(r.query_id, r["rank"]): (r.id, round(r.distance, 4)) for r in truth.collect()}
+
+
+def test_one_query_takes_k_rows_a_shard(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(600, 4)).tolist())], "vec_id long, embedding array<double>")
+    index = graph.GraphIndex.build(e, str(tmp_path / "g"), "l2", {"m": 8, "ef_construction": 16}, id_col="vec_id", shard_rows=200)
+    asked = spark.createDataFrame([(0, [0.0] * 4)], "query_id long, query array<double>")
+    assert index._walked(asked, graph.ALL_NODES, 1).count() == 600
+    found = index._walked(asked, graph.ALL_NODES, 1, 7)
+    near = sorted((sum(x * x for x in r.embedding), r.vec_id) for r in e.collect())[:7]
+    assert found.count() <= 7 * 3
+    assert [r.row_id for r in found.orderBy("distance").limit(7).collect()] == [i for _, i in near]
