@@ -130,7 +130,6 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
     ``lists`` joins a table of uid and anything onto the texts: it gives (uid, text, and the rest). ``told`` is given
     each dealing's number, what its merged intervals took from first copies, and what from later ones.
     """
-    spark = units.sparkSession
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,12 +226,13 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
     with_text = lists(asked.groupBy("uid").agg(F.collect_list("s").alias("segs"))).select("uid", "text", "segs")
     strings_ = materialize(with_text.mapInArrow(strings, "h long, d long, w long, big boolean, uid long, a int, n short, o short, bytes binary"), "strings")
     release(parts)
-    n_parts, out = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    out = []
     for level, width in enumerate((*RANGES, 0)):
         # of a collection that is dealt anew, only copies are settled here, each kind by itself
         key = F.when(F.col("big"), F.xxhash64("h", "d")).otherwise(F.col("h"))
         here = strings_.where("NOT big OR w > 1").select(key.alias("key"), "h", "d", "w", "uid", "a", "n", "bytes")
-        verdicts = materialize(here.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(merged, "h long, d long, uid long, a int, n short, copies boolean"), "verdicts")
+        # no number of partitions: later dealings are small, and Spark joins theirs into fewer tasks and files
+        verdicts = materialize(here.repartition("key").sortWithinPartitions("key").mapInArrow(merged, "h long, d long, uid long, a int, n short, copies boolean"), "verdicts")
         firsts = verdicts.where("NOT copies").select("uid", "a", "n")
         firsts._vecskein_path = verdicts._vecskein_path
         kinds = verdicts.where("copies").select("h", "d", F.col("uid").alias("fu"), F.col("a").alias("fa"))
