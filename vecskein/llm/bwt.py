@@ -37,21 +37,24 @@ class Shard:
     @staticmethod
     def _sort(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Prefix doubling from a few symbols; terminators differ by their strings. Rows alone in their group are settled."""
-        n, bits = len(text), len(ends).bit_length()
-        width = max(1, min(5, (62 - bits) // 9))
-        key, open_, owner = np.zeros(n, np.int64), np.zeros(n, bool), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+        n, (small, bits) = len(text), _dense(text)
+        width = max(1, min(n, (62 - n.bit_length()) // bits))
+        key = np.zeros(n, np.int64)
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the string's terminator
         for k in range(width):
-            symbol = np.zeros(n, np.int64)
-            symbol[: max(0, n - k)] = text[k:]
-            symbol[open_] = 0
-            key = (key << 9) | symbol
-            open_ |= symbol == 0
-        key = (key << bits) | np.where(open_, owner, 0)
-        order = np.argsort(key)
-        rank, at = np.empty(n, np.int64), np.arange(n)
-        rows, key = order, key[order]
+            key <<= bits
+            key[: n - k] |= small[k:]
+        beyond = bits * np.maximum(width - 1 - left, 0)
+        key = (key >> beyond) << beyond
+        # rows that reach a terminator come by their strings, as they stand: they differ from all others
+        order, key = _ordered(key)
+        rank, at, rows = np.empty(n, np.int64), np.arange(n), order
+        shut = left[rows] < width
         while True:  # the rows at the places ``at`` are in order as far as the keys say: a rank is the place of a group's first row
             new = np.append(True, key[1:] != key[:-1])
+            if shut is not None:
+                new |= shut
+                shut = None
             start = at[np.flatnonzero(new)][new.cumsum() - 1]
             rank[rows] = start
             tied = ~new
@@ -59,39 +62,54 @@ class Shard:
             at, rows = at[tied], rows[tied]
             if not len(at):
                 return order
-            key = rank[rows] * n + rank[rows + width]  # a tied row reaches no terminator yet
-            by = np.argsort(key)
-            rows, key = rows[by], key[by]
+            by, key = _ordered(rank[rows] * n + rank[rows + width])  # a tied row reaches no terminator yet
+            rows = rows[by]
             order[at] = rows
             width *= 2
 
 
-def _names(symbols: np.ndarray, back: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dense(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbols renamed in their order without gaps, a terminator as zero, and how many bits they take."""
+    there = np.bincount(symbols, minlength=1) > 0
+    there[0] = True
+    names = there.cumsum() - 1
+    return names[symbols], max(1, int(names[-1]).bit_length())
+
+
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of non-negative keys, equal ones as they come, and the keys in it."""
+    bits = max(1, len(key).bit_length())
+    if int(key.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << bits) | np.arange(len(key)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
+def _names(symbols: np.ndarray, back: np.ndarray, step: int, bits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, row, open) of every row: its last ``step`` symbols, nearest least, named in their order; the row they lead to;
     and whether a terminator is among them. Long codes are pairs of short ones.
     """
     if step > 5:
-        near, row, open_ = half = _names(symbols, back, step // 2)
-        far, end, beyond = half if step % 2 == 0 else _names(symbols, back, step - step // 2)
+        near, row, open_ = half = _names(symbols, back, step // 2, bits)
+        far, end, beyond = half if step % 2 == 0 else _names(symbols, back, step - step // 2, bits)
         code = far[row] * (int(near.max(initial=0)) + 1) + near
         row, open_ = end[row], open_ | beyond[row]
     else:
-        code, row, open_ = np.zeros(len(symbols), np.int64), np.arange(len(symbols)), np.zeros(len(symbols), bool)
-        for k in range(step):
-            at = symbols[row]
-            code += at << (9 * k)
-            open_ |= at == 0
-            row = back[row]
-    return np.unique(code, return_inverse=True)[1], row, open_
-
-
-def _stable(code: np.ndarray) -> np.ndarray:
-    """The order of small codes, equal ones as they come."""
-    bits = max(1, len(code).bit_length())
-    return np.sort((code << bits) | np.arange(len(code))) & ((1 << bits) - 1)
-
-
-def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True, weight: np.ndarray | None = None, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, row, taken = symbols, back, 1
+        while taken * 2 <= step:
+            code, row, taken = code | (code[row] << (bits * taken)), row[row], taken * 2
+        for k in range(taken, step):
+            code, row = code | (symbols[row] << (bits * k)), back[row]
+        ones = sum(1 << (bits * k) for k in range(step))
+        open_ = (code - ones) & ~code & (ones << (bits - 1)) != 0  # a field of zeros borrows
+    order, code = _ordered(code)
+    name = np.empty(len(code), np.int64)
+    name[order] = np.append(False, code[1:] != code[:-1])[: len(code)].cumsum()
+    return name, row, open_
+
+
+def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True, weight: np.ndarray | None = None, prefixes: bool = True, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(source, block, common) of the merged rows, ordered by ``depth`` symbols.
 
     source: the row in the concatenated shards; block: its repeated interval; common: symbols, to the grain of
@@ -99,20 +117,23 @@ def merge(shards: list[Shard], depth: int, step: int = STEP, whole: bool = True,
     ``depth`` is a multiple of ``step``. ``weight`` says how many equal suffixes a row of the concatenated shards stands for (one each
     unless given): the run length of its place in the transform. Unless ``whole``, only the rows of repeated intervals are
     given, those of two suffixes or more: a row is dropped as soon as its block holds one suffix, since what precedes
-    it is then alone in the next round, and as soon as its prefix holds a terminator.
+    it is then alone in the next round, and as soon as its prefix holds a terminator. ``among``: the rows of the concatenated
+    shards, in their order, that have ``depth`` symbols before them, where it is known; only they can be given then.
     """
     sizes = np.array([s.n for s in shards])
     shift = np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     symbols = np.concatenate([s.symbols for s in shards])
     back = np.concatenate([s.step_back for s in shards]) + shift
-    code, row, open_ = _names(symbols, back, step)
-    source = np.arange(len(symbols))
-    block = np.zeros(len(symbols), np.int64)
-    common = np.zeros(len(symbols), np.int64)
+    symbols, bits = _dense(symbols)
+    code, row, open_ = _names(symbols, back, step, bits)
+    source = np.arange(len(symbols)) if among is None or whole or prefixes else among
+    if not len(source):
+        return source, source, source
+    block = np.zeros(len(source), np.int64)
+    common = np.zeros(len(source), np.int64)
     for done in range(0, depth, step):
-        c = code[source]
-        order = _stable(c)
-        old, c, block = source[order], c[order], block[order]
+        order, c = _ordered(code[source])
+        old, block = source[order], block[order]
         source, ends = row[old], open_[old]
         part = np.empty(len(c), bool)
         part[0] = True
@@ -159,6 +180,7 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = 1 << 15, weigh
     owner = np.repeat(np.arange(len(dealt)), lens)
     names = np.array(dealt, np.int64)
     weight = None if weights is None else np.asarray(weights, np.int64)[names][owner][places]
-    source, block, _ = merge(shards, length, step, False, weight, False)
+    offset = places - starts[owner[places]]
+    source, block, _ = merge(shards, length, step, False, weight, False, np.flatnonzero(offset >= length))
     place = places[source]
-    return block, names[owner[place]], place - starts[owner[place]]
+    return block, names[owner[place]], offset[source]

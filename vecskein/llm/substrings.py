@@ -6,9 +6,9 @@ place, so the corpus is cut into collections that no repeat leaves:
 1. Equal texts are one unit; only its first copy is searched, and later copies go whole.
 2. Every window of 100 bytes names an anchor, the least hash among its 24-byte strings (so equal windows
    name equal anchors, at equal offsets). A stretch of windows that share an anchor is a segment, about one
-   per 39 bytes. Segments whose anchor occurs once hold no repeat and are dropped.
-3. The segments of one anchor are a collection. Equal ones are counted before they meet, and enter the transform
-   once, with their number as its run length.
+   per 39 bytes. Texts are read once: equal segments are counted where they are found, and the counts, without their
+   bytes, meet by anchor. Segments whose anchor occurs once hold no repeat and are dropped.
+3. The segments of one anchor are a collection. Equal ones enter the transform once, with their number as its run length.
 4. Tasks build the transforms of a collection's shards and merge them by interleave refinement. Rows that share 100
    symbols are a repeated interval; what is not the first in its interval goes, and so do the later
    copies of a segment whose windows all lie in intervals of two or more.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,18 @@ RANGES = (RANGE, 4, 1)
 HOT, TOGETHER = 256, 1 << 16
 #: Rows that go back to Spark in one batch, about.
 SENT = 1 << 16
+#: Bits of an anchor that give way to bits of the digest in a key: one number, by which Spark sorts without comparing rows.
+LOW = 20
+#: Rows of one anchor that wait for its number of different segments, at most about; beyond, it has over ``hot``.
+WAIT = 1 << 20
+#: A segment on its way to its anchor: ``c`` copies at the first one, none at later ones. One value of a row, as rows are many.
+SEGMENT = np.dtype([("h", "<i8"), ("d", "<i8"), ("uid", "<i8"), ("a", "<i4"), ("c", "<i4"), ("n", "<i2"), ("o", "<i2")])
 #: A part on its way to its collection.
 PART = (("h", pa.int64()), ("d", pa.int64()), ("w", pa.int64()), ("big", pa.bool_()), ("uid", pa.int64()), ("a", pa.int32()), ("n", pa.int16()), ("o", pa.int16()), ("bytes", pa.binary()))
-#: Bytes of one text that anchors are sought in at once.
-PIECE = 1 << 22
+#: Bytes of texts that anchors are sought in at once, and of those that fit a core's cache with their hashes.
+PIECE, NEAR = 1 << 18, 1 << 14
+#: Digests are sums of gram hashes times powers of this.
+BASE = 0x9E3779B97F4A7C15
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -60,13 +69,13 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a text: anchor hash, first window, number of windows, offset of the anchor in the first window."""
-    out = []
-    data = np.frombuffer(text, np.uint8)
-    grams = length - GRAM + 1
-    for at in range(0, max(0, len(data) - length + 1), PIECE):
-        h = _grams(data[at : at + PIECE + length - 1])
+def _places(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every gram, and the place of the anchor of every window."""
+    grams, windows = length - GRAM + 1, len(b) - length + 1
+    hashes, place = np.empty(len(b) - GRAM + 1, np.uint64), np.empty(windows, np.int64)
+    for at in range(0, windows, NEAR):
+        h = _grams(b[at : at + NEAR + length - 1])
+        hashes[at : at + len(h)] = h
         # high bits order by hash, low bits by place: ties go to the left
         least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
         width = 1
@@ -75,12 +84,76 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
             width *= 2
         if width < grams:
             least = np.minimum(least[: -(grams - width)], least[grams - width :])
-        place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        out.append((h[place[first]], first + at, np.append(first[1:], len(place)) - first, place[first] - first))
-    if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        np.add((least & np.uint64(0xFFFFFF)).view(np.int64), at, out=place[at : at + len(least)])
+    return hashes, place
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse, modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return tuple(out)
+
+
+def anchored(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of many texts: number of the text, anchor hash, digest, first window, number of windows, offset of the anchor in it."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def found():
+        data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
+        lens = np.fromiter((len(x) for _, _, x in held), np.int64, len(held))
+        starts = np.cumsum(lens) - lens
+        h, place = _places(data, length)
+        new = np.append(True, place[1:] != place[:-1])
+        new[starts] = True
+        first = np.flatnonzero(new)
+        own = np.searchsorted(starts, first, "right") - 1
+        # windows that reach into the next text are none
+        end = np.minimum(np.append(first[1:], len(place)), (starts + lens - length + 1)[own])
+        real = end > first
+        first, end, own = first[real], end[real], own[real]
+        up, down = _powers(2 * PIECE + length)
+        sums = np.append(np.uint64(0), (h * up[: len(h)]).cumsum())
+        d = (sums[end + length - GRAM] - sums[first]) * down[first]
+        whose, at = (np.array([x[k] for x in held], np.int64)[own] for k in (0, 1))
+        return whose, h[place[first]], d, first - starts[own] + at, end - first, place[first] - first
+
+    for k, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, PIECE):
+            held.append((k, at, text[at : at + PIECE + length - 1]))
+            size += len(held[-1][2])
+            if size >= PIECE:
+                yield found()
+                held, size = [], 0
+    if held:
+        yield found()
+
+
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text: anchor hash, first window, number of windows, offset of the anchor in the first window."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    _, h, _, *rest = (np.concatenate(x) for x in zip(none, *anchored([text], length), strict=True))
+    return h, *rest
+
+
+def _counted(h: np.ndarray, d: np.ndarray, uid: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """How often the string (h, d) of each row is among the rows, told at its first copy; zero at later ones."""
+    c = np.ones(len(h), np.int64)
+    both = h ^ (d * np.uint64(BASE))
+    by = np.argsort(both)
+    same = both[by[1:]] == both[by[:-1]]
+    rows = by[np.append(same, False) | np.append(False, same)]
+    rows = rows[np.lexsort((a[rows], uid[rows], d[rows], h[rows]))]
+    if len(rows):
+        new = np.flatnonzero(np.append(True, (h[rows[1:]] != h[rows[:-1]]) | (d[rows[1:]] != d[rows[:-1]])))
+        c[rows] = 0
+        c[rows[new]] = np.diff(np.append(new, len(rows)))
+    return c
 
 
 def split(text: bytes, a: int, n: int, o: int, length: int = LENGTH, width: int = RANGE) -> Iterator[tuple[int, int, int, int]]:
@@ -107,15 +180,18 @@ def _verdicts(first: np.ndarray, windows: np.ndarray, weights: np.ndarray, texts
     first: (unit, place) of each text's first copy; windows: how many it has; weights: its copies.
     """
     group, string, offset = bwt.repeats(texts, length, weights=weights)
-    order = np.lexsort((first[string, 1] + offset, first[string, 0], group))
-    g, s, at = group[order], string[order], offset[order]
-    later = np.append(False, g[1:] == g[:-1])[: len(g)]
-    covered = np.bincount(s, minlength=len(texts)) == windows
-    s, at = s[later], at[later]
-    order = np.lexsort((at, s))
-    s, at = s[order], at[order]
-    new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1))[: len(s)])
-    return s[new], at[new], np.diff(np.append(new, len(s))), np.flatnonzero(covered & (weights > 1))
+    covered = np.bincount(string, minlength=len(texts)) == windows
+    # texts hold windows of their own, so that their order and the offset order windows; offsets of two texts are never neighbours
+    by = np.lexsort((first[:, 1], first[:, 0]))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    low = (int(offset.max(initial=0)) + 1).bit_length()
+    high = low + len(by).bit_length()
+    key = np.sort((group << high) | (rank[string] << low) | offset)
+    later = np.append(False, key[1:] >> high == key[:-1] >> high)[: len(key)]
+    key = np.sort(key[later] & ((1 << high) - 1))
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1] + 1)[: len(key)])
+    return by[key[new] >> low], key[new] & ((1 << low) - 1), np.diff(np.append(new, len(key))), np.flatnonzero(covered & (weights > 1))
 
 
 def _collections(parts: DataFrame, hot: int) -> DataFrame:
@@ -131,50 +207,98 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
     each dealing's number, what its merged intervals took from first copies, and what from later ones.
     """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(anchors(t, length)[0] for t in b.column(0).to_pylist())]), return_counts=True)
-            # twice tells as much as more
-            yield pa.RecordBatch.from_arrays([_signed(np.repeat(h, np.minimum(n, 2)))], ["h"])
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, names, kinds = xxhash.xxh3_64_intdigest, ["h", "d", "uid", "a", "n", "o"], (np.int64, np.int64, np.int64, np.int32, np.int16, np.int16)
         held: list[tuple] = []
         size = 0
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(k) if k is np.int64 else np.concatenate(c).astype(k)) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+        def send():
+            uid, h, d, a, n, o = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = np.empty(len(h), SEGMENT)
+            for f, x in zip(SEGMENT.names, (h.view(np.int64), d.view(np.int64), uid, a, _counted(h, d, uid, a), n, o), strict=True):
+                out[f] = x
+            # later copies of a string that is here more than once are known to stay, and need not meet their anchor
+            key = np.where(out["c"] > 0, (out["h"] >> LOW << LOW) | (out["d"] & ((1 << LOW) - 1)), out["d"] ^ (uid * 31 + a) * (BASE >> 1))
+            places = np.arange(len(h) + 1, dtype=np.int32) * SEGMENT.itemsize
+            rows = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(places), pa.py_buffer(out.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(key), rows], ["key", "segment"])
+
         for b in batches:
-            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, a, n, o = anchors(text, length)
-                view = memoryview(text)
-                d = np.fromiter((digest(view[x:y]) for x, y in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)), np.uint64, len(a))
-                held.append((h, d, np.full(len(h), uid), a, n, o))
-                size += len(h)
+            uid = b.column(0).to_numpy(zero_copy_only=False)
+            for whose, *rest in anchored(b.column(1).to_pylist(), length):
+                held.append((uid[whose], *rest))
+                size += len(whose)
                 if size >= SENT:
                     yield send()
                     held, size = [], 0
         if held:
             yield send()
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("h", "d", "w", "big", "a", "n", "o")
-        held: list[tuple] = []
-        size = 0
+    def told_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of their keys those whose anchor occurs twice, with the number of copies at the first of each string."""
+        held = np.zeros(0, SEGMENT)
+        wide = None  # high bits of an anchor that is big already
+
+        def send(x, w, big):
+            cols = (x["h"], x["d"], w, big, x["uid"], x["a"], x["n"], x["o"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["h", "d", "w", "big", "uid", "a", "n", "o"])
+
+        def settled(x):
+            high = x["h"] >> LOW
+            same = high[1:] == high[:-1]
+            x = x[np.append(False, same) | np.append(same, False) | (x["c"] > 1) | (high == wide)]
+            x = x[np.lexsort((x["a"], x["uid"], x["d"], x["h"]))]
+            h, d, c = (x[f] for f in ("h", "d", "c"))
+            new = np.append(True, h[1:] != h[:-1])[: len(x)]
+            kind = new | np.append(True, d[1:] != d[:-1])[: len(x)]
+            at, starts, stay = np.flatnonzero(new), np.flatnonzero(kind), h >> LOW == wide
+            w, big, each = np.zeros(len(x), np.int64), stay.copy(), np.diff(np.append(at, len(x)))
+            if len(x):
+                w[starts] = np.add.reduceat(c, starts)
+                big |= np.repeat(np.add.reduceat(kind.astype(np.int64), at) > hot, each)
+                stay |= np.repeat(np.add.reduceat(c, at) > 1, each)
+            return send(x[stay], w[stay], big[stay])
 
-        def send():
-            cols = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, PART, strict=True)], [x for x, _ in PART])
+        for b in batches:
+            rows = b.column(1).cast(pa.binary())
+            places = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+            x = np.frombuffer(rows.buffers()[2], np.uint8)[places[0] : places[-1]].view(SEGMENT) if len(rows) else held[:0]
+            first = x["c"] > 0
+            if not first.all():
+                copies = x[~first]
+                yield send(copies, np.zeros(len(copies), np.int64), np.zeros(len(copies), bool))
+            held = np.append(held, x[first])
+            high = held["h"] >> LOW
+            at = int(np.append(0, np.flatnonzero(high[1:] != high[:-1]) + 1)[-1])
+            if len(held) - at > WAIT:  # equal strings stand together by the low bits of their digests
+                low = held["d"][at:] & ((1 << LOW) - 1)
+                cuts = np.flatnonzero(low[1:] != low[:-1]) + 1
+                if len(cuts) > hot and len(np.unique(held["h"][at:])) == 1:
+                    if at:
+                        yield settled(held[:at])
+                    wide, at = high[-1], at + int(cuts[-1])
+                    yield settled(held[at - int(cuts[-1]) : at])
+                    held = held[at:]
+                    continue
+            if at:
+                yield settled(held[:at])
+                held = held[at:]
+        if len(held):
+            yield settled(held)
 
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, text, segs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for x in segs:
-                    h, d, w, big, a, n, o = (x[f] for f in fields)
-                    held.append((h, d, w, big, uid, a, n, o, text[a : a + n + length - 1]))
-                    size += n + length
-                    if size >= SENT * 32:
-                        yield send()
-                        held, size = [], 0
-        if held:
-            yield send()
+            texts, segs = b.column(1).to_pylist(), b.column(2).flatten()
+            own = np.repeat(np.arange(len(texts)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            cols = {f: segs.field(f) for f in ("h", "d", "w", "big", "a", "n", "o")} | {"uid": b.column(0).take(pa.array(own))}
+            start = cols["a"].to_numpy(zero_copy_only=False).astype(np.int64)
+            end = start + cols["n"].to_numpy(zero_copy_only=False) + length - 1
+            sent = np.cumsum(end - start) // (SENT * 32)
+            edges = [0, *(np.flatnonzero(sent[1:] != sent[:-1]) + 1).tolist(), len(own)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                cut_out = b"".join([texts[k][i:j] for k, i, j in zip(own[x:y].tolist(), start[x:y].tolist(), end[x:y].tolist(), strict=True)])
+                offsets = np.append(0, np.cumsum(end[x:y] - start[x:y])).astype(np.int32)
+                cols["bytes"] = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(offsets), pa.py_buffer(cut_out)])
+                yield pa.RecordBatch.from_arrays([cols[f] if f == "bytes" else cols[f].slice(x, y - x) for f, _ in PART], [f for f, _ in PART])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -191,17 +315,19 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
             key = b.column(0).to_numpy(zero_copy_only=False)
             cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1, 7)]
             texts = b.column(7).to_pylist()
-            sizes = np.cumsum([len(t) for t in texts])
+            sizes = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
             # a collection is never parted: cut where the key changes and enough has come together
-            edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            edges = np.flatnonzero(np.append(last is None or key[:1] != last, key[1:] != key[:-1])[: len(key)])
             at = 0
-            for e in edges.tolist():
-                if held and key[at] != last and size >= TOGETHER:
-                    yield flush()
-                    held, size = [], 0
+            while (k := int(np.searchsorted(sizes[edges], sizes[at] + TOGETHER - size))) < len(edges):
+                e = int(edges[k])
                 held.append([*(c[at:e] for c in cols), texts[at:e]])
-                size += int(sizes[e - 1] - (sizes[at - 1] if at else 0))
-                last, at = key[e - 1], e
+                yield flush()
+                held, size, at = [], 0, e
+            if at < len(key):
+                held.append([*(c[at:] for c in cols), texts[at:]])
+                size += int(sizes[-1] - sizes[at])
+                last = key[-1]
         if held:
             yield flush()
 
@@ -217,15 +343,12 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
 
         return run
 
-    twice = materialize(units.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
-    all_segments = units.select("uid", "text").mapInArrow(segments, "h long, d long, uid long, a int, n short, o short")
-    found = materialize(all_segments.join(twice, "h", "left_semi"), "segments")
-    release(twice)
-    parts = materialize(found.groupBy("h", "d").agg(F.min(F.struct("uid", "a", "n", "o")).alias("f"), F.count("*").alias("w")).select("h", "d", "w", "f.*"), "kinds")
-    asked = _collections(parts, hot).select("uid", F.struct("h", "d", "w", "big", "a", "n", "o").alias("s"))
+    all_segments = units.select("uid", "text").mapInArrow(segments, "key long, segment binary")
+    by_anchor = all_segments.repartition(F.shiftright("key", LOW)).sortWithinPartitions("key").mapInArrow(told_by_anchor, "h long, d long, w long, big boolean, uid long, a int, n short, o short")
+    found = materialize(by_anchor, "segments", "zstd", SENT)
+    asked = found.where("w > 0").select("uid", F.struct("h", "d", "w", "big", "a", "n", "o").alias("s"))
     with_text = lists(asked.groupBy("uid").agg(F.collect_list("s").alias("segs"))).select("uid", "text", "segs")
     strings_ = materialize(with_text.mapInArrow(strings, "h long, d long, w long, big boolean, uid long, a int, n short, o short, bytes binary"), "strings")
-    release(parts)
     out = []
     for level, width in enumerate((*RANGES, 0)):
         # of a collection that is dealt anew, only copies are settled here, each kind by itself
@@ -236,7 +359,8 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
         firsts = verdicts.where("NOT copies").select("uid", "a", "n")
         firsts._vecskein_path = verdicts._vecskein_path
         kinds = verdicts.where("copies").select("h", "d", F.col("uid").alias("fu"), F.col("a").alias("fa"))
-        later = materialize(join_unique(found, kinds, ["h", "d"], strings_.select("h", "d", F.col("w").alias("n"))).where("uid <> fu OR a <> fa").select("uid", "a", "n"), "runs")
+        copies = found if level else found.where("w = 0").select("h", "d", "uid", "a", "n")
+        later = materialize(join_unique(copies, kinds, ["h", "d"], strings_.select("h", "d", F.col("w").alias("n"))).where("uid <> fu OR a <> fa").select("uid", "a", "n"), "runs")
         release(found)
         out += [firsts, later]
         if told is not None:
@@ -251,16 +375,15 @@ def find(units: DataFrame, lists: Callable[[DataFrame], DataFrame], length: int
     return out
 
 
-def cut(text: bytes, runs: list, length: int = LENGTH) -> tuple[int, int, str]:
-    """Bytes removed, removed spans and digest of what is left, for runs (a, n) of repeated windows."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    at = np.fromiter((r["a"] for r in runs), np.int64, len(runs))
-    n = np.fromiter((r["n"] for r in runs), np.int64, len(runs))
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n + length - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-    return int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
+def cut(text: bytes, at: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[int, int, str]:
+    """Bytes removed, removed spans and digest of what is left, for runs (at, n) of repeated windows."""
+    order = np.argsort(at)
+    start = at[order]
+    end = np.maximum.accumulate(start + n[order] + length - 1)
+    new = np.append(True, start[1:] > end[:-1])
+    start, end = start[new], end[np.append(new[1:], True)]
+    kept = b"".join([text[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)])
+    return int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, told=None) -> DataFrame:
@@ -284,7 +407,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [cut(t, r, length) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            runs = b.column(2).flatten()
+            at, n = (runs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("a", "n"))
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            done = [cut(t, at[x:y], n[x:y], length) for t, x, y in zip(b.column(1).to_pylist(), [0, *ends], ends, strict=False)]
             cols = list(zip(*done, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["uid", "n_removed", "n_spans", "kept"])
 
